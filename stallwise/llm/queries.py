@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import compression_bands, language_id
+from stallwise.llm import compression_bands, language_id, line_dedup, simhash
 from stallwise.llm.shared import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_spans", "text")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -16,9 +21,13 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_language_id, op9_compression_bands)}
+    return {f.__name__: f for f in (op2_line_dedup, op6_language_id, op9_compression_bands, op10_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
