@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import compression_bands, language_id, line_dedup, simhash
+from stallwise.llm import compression_bands, language_id, line_dedup, packing, simhash
 from stallwise.llm.shared import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", "text")
@@ -26,7 +36,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op6_language_id, op9_compression_bands, op10_simhash_anchors)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op6_language_id, op9_compression_bands, op10_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
