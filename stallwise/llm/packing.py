@@ -86,7 +86,10 @@ class Encoder:
         return array("I", self.words.encode_ordinary(word)).tobytes()
 
 
-encoder = cache(Encoder)
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker and vocabulary."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
