@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import compression_bands, language_id, line_dedup, packing, simhash
+from stallwise.llm import compression_bands, language_id, line_dedup, metric_search, packing, preferences, simhash
 from stallwise.llm.shared import table
 
 
@@ -23,10 +23,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", "text")
 
 
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.adjacent_preferences(table(spark, sf_dir, "conversations"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return metric_search.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.compression_bands(table(spark, sf_dir, "documents"))
 
@@ -36,8 +45,8 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op6_language_id, op9_compression_bands, op10_simhash_anchors)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_preference_formatting, op6_language_id, op7_mtree_top_k, op9_compression_bands, op10_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_preference_formatting": preferences.ORACLE}
