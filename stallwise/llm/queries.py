@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import compression_bands, language_id, line_dedup, metric_search, packing, preferences, simhash
+from stallwise.llm import compression_bands, language_id, line_dedup, metric_search, packing, preferences, simhash, suffix_dedup
 from stallwise.llm.shared import table
 
 
@@ -23,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", "text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.adjacent_preferences(table(spark, sf_dir, "conversations"))
 
@@ -45,7 +49,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_preference_formatting, op6_language_id, op7_mtree_top_k, op9_compression_bands, op10_simhash_anchors)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op6_language_id, op7_mtree_top_k, op9_compression_bands, op10_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
