@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import compression_bands, language_id, line_dedup, metric_search, packing, preferences, simhash, suffix_dedup
+from stallwise.llm import compression_bands, language_id, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
 from stallwise.llm.shared import table
 
 
@@ -31,6 +31,10 @@ def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.adjacent_preferences(table(spark, sf_dir, "conversations"))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_search.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trip(table(spark, sf_dir, "documents"), piece_sampling.Params(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.compression_bands(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op6_language_id, op7_mtree_top_k, op9_compression_bands, op10_simhash_anchors)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
