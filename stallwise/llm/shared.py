@@ -11,20 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the checkpoint folder that the session names.
-
-    A folder of our own is set only where the session has none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one of our own only where it names none, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc.getCheckpointDir()
 
 
-def row_key(text: str = "text"):
-    """Identifies a document's content beside its doc_id: rows that share both are one document."""
-    from pyspark.sql import functions as F
-
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
