@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from stallwise.plans import panel_queries
+
+MODULES = (panel_queries,)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
