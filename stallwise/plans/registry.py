@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stallwise.plans import feature_queries, panel_queries
+from stallwise.plans import backtest_queries, feature_queries, panel_queries
 
-MODULES = (panel_queries, feature_queries)
+MODULES = (panel_queries, feature_queries, backtest_queries)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
