@@ -59,4 +59,4 @@ def nearly_equal(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-6) -
 
 
 def arrays_nearly_equal(a: Column, b: Column) -> Column:
-    return (a.isNull() & b.isNull()) | F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, nearly_equal), lambda x: x), F.lit(False))
+    return (a.isNull() & b.isNull()) | F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: nearly_equal(x, y)), lambda x: x), F.lit(False))

@@ -84,7 +84,7 @@ def order_from_quantiles(spark, sf_dir):
 
 def newsvendor_expected(spark, sf_dir):
     g = with_grid(spark, sf_dir).withColumn("qty", decision.best_order(LEVELS))
-    return rounded(g.select("series_id", "origin", "h", *(c.alias(n) for n, c in decision.expected(LEVELS, F.col("qty")).items())), 6)
+    return rounded(g.select("series_id", "origin", "h", *(c.alias(n) for n, c in decision.expected(LEVELS, F.col("qty")).items())), 8)
 
 
 def policies(spark, sf_dir, keys=()):
@@ -241,8 +241,8 @@ ORACLE_SQL = {
     "order_from_quantiles": BASE + GRID + f"select series_id, origin, h, round(cast(q50 + (q90 - q50) * (0.625 - 0.5) / 0.4 as double), 6) as interpolated, round(cast(q62 as double), 6) as trained from g",
     "newsvendor_expected": BASE
     + GRID
-    + f"""select series_id, origin, h, round(cast({E1['d']} as double), 6) as expected_demand, round(cast({E1['s']} as double), 6) as expected_shortage, round(cast({E1['w']} as double), 6) as expected_waste,
-      round(cast({E1['s']} + 0.6 * {E1['w']} as double), 6) as expected_cost, 0.05::double as tail_mass from g""",
+    + f"""select series_id, origin, h, round(cast({E1['d']} as double), 8) as expected_demand, round(cast({E1['s']} as double), 8) as expected_shortage, round(cast({E1['w']} as double), 8) as expected_waste,
+      round(cast({E1['s']} + 0.6 * {E1['w']} as double), 8) as expected_cost, 0.05::double as tail_mass from g""",
     "policy_outcomes": BASE + GRID + POLICIES + f"select policy, {_round('total_cost', 'mean_cost', 'mean_shortage', 'mean_waste', 'fill_rate', 'service_level', 'spoilage_rate', 'mean_order')}, n, {_round('saving_pct')} from pc",
     "policy_by_band": sql.of(sql.PANEL_A, FOLDS, BACKTEST, BANDS, "ma as (select * from bt where model = 'moving_average')")
     + GRID
