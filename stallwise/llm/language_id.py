@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
 
 
 #: Back-off scores that a task keeps for words it has seen; beyond that it starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

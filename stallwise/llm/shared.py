@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows and bytes of a batch that goes to a Python worker; texts can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """The session, with its Arrow batches no larger than BATCH: what a worker holds must not grow with the texts."""
+    for key, most in BATCH.items():
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= int(most):
+            spark.conf.set(key, most)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

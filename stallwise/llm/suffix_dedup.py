@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.shared import cut_lineage
+from stallwise.llm.shared import bound_batches, cut_lineage
 from stallwise.llm.suffix_merge import least_owner
 
 #: Bytes of a k-gram.
@@ -51,8 +51,8 @@ NULL_ID = -(1 << 63)
 class Params:
     length: int = 50
     #: Bytes of text for each bucket.
-    bucket_bytes: int = 8 << 20
-    hot_rows: int = 500
+    bucket_bytes: int = 1 << 20
+    hot_rows: int = 20_000
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -95,6 +95,30 @@ def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(held[a]), order[a:b]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, small: bytes of equal weight together, then compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpacked(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The numbers of all rows, one after the other."""
+    planes = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1) for x in table.column(name).to_pylist()]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(kind).reshape(-1)
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold so many bytes in a column of binaries."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def spans_of(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping and touching spans as one."""
     order = np.argsort(begins, kind="stable")
@@ -109,9 +133,10 @@ ENTRY = "bucket int, hash binary, id binary, rows binary"
 
 
 def announce(batches: Iterator[pa.RecordBatch], params: Params, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket. From 0: an entry for each anchor of a batch; rows is how many documents hold it, below
+    """Rows by bucket, which the upper half of a hash gives; the lower half stands for it within the bucket, and
+    should two anchors look alike, that only adds strings to compare. From 0: an entry for each anchor of a batch; rows is how many documents hold it, below
     zero if several do. Below 0: anchors known to be shared, for the documents themselves."""
-    for batch in batches:
+    for batch in regrouped(batches, "data"):
         found, owner = [], []
         for id_, data in zip(batch.column(0).to_numpy(), batch.column(1)):
             for _, hashes, _, at in anchors(data.as_py(), params.length):
@@ -127,25 +152,22 @@ def announce(batches: Iterator[pa.RecordBatch], params: Params, buckets: int) ->
         least = np.minimum.reduceat(ids, starts)
         several = least < np.maximum.reduceat(ids, starts)
         rows = np.where(several, -sizes, sizes)
-        out = [(b, hashes[starts[at]], least[at], rows[at]) for b, at in by_key((hashes[starts] >> np.uint64(20)) % np.uint64(buckets))]
+        brief = hashes.astype(np.uint32)
+        out = [(b, brief[starts[at]], least[at], rows[at].astype(np.int32)) for b, at in by_key((hashes[starts] >> np.uint64(32)) % np.uint64(buckets))]
         here = np.flatnonzero(np.repeat(several, sizes))
-        out += [(-1 - b, hashes[here[at]], ids[here[at]], rows[:0]) for b, at in by_key(ids[here].view(np.uint64) % np.uint64(buckets))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k].tobytes() for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "hash", "id", "rows"])
-
-
-ANSWER = "id long, hot boolean, hashes array<long>"
+        out += [(-1 - b, brief[here[at]], ids[here[at]], np.zeros(0, np.int32)) for b, at in by_key(ids[here].view(np.uint64) % np.uint64(buckets))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([packed(r[k]) for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "hash", "id", "rows"])
 
 
-def gathered(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+ANSWER = "id long, hot boolean, hashes array<int>"
 
 
 def answer(table: pa.Table, hot_rows: int) -> pa.Table:
     """For the documents of a bucket: which of the anchors are shared; and, in a row of its own, the hot ones."""
-    hashes, ids = gathered(table, "hash", "<u8"), gathered(table, "id", "<i8")
+    hashes, ids = unpacked(table, "hash", np.uint32), unpacked(table, "id", np.int64)
     hot = hashes[:0]
     if table.column("bucket")[0].as_py() >= 0:
-        rows = gathered(table, "rows", "<i8")
+        rows = unpacked(table, "rows", np.int32).astype(np.int64)
         order = np.argsort(hashes)
         hashes, ids, rows = hashes[order], ids[order], rows[order]
         starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
@@ -158,29 +180,29 @@ def answer(table: pa.Table, hot_rows: int) -> pa.Table:
     hashes, ids = hashes[order], ids[order]
     starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
     offsets = np.concatenate((starts, [len(ids)], [len(ids) + len(hot)])).astype(np.int32)
-    lists = pa.ListArray.from_arrays(offsets, np.concatenate((hashes, hot)).view(np.int64))
+    lists = pa.ListArray.from_arrays(offsets, np.concatenate((hashes, hot)).view(np.int32))
     return pa.table({"id": pa.array([*ids[starts].tolist(), NULL_ID], pa.int64()), "hot": [False] * len(starts) + [True], "hashes": lists})
 
 
 # Second pass: the strings of shared anchors.
 
-STRINGS = "bucket int, text binary, size binary, hash binary, id binary, key binary, at binary"
+STRINGS = "bucket int, text binary, size binary, id binary, key binary, at binary"
 #: Kinds of the numbers in those columns; below bucket 0, `size` holds the ends of spans.
-KINDS = {"size": "<i8", "hash": "<u8", "id": "<i8", "key": "<i8", "at": "<i8"}
+KINDS = {"size": np.int64, "id": np.int64, "key": np.int32, "at": np.int64}
 
 
 def cut_strings(data: bytes, shared: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(start, size, hash) of the strings of a text's shared anchors; hash 0 for single windows of hot ones."""
     back = np.arange(length - GRAM, -1, -1)
     for base, hashes, least, at in anchors(data, length):
-        at = at[np.isin(hashes[at], shared)]
+        at = at[np.isin(hashes[at].astype(np.uint32), shared)]
         for part in np.split(at, range(1 << 15, len(at), 1 << 15)):
             held = hashes[part]
             padded = np.concatenate([np.zeros(len(back) - 1, np.uint64), least, np.zeros(len(back) - 1, np.uint64)])
             mine = padded[part[:, None] - back[None, :] + len(back) - 1] == held[:, None]
             first = part - back[mine.argmax(axis=1)]
             last = part - back[mine.shape[1] - 1 - mine[:, ::-1].argmax(axis=1)]
-            very = np.isin(held, hot)
+            very = np.isin(held.astype(np.uint32), hot)
             yield base + first[~very], (last - first)[~very] + length, held[~very]
             n = (last - first + 1)[very]
             single = np.repeat(first[very], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -191,7 +213,7 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
     """Rows by bucket. From 0: each different string of a batch, for the smallest id that has it. Below 0: spans of
     the other documents with it, which are settled."""
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in regrouped((b.select(["id", "key", "data", "hashes", "copies"]) for b in batches), "data"):
         ids, keys = (batch.column(n).to_numpy() for n in ("id", "key"))
         index: dict[bytes, int] = {}
         parts: list[tuple] = []
@@ -199,7 +221,7 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
             if not len(hashes) or keys[row] in copies.values.to_numpy():
                 continue
             data = data.as_py()
-            for start, size, held in cut_strings(data, hashes.values.to_numpy().view(np.uint64), hot.value, params.length):
+            for start, size, held in cut_strings(data, hashes.values.to_numpy().view(np.uint32), hot.value, params.length):
                 which = [index.setdefault(data[a : a + n], len(index)) for a, n in zip(start.tolist(), size.tolist())]
                 parts.append((np.array(which, np.int64), np.full(len(start), row), start, size, held))
         if not index:
@@ -211,12 +233,12 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
         strings = list(index)
         out = []
         ask = np.flatnonzero(first)
-        deal = held[ask] >> np.uint64(20)
+        deal = held[ask] >> np.uint64(32)
         for k in np.flatnonzero(held[ask] == 0):
             deal[k] = zlib.crc32(strings[which[ask[k]]])
         for b, at in by_key(deal % np.uint64(buckets)):
             at = ask[at]
-            out.append((b, packer.compress(b"".join([strings[i] for i in which[at].tolist()])), size[at], held[at], ids[row[at]], keys[row[at]], start[at]))
+            out.append((b, packer.compress(b"".join([strings[i] for i in which[at].tolist()])), size[at], ids[row[at]], keys[row[at]], start[at]))
         done = np.flatnonzero(~first)
         settled: dict[int, list] = {}
         for r, at in by_key(row[done]):
@@ -224,17 +246,26 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
             settled.setdefault(int(ids[r]) % buckets, []).append((ends, np.full(len(begins), ids[r]), np.full(len(begins), keys[r]), begins))
         for b, each in settled.items():
             ends, whose, key, begins = (np.concatenate(x) for x in zip(*each))
-            out.append((-1 - b, b"", ends, held[:0], whose, key, begins))
+            out.append((-1 - b, b"", ends, whose, key, begins))
         names = [c.split()[0] for c in STRINGS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), *(pa.array([r[k].tobytes() for r in out], pa.binary()) for k in range(2, 7))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), *(pa.array([packed(r[k]) for r in out], pa.binary()) for k in range(2, 6))], names=names)
+
+
+SPANS = "id long, key int, begins array<long>, ends array<long>"
 
 
-SPANS = "id long, key long, begins array<long>, ends array<long>"
+def anchors_of(strings: list[bytes], length: int) -> np.ndarray:
+    """The anchor of each string: the least hash in its first window, as in all of its windows."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    first = np.cumsum(sizes) - sizes
+    hashes = gram_hashes(b"".join(strings))
+    bounds = np.column_stack((first, first + length - GRAM + 1)).ravel()
+    return np.minimum.reduceat(np.append(hashes, np.uint64(0)), bounds)[::2]
 
 
 def settle(table: pa.Table, length: int) -> pa.Table:
     """The spans to remove that a bucket of strings shows."""
-    size, held, ids, keys, start = (gathered(table, n, k) for n, k in KINDS.items())
+    size, ids, keys, start = (unpacked(table, n, k) for n, k in KINDS.items())
     begins, ends, owner = start, size, np.arange(len(ids))
     if table.column("bucket")[0].as_py() >= 0:
         text = b"".join(map(zstandard.decompress, table.column("text").to_pylist()))
@@ -244,14 +275,13 @@ def settle(table: pa.Table, length: int) -> pa.Table:
         strings = list(index)
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids)
-        of = np.zeros(len(strings), np.uint64)
-        of[which] = held
+        of = anchors_of(strings, length)
         lone = ids > least[which]  # the whole string is in a document with a smaller id
         found = [(start[lone], start[lone] + size[lone], np.flatnonzero(lone))]
 
         order = np.argsort(of, kind="stable")
         _, n = np.unique(of, return_counts=True)
-        mixed = order[(np.repeat(n, n) > 1) & (of[order] != 0)]
+        mixed = order[np.repeat(n, n) > 1]
         windows = least_owner([strings[i] for i in mixed], least[mixed], length)
         spot = np.full(len(strings), -1)
         spot[mixed] = np.arange(len(mixed))
@@ -265,7 +295,7 @@ def settle(table: pa.Table, length: int) -> pa.Table:
     for _, at in by_key(ids[owner]):
         for key, sub in by_key(keys[owner[at]]):
             pairs[int(ids[owner[at[0]]]), key] = spans_of(begins[at[sub]], ends[at[sub]])
-    return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), *(pa.array([x[k] for x in pairs.values()], pa.list_(pa.int64())) for k in (0, 1))], names=["id", "key", "begins", "ends"])
+    return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32()), *(pa.array([x[k] for x in pairs.values()], pa.list_(pa.int64())) for k in (0, 1))], names=["id", "key", "begins", "ends"])
 
 
 # The whole.
@@ -281,7 +311,7 @@ def copies_of(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, params: Params) -> DataFrame:
     """(id, found): for rows (id, key, data), arrays of (key, begins, ends) to remove; an end of -1 is all."""
-    spark = rows.sparkSession
+    spark = bound_batches(rows.sparkSession)
     volume, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-volume // params.bucket_bytes))
     long_enough = rows.filter(F.octet_length("data") >= params.length)
@@ -290,13 +320,14 @@ def repeated_spans(rows: DataFrame, params: Params) -> DataFrame:
     entries = long_enough.select("id", "data").mapInArrow(partial(announce, params=params, buckets=buckets), ENTRY)
     answers = cut_lineage(entries.groupBy("bucket").applyInArrow(lambda table: answer(table, hot_rows), ANSWER))
     listed = answers.filter("hot").select(F.explode("hashes").alias("h")).collect()
-    hot = spark.sparkContext.broadcast(np.array(sorted(r["h"] for r in listed), np.int64).view(np.uint64))
+    hot = spark.sparkContext.broadcast(np.array(sorted(r["h"] for r in listed), np.int32).view(np.uint32))
 
     copies = cut_lineage(copies_of(long_enough))
-    none = F.array().cast("array<long>")
+    none = F.array().cast("array<int>")
     known = answers.filter("not hot").select("id", "hashes", none.alias("copies")).unionByName(copies.select("id", none.alias("hashes"), F.array("key").alias("copies")))
     each = known.groupBy("id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("copies")).alias("copies"))
-    strings = rows.join(each, "id").select("id", "key", "data", "hashes", "copies").mapInArrow(partial(deal_strings, params=params, buckets=buckets, hot=hot), STRINGS)
+    # All columns of rows go along, so that both joins read one and the same shuffle of the texts.
+    strings = rows.join(each, "id").select("id", "key", "data", "hashes", "copies", *(c for c in rows.columns if c not in ("id", "key", "data"))).mapInArrow(partial(deal_strings, params=params, buckets=buckets, hot=hot), STRINGS)
     spans = strings.groupBy("bucket").applyInArrow(lambda table: settle(table, params.length), SPANS)
     whole = copies.select("id", "key", F.array(F.lit(0)).cast("array<long>").alias("begins"), F.array(F.lit(-1)).cast("array<long>").alias("ends"))
     return spans.unionByName(whole).groupBy("id").agg(F.collect_list(F.struct("key", "begins", "ends")).alias("found"))
@@ -334,26 +365,25 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def remove_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the digest of what is left of each row.
 
-    with_text adds `text`: what is left once runs are drawn in to whole characters. With `carry`, those columns
+    with_text adds `text` (null where it was): what is left once runs are drawn in to whole characters. With `carry`, those columns
     come too, in a struct `carried`."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"),
+        F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"),
         F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"),
+        F.col(text_col).isNull().alias("missing"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
-    extra = docs.select(*([F.struct(*carry)] if carry else [F.lit(None).cast("int")])).schema[0].dataType
     found = repeated_spans(rows, params)
-    if carry:
-        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"), F.struct(*carry).alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, texts = [], []
-            for id_, key, data, own in zip(*(batch.column(n).to_pylist() for n in ("id", "key", "data", "found"))):
+            for id_, key, data, missing, own in zip(*(batch.column(n).to_pylist() for n in ("id", "key", "data", "missing", "found"))):
                 begins, ends = removed_spans(own, key, len(data))
                 out.append((None if id_ == NULL_ID else id_, len(data), int((ends - begins).sum()), len(begins), hashlib.sha256(kept_bytes(data, begins, ends)).hexdigest()))
                 if with_text:
-                    texts.append(kept_bytes(data, *whole_characters(data, begins, ends)).decode("utf-8", "replace"))
+                    texts.append(None if missing else kept_bytes(data, *whole_characters(data, begins, ends)).decode("utf-8", "replace"))
             kinds = [pa.int64()] * 4 + [pa.string()]
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -363,5 +393,5 @@ def remove_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "do
                 columns, names = [*columns, batch.column("carried")], [*names, "carried"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = RESULT + ", text string" * with_text + (f", carried {extra.simpleString()}" if carry else "")
+    schema = RESULT + ", text string" * with_text + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else "")
     return rows.join(found, "id", "left").mapInArrow(run, schema)
