@@ -3,7 +3,7 @@
 Each shard's rotations are sorted on their own. The shards are then merged as by Holt and McMillan ("Merging of
 multi-string BWTs with applications", 2014): an interleave says, row by row, from which shard the next row
 comes. It begins in order of the first eight characters, and each refinement takes the characters that precede
-the rows, eight at a time, and deals the rows out stably by them; the interleave is then right for that many
+the rows, eight or sixteen at a time, and deals the rows out stably by them; the interleave is then right for that many
 characters more. No suffix is sorted or compared again. Where neighbours are told apart first gives their common
 prefix (as by Egidi and Manzini), and rows never told apart within `length` characters are one repeated interval.
 """
@@ -16,15 +16,16 @@ import numpy as np
 STEP = 8
 #: Rotations of a shard, roughly.
 SHARD = 1 << 16
-LOW = (1 << 32) - 1
-
 
 def ordered(high: np.ndarray) -> np.ndarray:
-    """The stable order of small non-negative numbers: one sort of number and position together."""
-    keys = high.astype(np.int64) << 32
+    """The stable order of non-negative numbers: one sort of number and position together, if both fit in 63 bits."""
+    bits = len(high).bit_length()
+    if int(high.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(high, kind="stable")
+    keys = high.astype(np.int64) << bits
     keys |= np.arange(len(high))
     keys.sort()
-    return keys & LOW
+    return keys & ((1 << bits) - 1)
 
 
 def dense(values: np.ndarray) -> np.ndarray:
@@ -53,14 +54,23 @@ class Rotations:
         """The row of the rotation so many characters on."""
         return self.start[self.owner] + (self.place + by) % self.size[self.owner]
 
+    def leading(self, n: int) -> np.ndarray:
+        """The first n characters of each rotation, n < STEP, as small numbers in order."""
+        return dense(self.word >> np.uint64(64 - 8 * n))
+
     def sorted_shard(self, rows: slice) -> np.ndarray:
         """The rows of a shard of whole strings in the order of their rotations."""
         ranks = dense(self.word[rows])
         start, size, place = self.start[self.owner[rows]] - rows.start, self.size[self.owner[rows]], self.place[rows]
-        by, enough = STEP, 2 * int(size.max())
+        by, enough, bits = STEP, 2 * int(size.max()), len(ranks).bit_length()
         while by < enough and ranks.max() + 1 < len(ranks):
-            ranks = dense(ranks << 32 | ranks[start + (place + by) % size])
-            by *= 2
+            joined = ranks << bits | ranks[start + (place + by) % size]
+            if 3 * bits <= 63:
+                joined = joined << bits | ranks[start + (place + 2 * by) % size]
+                by *= 3
+            else:
+                by *= 2
+            ranks = dense(joined)
         return ordered(ranks) + rows.start
 
 
@@ -74,24 +84,29 @@ def merged(rotations: Rotations, length: int) -> tuple[np.ndarray, np.ndarray]:
         cuts.append(len(rotations.owner))
     shards = [rotations.sorted_shard(slice(a, b)) for a, b in zip(cuts, cuts[1:])]
     rows = np.concatenate(shards)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint32), [len(x) for x in shards])
 
     letters = dense(rotations.word)
+    bits = int(letters.max()).bit_length()
+    twice = 2 * bits + len(rows).bit_length() <= 63
     first = letters[rows]
     order = ordered(first)
     interleave = source[order]
     held = first[order]
     apart = np.concatenate(([True], held[1:] != held[:-1]))
     known = min(STEP, length)
-    before = letters[rotations.shifted(-STEP)][rows]
+    near, far = (letters[rotations.shifted(-k * STEP)] for k in (1, 2))
     while known < length:
-        step = min(STEP, length - known)
-        if step < STEP:
-            before = (rotations.word >> np.uint64(64 - 8 * step)).astype(np.int64)[rotations.shifted(-step)][rows]
+        step = min(2 * STEP if twice else STEP, length - known)
+        before = near
+        if step > STEP:  # the characters before the nearest eight come first
+            before = (far if step == 2 * STEP else rotations.leading(step - STEP)[rotations.shifted(-step)]) << bits | near
+        elif step < STEP:
+            before = rotations.leading(step)[rotations.shifted(-step)]
         taken = np.empty_like(before)
-        taken[np.argsort(interleave, kind="stable")] = before
+        taken[np.argsort(interleave, kind="stable")] = before[rows]
         block = np.cumsum(apart)
-        order = ordered(taken) if step == STEP else np.argsort(taken, kind="stable")
+        order = ordered(taken)
         interleave, taken, block = interleave[order], taken[order], block[order]
         apart = np.concatenate(([True], (taken[1:] != taken[:-1]) | (block[1:] != block[:-1])))
         known += step
