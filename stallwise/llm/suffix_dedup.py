@@ -283,19 +283,35 @@ def settle(table: pa.Table, length: int) -> pa.Table:
         _, n = np.unique(of, return_counts=True)
         mixed = order[np.repeat(n, n) > 1]
         windows = least_owner([strings[i] for i in mixed], least[mixed], length)
-        spot = np.full(len(strings), -1)
-        spot[mixed] = np.arange(len(mixed))
-        for e in np.flatnonzero(~lone & (spot[which] >= 0)).tolist():
-            gone = np.flatnonzero(windows[spot[which[e]]] < ids[e])
-            if len(gone):
-                a, b = spans_of(start[e] + gone, start[e] + gone + length)
-                found.append((a, b, np.full(len(a), e)))
+        flat = np.concatenate([np.zeros(0, np.int64), *windows])
+        first = np.zeros(len(strings), np.int64)
+        n_windows = np.zeros(len(strings), np.int64)
+        n_windows[mixed] = [len(w) for w in windows]
+        first[mixed] = np.cumsum(n_windows[mixed]) - n_windows[mixed]
+        entry = np.flatnonzero(~lone & (n_windows[which] > 0))
+        n = n_windows[which[entry]]
+        own = np.repeat(entry, n)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        gone = flat[first[which[own]] + k] < ids[own]
+        at = start[own[gone]] + k[gone]
+        found.append((at, at + length, own[gone]))
         begins, ends, owner = (np.concatenate(x) for x in zip(*found))
-    pairs = {}
-    for _, at in by_key(ids[owner]):
-        for key, sub in by_key(keys[owner[at]]):
-            pairs[int(ids[owner[at[0]]]), key] = spans_of(begins[at[sub]], ends[at[sub]])
-    return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32()), *(pa.array([x[k] for x in pairs.values()], pa.list_(pa.int64())) for k in (0, 1))], names=["id", "key", "begins", "ends"])
+    return spans_by_row(ids[owner], keys[owner], begins, ends)
+
+
+def spans_by_row(ids: np.ndarray, keys: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """A row for each id and key with its spans merged; each gets a stretch of numbers of its own, so one merge does."""
+    order = np.lexsort((keys, ids))
+    ids, keys = ids[order], keys[order]
+    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))[: len(ids)]
+    group = np.cumsum(new) - 1
+    begins, ends = begins[order] + (group << 40), ends[order] + (group << 40)
+    if len(ids):
+        begins, ends = spans_of(begins, ends)
+    which = begins >> 40
+    offsets = pa.array(np.searchsorted(which, np.arange(int(new.sum()) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x - (which << 40))) for x in (begins, ends)]
+    return pa.table([pa.array(ids[new]), pa.array(keys[new]), *lists], names=["id", "key", "begins", "ends"])
 
 
 # The whole.
