@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each on what the one before kept."""
 
+import random
+
 from tests.llm.test_operators import SCHEMA, awkward_rows
 
 import corpus_pipeline
@@ -25,3 +27,36 @@ def test_every_dealt_operator_is_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def five_word_sets(text):
+    words = text.lower().encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_of_similarity_at_least_four_fifths_go(spark):
+    """Copies of 30 to 1,000 words with some words changed, below and above the bound, beside a passage that all share."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, passage = [], [word() for _ in range(12)]
+    for n, changes in [(30, 1), (100, 1), (100, 2), (100, 3), (100, 5), (300, 5), (300, 6), (300, 9), (1000, 10), (1000, 30)] * 2:
+        base = [word() for _ in range(n)] + passage
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for k in rng.sample(range(n), changes):
+                copy[k] = word()
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["a b c d e f g", "a b c", "a b c", "", " "]
+    rng.shuffle(texts)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    sets, root = [five_word_sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * shared >= 4 * either:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    expected = {i for i in range(len(rows)) if root[i] == i}
+    assert left == expected and len(rows) - len(expected) > 30
