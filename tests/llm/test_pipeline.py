@@ -60,3 +60,23 @@ def test_near_copies_of_similarity_at_least_four_fifths_go(spark):
     left = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     expected = {i for i in range(len(rows)) if root[i] == i}
     assert left == expected and len(rows) - len(expected) > 30
+
+
+def test_packed_rows_hold_their_tokens(spark):
+    """The ids of a document's pieces are those of the tokenizer, and those of a sequence stand side by side."""
+    from tokenizers import Tokenizer
+
+    from stallwise.llm.queries import tokenizer_path
+
+    texts = ["one text", "of these words " * 900, "", "another"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    own = Tokenizer.from_file(tokenizer_path())
+    for i, text in enumerate(texts):
+        ids = [x for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"]) for x in r["ids"]]
+        assert ids == own.encode(text, add_special_tokens=False).ids + [2]
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert len(sequences.setdefault(r["sequence_id"], [])) == r["offset"]
+        sequences[r["sequence_id"]] += r["ids"]
+    assert sum(map(len, sequences.values())) == sum(r["length"] for r in rows) and max(map(len, sequences.values())) <= 1024
