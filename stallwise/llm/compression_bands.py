@@ -2,7 +2,8 @@
 
 A text that zstandard shrinks far more than prose repeats itself; one that it hardly shrinks is not prose.
 The ratio (compressed bytes / bytes) is taken over the whole document and over fixed chunks of it, and each
-is held against limits for its own length, since short inputs compress less well.
+is held against limits for its own length, since short inputs compress less well. What is left after the last whole
+chunk is a chunk of its own; a document goes if too many of its chunks are bad, with the rest or without it.
 
 Rows: null or empty text has no words, fails the base rules and is not kept; very long texts are compressed
 in a stream and chunk by chunk; repeated rows are judged one by one; an empty table gives an empty result.
@@ -103,11 +104,16 @@ def judge(data: bytes | None, bands: Bands, packer: zstandard.ZstdCompressor) ->
     out.ratio = len(packer.compress(data)) / len(data)
     size = bands.chunk_bytes
     view = memoryview(data)
-    for at in range(0, len(data) - size + 1, size):
+    fine = True
+    for at in range(0, len(data), size):
+        part = view[at : at + size]
+        low, high = bands.chunk if len(part) == size else bands.of(len(part))
+        if len(part) < size and out.n_chunks:
+            fine = out.n_bad_chunks < bands.bad_chunk_share * out.n_chunks
         out.n_chunks += 1
-        out.n_bad_chunks += not bands.chunk[0] <= len(packer.compress(view[at : at + size])) / size <= bands.chunk[1]
+        out.n_bad_chunks += not low <= len(packer.compress(part)) / len(part) <= high
     low, high = bands.of(len(data))
-    fine = low <= out.ratio <= high and (not out.n_chunks or out.n_bad_chunks < bands.bad_chunk_share * out.n_chunks)
+    fine = fine and low <= out.ratio <= high and out.n_bad_chunks < bands.bad_chunk_share * out.n_chunks
     out.kept = fine and not out.base_failed
     return out
 

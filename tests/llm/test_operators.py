@@ -270,6 +270,20 @@ def test_compression_bands(docs, empty):
     assert compression_bands.compression_bands(empty).count() == 0
 
 
+def test_compression_bands_judge_the_rest_after_whole_chunks():
+    import zstandard
+
+    bands, packer, rng = compression_bands.Bands(), zstandard.ZstdCompressor(level=3), random.Random(2)
+    head = "".join(rng.choice("abcdefgh  ") for _ in range(4096)).encode()
+    noise = bytes(rng.choice(range(33, 126)) for _ in range(3000))
+    found = compression_bands.judge(head, bands, packer)
+    assert found.kept and (found.n_chunks, found.n_bad_chunks) == (1, 0)
+    found = compression_bands.judge(head + noise, bands, packer)
+    assert 0.25 <= found.ratio <= 0.75 and not found.base_failed and (found.n_chunks, found.n_bad_chunks) == (2, 1) and not found.kept
+    mixed = compression_bands.judge(head + bytes(rng.choice(range(33, 126)) for _ in range(4096)) + head[:1000], bands, packer)
+    assert mixed.n_bad_chunks == 1 and not mixed.kept, "a good rest doesn't save a text of bad chunks"
+
+
 def simhash_brute(rows):
     def fp(text):
         words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
