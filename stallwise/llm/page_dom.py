@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 from math import log1p
@@ -11,6 +12,10 @@ from math import log1p
 UNSEEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "textarea", "select", "option", "button", "math", "canvas", "audio", "video"}
 #: Those of them whose content is not markup either.
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: What can stand in a head; anything else ends it.
+IN_HEAD = {"html", "head", "meta", "link", "base", "title", "style", "script", "noscript", "template"}
+#: Drawings and formulas, which blocks of text end, but for those within an element that may hold them.
+FOREIGN_ROOTS, HOLDS_BLOCKS = {"svg", "math"}, {"foreignobject", "desc", "annotation-xml"}
 #: Elements that stay within the text of a block.
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "input", "br", "wbr", "html", "meta", "link", "big", "strike", "center", "acronym", "area", "map", "picture", "source", "embed", "param", "track", "col", "base"}
 VOID = {"img", "input", "br", "wbr", "meta", "link", "area", "source", "embed", "param", "track", "col", "base", "hr"}
@@ -80,11 +85,13 @@ class Page:
 
 
 def read(html: str) -> Page:
-    """Open elements end where others of their kind must begin, at an end tag of theirs, or with their parents."""
+    """Open elements end where others of their kind must begin, at an end tag of theirs, or with their parents;
+    so do hidden ones. Hidden elements that close themselves hide nothing."""
     nodes = [Node("body", -1)]
     stack, texts = [0], []
     buffer: list[str] = []
-    hidden: list[str] = []
+    hidden: list[str] = []  # a hidden element and what is open in it
+    spans: Counter[str] = Counter()  # open elements within the block
     links, linked, seen = 0, 0, 0
 
     def flush() -> None:
@@ -139,7 +146,12 @@ def read(html: str) -> Page:
             if tag in hidden:
                 while hidden.pop() != tag:
                     pass
-            elif hidden or tag == "br":
+                continue
+            if hidden and (spans[tag] or (tag not in INLINE and any(nodes[k].tag == tag for k in stack[1:]))):
+                hidden.clear()
+            if tag in INLINE and spans[tag] and not hidden:
+                spans[tag] -= 1
+            if hidden or tag == "br":
                 buffer.append(" ")
             elif tag == "a":
                 links = max(0, links - 1)
@@ -151,6 +163,14 @@ def read(html: str) -> Page:
                 else:
                     flush()
             continue
+        if hidden and hidden[0] == "head" and len(hidden) == 1 and tag not in IN_HEAD and tag != "body":
+            hidden.clear()
+        if hidden and OF_TAG.get(tag) and tag != "body":
+            if hidden[0] in FOREIGN_ROOTS and not HOLDS_BLOCKS.intersection(hidden):
+                hidden.clear()
+            elif UNSEEN.issuperset(hidden) and nodes[stack[-1]].tag in ENDS.get(tag, ()):
+                hidden.clear()
+        closed = attributes.endswith("/>")
         if tag in UNSEEN and (tag != "head" or not hidden):
             if tag in RAW:
                 end = re.compile(f"</{tag}", re.I).search(html, at)
@@ -159,13 +179,17 @@ def read(html: str) -> Page:
                     rest = html.find(">", at)
                     at = n if rest < 0 else rest + 1
                 buffer.append(" ")
-            else:
+            elif not closed:
                 hidden.append(tag)
             continue
         if hidden:
             if tag == "body" and "head" in hidden:
                 hidden.clear()
             else:
+                while len(hidden) > 1 and hidden[-1] in ENDS.get(tag, set()) | {"p"} and tag not in INLINE:
+                    hidden.pop()
+                if not closed and tag not in VOID:
+                    hidden.append(tag)
                 continue
         if tag == "br" or tag in VOID:
             buffer.append(" ")
@@ -175,9 +199,11 @@ def read(html: str) -> Page:
         if tag == "a":
             links += 1
         if tag in INLINE:
+            spans[tag] += 1
             continue
         flush()
         links = 0
+        spans.clear()
         if tag == "body":
             target = 0
         else:
@@ -220,6 +246,7 @@ def features(page: Page) -> list[list[float]]:
     above: list[frozenset[str]] = []
     tags_above: list[frozenset[str]] = []
     whole = max(1, page.nodes[0].chars)
+    tags = [Counter(page.nodes[c].tag for c in node.children) for node in page.nodes]
     place = {c: k for node in page.nodes for k, c in enumerate(node.children)}
     for i, node in enumerate(page.nodes):
         up = page.nodes[node.parent] if i else None
@@ -228,7 +255,7 @@ def features(page: Page) -> list[list[float]]:
         above.append(over)
         tags_above.append(over_tags)
         kind, n = OF_TAG.get(node.tag, ""), len(up.children) if up else 1
-        alike = sum(page.nodes[c].tag == node.tag for c in up.children) if up and n < 200 else n
+        alike = tags[node.parent][node.tag] if up else 1
         rows.append(
             [
                 *(float(kind == g) for g in TAGS),

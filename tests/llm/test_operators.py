@@ -181,6 +181,35 @@ def test_page_text(spark):
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_of_any_length_count_siblings_of_a_kind():
+    from stallwise.llm.page_dom import FEATURES, features, read
+
+    page = read("<article>" + "<p>text</p>" * 300 + "<nav>menu</nav></article>")
+    alike = {n.tag: row[FEATURES.index("like_siblings")] for n, row in zip(page.nodes, features(page))}
+    assert alike["p"] == 300 and alike["nav"] == 1
+
+
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ('<div><svg class="icon"/><p>one</p></div><p>two</p>', ["one", "two"]),
+        ("<div><canvas>no</div><p>two</p>", ["two"]),
+        ("<p><b><button>no</b> one</p><p>two</p>", ["one", "two"]),
+        ("<div><svg><path><p>one</p></div><p>two</p>", ["one", "two"]),
+        ("<datalist><option>no<option>no</datalist><p>two</p>", ["two"]),
+        ("<ul><li>one<object>no<li>two</ul>", ["one", "two"]),
+        ("<div><button><div>no</div>no</button>one</div>", ["one"]),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg><p>two</p>", ["two"]),
+        ("<head><title>no</title><meta charset=x><p>one</p><p>two</p>", ["one", "two"]),
+        ("<head><noscript>no</noscript></head><div>one</div>", ["one"]),
+    ],
+)
+def test_hidden_elements_end(html, texts):
+    from stallwise.llm.page_dom import read
+
+    assert [t for _, t in read(html).texts] == texts
+
+
 def test_language_id(docs, empty, spark):
     got = language_id.identify(docs).toPandas()
     assert len(got) == len(awkward_rows())
