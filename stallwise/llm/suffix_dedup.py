@@ -43,7 +43,11 @@ from stallwise.llm.suffix_merge import least_owner
 #: Bytes of a k-gram.
 GRAM = 16
 #: Bytes of text that are hashed at once.
-STRETCH = 1 << 21
+STRETCH = 1 << 18
+#: Windows of a run; more make another run.
+LONGEST = 256
+#: Bytes of strings that are merged at once; only one anchor's strings may be more.
+PIECE = 1 << 18
 NULL_ID = -(1 << 63)
 
 
@@ -75,15 +79,29 @@ def sliding(least: Callable, values: np.ndarray, width: int) -> np.ndarray:
     return least(done[:n], done[width - reach : width - reach + n]) if reach < width else done
 
 
-def anchors(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each stretch: where it starts, hashes of its k-grams, least hash of each window, anchors' positions."""
-    width = length - GRAM + 1
-    for at in range(0, len(data) - length + 1, STRETCH):
-        part = data[at : at + STRETCH + length - 1]
-        hashes = gram_hashes(part)
-        least = sliding(np.minimum, hashes, width)
-        pad = np.zeros(width - 1, np.uint64)
-        yield at, hashes, least, np.flatnonzero(sliding(np.maximum, np.concatenate([pad, least, pad]), width) == hashes)
+def runs(column: pa.BinaryArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window, number of windows and anchor of the runs of windows that have the same anchor. Each window of
+    a row is in one run."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at in range(int(offsets[0]), int(offsets[-1]) - length + 1, STRETCH):
+        part = column.buffers()[2][at : min(int(offsets[-1]), at + STRETCH + length - 1)]
+        least = sliding(np.minimum, gram_hashes(part), length - GRAM + 1)
+        # No window goes over the end of its row.
+        ends = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, at + len(part), "left")] - at
+        over = np.zeros(len(least) + 1, np.int64)
+        np.add.at(over, np.clip(ends - length + 1, 0, len(least)), 1)
+        np.add.at(over, np.clip(ends, 0, len(least)), -1)
+        least[np.cumsum(over[:-1]) > 0] = 0
+        starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        n, hashes = np.diff(np.append(starts, len(least))), least[starts]
+        for k in range(0, int(n.max()), LONGEST):
+            more = (hashes != 0) & (n > k)
+            found.append((at + starts[more] + k, np.minimum(n[more] - k, LONGEST), hashes[more]))
+    start, n, hashes = (np.concatenate(x) for x in zip(*found))
+    row = np.searchsorted(offsets, start, "right") - 1
+    order = np.argsort(row, kind="stable")
+    return row[order], (start - offsets[row])[order], n[order], hashes[order]
 
 
 def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -106,7 +124,7 @@ def unpacked(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(kind).reshape(-1)
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together until they hold so many bytes in a column of binaries."""
     held, size = [], 0
     for batch in batches:
@@ -137,16 +155,13 @@ def announce(batches: Iterator[pa.RecordBatch], params: Params, buckets: int) ->
     should two anchors look alike, that only adds strings to compare. From 0: an entry for each anchor of a batch; rows is how many documents hold it, below
     zero if several do. Below 0: anchors known to be shared, for the documents themselves."""
     for batch in regrouped(batches, "data"):
-        found, owner = [], []
-        for id_, data in zip(batch.column(0).to_numpy(), batch.column(1)):
-            for _, hashes, _, at in anchors(data.as_py(), params.length):
-                found.append(np.unique(hashes[at]))
-                owner.append(np.full(len(found[-1]), id_))
-        if not found:
+        row, _, _, hashes = runs(batch.column("data"), params.length)
+        if not len(row):
             continue
-        hashes, ids = np.concatenate(found), np.concatenate(owner)
-        order = np.argsort(hashes)
-        hashes, ids = hashes[order], ids[order]
+        order = np.argsort(hashes, kind="stable")
+        row, hashes = row[order], hashes[order]
+        once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])))
+        hashes, ids = hashes[once], batch.column("id").to_numpy()[row[once]]
         starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         sizes = np.diff(np.append(starts, len(hashes)))
         least = np.minimum.reduceat(ids, starts)
@@ -191,22 +206,26 @@ STRINGS = "bucket int, text binary, size binary, id binary, key binary, at binar
 KINDS = {"size": np.int64, "id": np.int64, "key": np.int32, "at": np.int64}
 
 
-def cut_strings(data: bytes, shared: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, size, hash) of the strings of a text's shared anchors; hash 0 for single windows of hot ones."""
-    back = np.arange(length - GRAM, -1, -1)
-    for base, hashes, least, at in anchors(data, length):
-        at = at[np.isin(hashes[at].astype(np.uint32), shared)]
-        for part in np.split(at, range(1 << 15, len(at), 1 << 15)):
-            held = hashes[part]
-            padded = np.concatenate([np.zeros(len(back) - 1, np.uint64), least, np.zeros(len(back) - 1, np.uint64)])
-            mine = padded[part[:, None] - back[None, :] + len(back) - 1] == held[:, None]
-            first = part - back[mine.argmax(axis=1)]
-            last = part - back[mine.shape[1] - 1 - mine[:, ::-1].argmax(axis=1)]
-            very = np.isin(held.astype(np.uint32), hot)
-            yield base + first[~very], (last - first)[~very] + length, held[~very]
-            n = (last - first + 1)[very]
-            single = np.repeat(first[very], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield base + single, np.full(len(single), length), np.zeros(len(single), np.uint64)
+def shared_strings(batch: pa.RecordBatch, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, size, hash) of the strings of a batch's shared anchors; hash 0 for single windows of hot ones."""
+    row, start, n, hashes = runs(batch.column("data"), length)
+    lists = batch.column("hashes")
+    owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()).astype(np.uint64)
+    known = owner << np.uint64(32) | lists.flatten().to_numpy().view(np.uint32)
+    brief = hashes.astype(np.uint32)
+    asked = np.isin(row.astype(np.uint64) << np.uint64(32) | brief, known)
+    copied = np.array([len(c) > 0 and k in c.values.to_numpy() for k, c in zip(batch.column("key").to_numpy(), batch.column("copies"))], bool)
+    asked &= ~copied[row]
+    row, start, n, hashes, brief = (x[asked] for x in (row, start, n, hashes, brief))
+    very = np.isin(brief, hot)
+    m = n[very]
+    step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    return (
+        np.concatenate((row[~very], np.repeat(row[very], m))),
+        np.concatenate((start[~very], np.repeat(start[very], m) + step)),
+        np.concatenate((n[~very] + length - 1, np.full(len(step), length))),
+        np.concatenate((hashes[~very], np.zeros(len(step), np.uint64))),
+    )
 
 
 def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int, hot) -> Iterator[pa.RecordBatch]:
@@ -215,18 +234,14 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
     packer = zstandard.ZstdCompressor(level=1)
     for batch in regrouped((b.select(["id", "key", "data", "hashes", "copies"]) for b in batches), "data"):
         ids, keys = (batch.column(n).to_numpy() for n in ("id", "key"))
+        row, start, size, held = shared_strings(batch, params.length, hot.value)
+        column = batch.column("data")
+        begins = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][row] + start
         index: dict[bytes, int] = {}
-        parts: list[tuple] = []
-        for row, (data, hashes, copies) in enumerate(zip(batch.column("data"), batch.column("hashes"), batch.column("copies"))):
-            if not len(hashes) or keys[row] in copies.values.to_numpy():
-                continue
-            data = data.as_py()
-            for start, size, held in cut_strings(data, hashes.values.to_numpy().view(np.uint32), hot.value, params.length):
-                which = [index.setdefault(data[a : a + n], len(index)) for a, n in zip(start.tolist(), size.tolist())]
-                parts.append((np.array(which, np.int64), np.full(len(start), row), start, size, held))
+        text = column.buffers()[2].to_pybytes() if len(row) else b""
+        which = np.array([index.setdefault(text[a:b], len(index)) for a, b in zip(begins.tolist(), (begins + size).tolist())], np.int64)
         if not index:
             continue
-        which, row, start, size, held = (np.concatenate(x) for x in zip(*parts))
         least = np.full(len(index), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids[row])
         first = ids[row] == least[which]
@@ -254,13 +269,47 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
 SPANS = "id long, key int, begins array<long>, ends array<long>"
 
 
-def anchors_of(strings: list[bytes], length: int) -> np.ndarray:
-    """The anchor of each string: the least hash in its first window, as in all of its windows."""
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    first = np.cumsum(sizes) - sizes
-    hashes = gram_hashes(b"".join(strings))
+def may_repeat(text: bytes, sizes: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each string its anchor, the least hash in its first window as in all of its windows, and whether another
+    document's string can share a window with it: a window holds half of what it has beside the anchor on one side
+    of it at least, so strings that share one agree there. Several places of the anchor leave that open."""
+    first, near = np.cumsum(sizes) - sizes, (length - GRAM + 1) // 2
+    hashes = gram_hashes(text)
     bounds = np.column_stack((first, first + length - GRAM + 1)).ravel()
-    return np.minimum.reduceat(np.append(hashes, np.uint64(0)), bounds)[::2]
+    of = np.minimum.reduceat(np.append(hashes, np.uint64(0)), bounds)[::2]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
+    at = np.flatnonzero(hashes == of[owner])
+    at = at[at + GRAM <= (first + sizes)[owner[at]]]
+    places = np.bincount(owner[at], minlength=len(sizes))
+    place = at[np.searchsorted(owner[at], np.arange(len(sizes)))]
+    can = places > 1
+    for begin, inside in ((place - near, place - near >= first), (place + GRAM, place + GRAM + near <= first + sizes)):
+        which = np.flatnonzero(inside)
+        # Two hashes cover `near` characters, near > GRAM; shorter lengths keep all strings.
+        if near < GRAM:
+            return of, np.ones(len(sizes), bool)
+        keys = (of[which] ^ hashes[begin[which]]) * np.uint64(0x9E3779B97F4A7C15) + hashes[begin[which] + near - GRAM]
+        order = np.argsort(keys)
+        which, keys = which[order], keys[order]
+        if len(which):
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            several = np.minimum.reduceat(least[which], starts) < np.maximum.reduceat(least[which], starts)
+            can[which[np.repeat(several, np.diff(np.append(starts, len(which))))]] = True
+    return of, can
+
+
+def pieces(of: np.ndarray, can: np.ndarray, least: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Strings to be merged, all of an anchor together: of anchors that have strings of several documents."""
+    order = np.flatnonzero(can)
+    order = order[np.argsort(of[order], kind="stable")]
+    starts = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    several = np.minimum.reduceat(least[order], starts) < np.maximum.reduceat(least[order], starts) if len(order) else np.zeros(0, bool)
+    n = np.diff(np.append(starts, len(order)))
+    order, n = order[np.repeat(several, n)], n[several]
+    held = np.cumsum(np.add.reduceat(sizes[order], np.cumsum(n) - n)) if len(n) else n
+    for which in np.split(np.arange(len(n)), np.flatnonzero(np.diff(held // PIECE)) + 1):
+        if len(which):
+            yield order[n[: which[0]].sum() : n[: which[-1] + 1].sum()]
 
 
 def settle(table: pa.Table, length: int) -> pa.Table:
@@ -275,18 +324,20 @@ def settle(table: pa.Table, length: int) -> pa.Table:
         strings = list(index)
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids)
-        of = anchors_of(strings, length)
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        of, can = may_repeat(b"".join(strings), sizes, least, length)
         lone = ids > least[which]  # the whole string is in a document with a smaller id
         found = [(start[lone], start[lone] + size[lone], np.flatnonzero(lone))]
 
-        order = np.argsort(of, kind="stable")
-        _, n = np.unique(of, return_counts=True)
-        mixed = order[np.repeat(n, n) > 1]
-        windows = least_owner([strings[i] for i in mixed], least[mixed], length)
-        flat = np.concatenate([np.zeros(0, np.int64), *windows])
+        flat = [np.zeros(0, np.int64)]
+        mixed = np.zeros(0, np.int64)
+        for part in pieces(of, can, least, sizes):
+            flat.append(least_owner([strings[i] for i in part], least[part], length))
+            mixed = np.append(mixed, part)
+        flat = np.concatenate(flat)
         first = np.zeros(len(strings), np.int64)
         n_windows = np.zeros(len(strings), np.int64)
-        n_windows[mixed] = [len(w) for w in windows]
+        n_windows[mixed] = sizes[mixed] - length + 1
         first[mixed] = np.cumsum(n_windows[mixed]) - n_windows[mixed]
         entry = np.flatnonzero(~lone & (n_windows[which] > 0))
         n = n_windows[which[entry]]

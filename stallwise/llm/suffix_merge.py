@@ -58,20 +58,21 @@ class Rotations:
         """The first n characters of each rotation, n < STEP, as small numbers in order."""
         return dense(self.word >> np.uint64(64 - 8 * n))
 
-    def sorted_shard(self, rows: slice) -> np.ndarray:
-        """The rows of a shard of whole strings in the order of their rotations."""
-        ranks = dense(self.word[rows])
+    def sorted_shard(self, rows: slice, ranks: np.ndarray, length: int) -> np.ndarray:
+        """The rows of a shard of whole strings in the order of their rotations' first `length` characters; ranks: of
+        the first STEP. What is equal so far may come in any order: a refinement only counts what precedes it."""
         start, size, place = self.start[self.owner[rows]] - rows.start, self.size[self.owner[rows]], self.place[rows]
-        by, enough, bits = STEP, 2 * int(size.max()), len(ranks).bit_length()
-        while by < enough and ranks.max() + 1 < len(ranks):
-            joined = ranks << bits | ranks[start + (place + by) % size]
-            if 3 * bits <= 63:
-                joined = joined << bits | ranks[start + (place + 2 * by) % size]
-                by *= 3
-            else:
-                by *= 2
+        known = STEP
+        while True:
+            bits = int(ranks.max()).bit_length()
+            thrice = 3 * bits <= 63
+            joined = ranks << bits | ranks[start + (place + known) % size]
+            if thrice:
+                joined = joined << bits | ranks[start + (place + 2 * known) % size]
+            known *= 3 if thrice else 2
+            if known >= length:
+                return np.argsort(joined) + rows.start
             ranks = dense(joined)
-        return ordered(ranks) + rows.start
 
 
 def merged(rotations: Rotations, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +83,11 @@ def merged(rotations: Rotations, length: int) -> tuple[np.ndarray, np.ndarray]:
             cuts.append(end)
     if cuts[-1] < len(rotations.owner):
         cuts.append(len(rotations.owner))
-    shards = [rotations.sorted_shard(slice(a, b)) for a, b in zip(cuts, cuts[1:])]
+    letters = dense(rotations.word)
+    shards = [rotations.sorted_shard(slice(a, b), letters[a:b], length) for a, b in zip(cuts, cuts[1:])]
     rows = np.concatenate(shards)
     source = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint32), [len(x) for x in shards])
 
-    letters = dense(rotations.word)
     bits = int(letters.max()).bit_length()
     twice = 2 * bits + len(rows).bit_length() <= 63
     first = letters[rows]
@@ -115,10 +116,11 @@ def merged(rotations: Rotations, length: int) -> tuple[np.ndarray, np.ndarray]:
     return found, apart
 
 
-def least_owner(strings: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string and each of its windows of `length` characters: the least owner of a string that holds it."""
+def least_owner(strings: list[bytes], owners: np.ndarray, length: int) -> np.ndarray:
+    """For each string and each of its windows of `length` characters, one after the other: the least owner of a
+    string that holds it."""
     if not strings:
-        return []
+        return np.zeros(0, np.int64)
     rotations = Rotations(strings)
     rows, apart = merged(rotations, length)
     string, start = rotations.owner[rows], rotations.place[rows] - 1
@@ -129,4 +131,4 @@ def least_owner(strings: list[bytes], owners: np.ndarray, length: int) -> list[n
     first = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), np.int64)
     out[(first[string] + start)[whole]] = least[whole]
-    return np.split(out, first[1:])
+    return out
