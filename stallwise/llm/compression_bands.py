@@ -5,6 +5,12 @@ The ratio (compressed bytes / bytes) is taken over the whole document and over f
 is held against limits for its own length, since short inputs compress less well. What is left after the last whole
 chunk is a chunk of its own; a document goes if too many of its chunks are bad, with the rest or without it.
 
+The limits come from the table itself: lengths fall into bands of a quarter octave, and of the ratios of all
+different texts of a band and its two neighbours, what lies outside of the quartiles by more than `fence` times their
+distance, and off the median by more than `least_spread` of it, is out. Chunks have wider fences, as one bad chunk
+of two is enough to reject. Counts of ratios by thousandths, which are few at any size, give the quartiles. Bands
+with fewer texts than `least_rows` keep fixed, wide limits.
+
 Rows: null or empty text has no words, fails the base rules and is not kept; very long texts are compressed
 in a stream and chunk by chunk; repeated rows are judged one by one; an empty table gives an empty result.
 Only the two named columns are read, so other columns can have any name.
@@ -13,7 +19,8 @@ Only the two named columns are read, so other columns can have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +36,28 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(8)], np.uint64)
 
 
+#: Bands of an octave of lengths.
+OCTAVE = 4
+
+
+def band_of(n_bytes: int) -> int:
+    return int(OCTAVE * log2(max(1, n_bytes)))
+
+
+@dataclass(frozen=True)
+class Fences:
+    document: float = 2.0
+    chunk: float = 4.0
+    #: Share of the median that a ratio may be off at least.
+    least_document: float = 0.07
+    least_chunk: float = 0.15
+    least_rows: int = 30
+
+
 @dataclass(frozen=True)
 class Bands:
-    """Limits of compressed / plain bytes by length in bytes: (from this length, lowest, highest)."""
+    """Limits of compressed / plain bytes. By band of lengths, for documents and for chunks, where they are fitted;
+    else by length in bytes: (from this length, lowest, highest), and one pair for whole chunks."""
 
     document: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (128, 0.30, 1.10), (512, 0.28, 0.85), (2048, 0.25, 0.75))
     chunk_bytes: int = 4096
@@ -39,9 +65,45 @@ class Bands:
     #: Share of chunks out of their band from which a document is rejected.
     bad_chunk_share: float = 0.5
     level: int = 3
+    fitted: dict[int, tuple[float, float]] = field(default_factory=dict)
+    fitted_chunk: dict[int, tuple[float, float]] = field(default_factory=dict)
 
     def of(self, n_bytes: int) -> tuple[float, float]:
-        return next((low, high) for start, low, high in reversed(self.document) if n_bytes >= start)
+        known = self.fitted.get(band_of(n_bytes))
+        return known or next((low, high) for start, low, high in reversed(self.document) if n_bytes >= start)
+
+    def of_chunk(self, n_bytes: int) -> tuple[float, float]:
+        known = self.fitted_chunk.get(band_of(n_bytes))
+        return known or (self.chunk if n_bytes == self.chunk_bytes else next((low, high) for start, low, high in reversed(self.document) if n_bytes >= start))
+
+
+def limits(counts: dict[int, int], fence: float, least: float) -> tuple[float, float]:
+    """Lowest and highest ratio, of counts by thousandths."""
+    bins = sorted(counts)
+    upto = np.cumsum([counts[b] for b in bins])
+    low, mid, high = (bins[int(np.searchsorted(upto, q * upto[-1]))] / 1000 for q in (0.25, 0.5, 0.75))
+    return min(low - fence * (high - low), (1 - least) * mid), max(high + fence * (high - low), (1 + least) * mid)
+
+
+def fit(docs: DataFrame, bands: Bands = Bands(), fences: Fences = Fences(), text_col: str = "text") -> Bands:
+    """The bands with limits from all different texts of a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            data = [x.as_py() for x in batch.column(0)]
+            band = [band_of(len(x)) for x in data]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(band, pa.int32()), pa.array([1000 * len(packer.compress(x)) // len(x) for x in data], pa.int32())], names=["h", "band", "bin"])
+
+    data = F.col(text_col).cast("string").cast("binary")
+    texts = docs.select(data.alias("data"), F.xxhash64(data).alias("h")).filter(F.octet_length("data") > 0)
+    counts: dict[int, dict[int, int]] = {}
+    for r in texts.mapInArrow(run, "h long, band int, bin int").distinct().groupBy("band", "bin").count().collect():
+        for band in range(r["band"] - 1, r["band"] + 2):
+            at = counts.setdefault(band, {})
+            at[r["bin"]] = at.get(r["bin"], 0) + r["count"]
+    enough = {band: c for band, c in counts.items() if sum(c.values()) >= fences.least_rows}
+    return replace(bands, fitted={b: limits(c, fences.document, fences.least_document) for b, c in enough.items()}, fitted_chunk={b: limits(c, fences.chunk, fences.least_chunk) for b, c in enough.items()})
 
 
 @dataclass
@@ -107,7 +169,7 @@ def judge(data: bytes | None, bands: Bands, packer: zstandard.ZstdCompressor) ->
     fine = True
     for at in range(0, len(data), size):
         part = view[at : at + size]
-        low, high = bands.chunk if len(part) == size else bands.of(len(part))
+        low, high = bands.of_chunk(len(part))
         if len(part) < size and out.n_chunks:
             fine = out.n_bad_chunks < bands.bad_chunk_share * out.n_chunks
         out.n_chunks += 1
@@ -122,8 +184,10 @@ FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"
 
 
-def compression_bands(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its word and line counts, the base rules' result, ratios and the verdict `kept`."""
+def compression_bands(docs: DataFrame, bands: Bands | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its word and line counts, the base rules' result, ratios and the verdict `kept`, by
+    limits that are fitted on docs where none are given."""
+    bands = fit(docs, text_col=text_col) if bands is None else bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=bands.level)
