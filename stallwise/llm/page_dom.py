@@ -9,7 +9,7 @@ from html import unescape
 from math import log1p
 
 #: Elements whose content is not text of the page.
-UNSEEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "textarea", "select", "option", "button", "math", "canvas", "audio", "video"}
+UNSEEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "textarea", "select", "option", "button"}
 #: Those of them whose content is not markup either.
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 #: What can stand in a head; anything else ends it.
@@ -17,13 +17,14 @@ IN_HEAD = {"html", "head", "meta", "link", "base", "title", "style", "script", "
 #: Drawings and formulas, which blocks of text end, but for those within an element that may hold them.
 FOREIGN_ROOTS, HOLDS_BLOCKS = {"svg", "math"}, {"foreignobject", "desc", "annotation-xml"}
 #: Elements that stay within the text of a block.
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "input", "br", "wbr", "html", "meta", "link", "big", "strike", "center", "acronym", "area", "map", "picture", "source", "embed", "param", "track", "col", "base"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "input", "br", "wbr", "html", "meta", "link", "big", "strike", "center", "acronym", "area", "map", "picture", "source", "embed", "param", "track", "col", "base", "object", "canvas", "audio", "video", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mstyle", "semantics", "annotation"}
 VOID = {"img", "input", "br", "wbr", "meta", "link", "area", "source", "embed", "param", "track", "col", "base", "hr"}
 #: An element of the key ends open ones of the set.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Those that begin where a paragraph cannot go on: all other blocks.
 OPENING = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
-REST_OF_TAG = re.compile(r"[^\"'>]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^\"'>]*+)*+>")
+#: To the end of a tag; only after an equals sign does a quote hold it off.
+REST_OF_TAG = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 

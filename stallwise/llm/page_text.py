@@ -5,7 +5,7 @@ those of its ancestors, its depth, and how it stands among its siblings. Decodin
 highest total log-likelihood in which nothing inside a discarded element is kept; so an ancestor and a descendant
 can't contradict each other. The blocks of text directly in kept elements are the main text.
 
-The trees are trained here, on at most `train_pages` pages (by hash of the id): elements of pages that mark their
+The trees are trained here, on about `train_pages` pages (by hash of the id): elements of pages that mark their
 article are labelled by it, and further pages are composed from those pages' own paragraphs and links in many
 layouts, with menus, headers, adverts, notices, sidebars, forms and comments of known labels.
 
@@ -126,7 +126,7 @@ def examples(htmls: list[str], params: Params) -> list[tuple[list[float], float]
             marked(page)
             rows += [(f, float(n.label)) for f, n in zip(features(page), page.nodes) if n.parent >= 0]
         for owner, text in page.texts:
-            (paragraphs if len(text) >= 60 and OF_TAG.get(page.nodes[owner].tag) == "paragraph" else shorts).append(text[:2000])
+            (paragraphs if len(text) >= 60 and OF_TAG.get(page.nodes[owner].tag) == "paragraph" else shorts).append(text)
     rng = random.Random(params.seed)
     paragraphs, shorts = paragraphs or shorts, [s[:40] for s in shorts] or [p[:30] for p in paragraphs]
     if paragraphs:
@@ -160,9 +160,12 @@ class Trees:
 
 
 def fit(pages: DataFrame, params: Params = Params(), id_col: str = "page_id", html_col: str = "html") -> Trees | None:
-    """Trains on the pages that a hash of the id puts first."""
+    """Trains on about `train_pages` pages, by a hash of the id and the page; so many reach the driver at any size."""
     spark = pages.sparkSession
-    sample = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).filter("html is not null").orderBy(F.xxhash64("id"), "id").limit(params.train_pages)
+    n_pages = pages.filter(F.col(html_col).isNotNull()).count()
+    share = min(1.0, params.train_pages / max(1, n_pages))
+    picked = pages.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(params.seed)), F.lit(1 << 30)) < share * (1 << 30))
+    sample = picked.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).filter("html is not null").orderBy("id", "html")
     rows = examples([r["html"] for r in sample.collect()], params)
     if len({y for _, y in rows}) < 2:
         return None
