@@ -1,13 +1,17 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 A model holds, for each language, smoothed log frequencies of words and of character n-grams. A word that
-any language knows adds its word scores; an unseen word adds the mean scores of its longest n-grams that are
-known, backing off from the longest length to single letters. The language with the highest mean score wins.
+any language knows has its word scores; an unseen word has the mean scores of its longest n-grams that are
+known, backing off from the longest length to single letters. The language with the highest mean over the words
+wins, and its share of the exponentials of these means is the score: a text of words that no language knows well
+scores near 1 / languages, whatever its length.
 
 The model is fitted on labelled rows. `train_rows_per_lang` bounds them: where a language has more, a hash of
-the id picks about that many. `max_words` and `max_grams` bound the model, so that it can be broadcast.
+the id picks about that many. All of their words and n-grams make the model, which is broadcast: labelled rows
+bound it, not the table.
 
-Rows: null text, or one without a letter, is `und` with score 0; very long texts are read whole; ties go to the
+A word is a run of letters (Unicode's L), in training as in prediction. Rows: null text, or one without a letter,
+is `und` with score 0; very long texts are read whole; ties go to the
 language that sorts first; repeated rows are scored one by one; rows with a null label or id don't train. An
 empty table gives an empty result, and without a labelled row every text is `und`. Only named columns are
 read, so other columns can have any name.
@@ -16,6 +20,7 @@ read, so other columns can have any name.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Runs of letters; digits, underscores and signs end a word.
+#: Runs of letters and of numbers other than decimal digits.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    found = WORD.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():  # a number such as a half or a circled one
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
+
+
 @dataclass(frozen=True)
 class Params:
     train_rows_per_lang: int = 2000
-    max_words: int = 100_000
-    max_grams: int = 100_000
     longest_gram: int = 4
     #: Added to every count.
     smoothing: float = 0.5
@@ -61,30 +72,35 @@ class Model:
 
     def predict(self, text: str | None, kept: dict[str, np.ndarray]) -> tuple[str, float]:
         """kept: the back-off scores of words seen before, so that each is worked out once."""
-        found = WORD.findall(text.lower()) if text else []
+        found = words_of(text)
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        known = [i for i in map(self.words.get, found) if i is not None]
-        total = np.bincount(known, minlength=1) if known else None
         scores = np.zeros(len(self.langs))
-        if total is not None:
-            at = np.flatnonzero(total)
-            scores += total[at] @ self.word_scores[at]
+        known = [i for i in map(self.words.get, found) if i is not None]
+        for at in range(0, len(known), 1 << 14):
+            scores += self.word_scores[known[at : at + (1 << 14)]].sum(axis=0)
         if len(known) < len(found):
             for word in found:
                 if word not in self.words:
                     if (s := kept.get(word)) is None:
                         s = kept[word] = self.back_off(word)
                     scores += s
+        scores /= len(found)
         best = int(np.argmax(scores))
-        odds = np.exp((scores - scores[best]).clip(-700))
-        return self.langs[best], float(1 / odds.sum())
+        return self.langs[best], float(1 / np.exp(scores - scores[best]).sum())
 
 
 def tokens(labelled: DataFrame) -> DataFrame:
-    """(word, lang, n) over rows (text, lang)."""
-    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")
-    return labelled.select("lang", words).filter("token != ''").groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+    """(token, lang, n) over rows (text, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[tuple[str, str]] = Counter()
+            for text, lang in zip(*(batch.column(n).to_pylist() for n in ("text", "lang"))):
+                counts.update((word, lang) for word in words_of(text))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([x for _, x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "lang", "n"])
+
+    return labelled.select("text", "lang").mapInArrow(run, "token string, lang string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
 
 
 def grams(words: DataFrame, longest: int) -> DataFrame:
@@ -94,14 +110,15 @@ def grams(words: DataFrame, longest: int) -> DataFrame:
     return padded.select("lang", "n", F.explode(at).alias("token")).groupBy("token", "lang").agg(F.sum("n").alias("n"))
 
 
-def table_of(counts: DataFrame, langs: list[str], most: int, smoothing: float) -> tuple[dict[str, int], np.ndarray]:
-    """The `most` commonest tokens and their log frequencies in each language. Collects that many rows at most."""
+def table_of(counts: DataFrame, langs: list[str], smoothing: float) -> tuple[dict[str, int], np.ndarray]:
+    """All tokens of the labelled rows, which bound them, and their log frequencies in each language."""
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-    wide = counts.groupBy("token").agg(F.sum("n").alias("total"), *each)
-    top = wide.orderBy(F.desc("total"), "token").limit(most).toPandas()
-    ids = {t: i for i, t in enumerate(top["token"])}
-    n = top[[f"c{i}" for i in range(len(langs))]].to_numpy(float).reshape(len(ids), len(langs))
-    return ids, np.log(n + smoothing) - np.log(n.sum(axis=0) + smoothing * (len(ids) + 1))
+    if not langs:
+        return {}, np.zeros((0, 0), np.float32)
+    rows = counts.groupBy("token").agg(*each).toArrow().sort_by("token")
+    ids = {t: i for i, t in enumerate(rows.column("token").to_pylist())}
+    n = np.column_stack([rows.column(f"c{i}").to_numpy() for i in range(len(langs))]).astype(np.float32)
+    return ids, np.log(n + np.float32(smoothing)) - np.log(n.sum(axis=0, dtype=np.float64) + smoothing * (len(ids) + 1)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -114,9 +131,10 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
         share = F.when(F.col("lang") == lang, min(1.0, params.train_rows_per_lang / n)).otherwise(share)
     picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
     words = tokens(picked).persist()
-    word_ids, word_scores = table_of(words, langs, params.max_words, params.smoothing)
-    gram_ids, gram_scores = table_of(grams(words, params.longest_gram), langs, params.max_grams, params.smoothing)
+    word_ids, word_scores = table_of(words, langs, params.smoothing)
+    gram_ids, gram_scores = table_of(grams(words, params.longest_gram), langs, params.smoothing)
     words.unpersist()
+    pa.default_memory_pool().release_unused()
     return Model(langs, word_ids, word_scores, gram_ids, gram_scores, params.longest_gram)
 
 
