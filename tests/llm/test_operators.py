@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import types
 import zlib
 
 import duckdb
@@ -147,8 +149,7 @@ def test_merged_transforms_find_the_least_owner():
         for s, o in zip(strings, owners):
             for k in range(len(s) - 11):
                 first[s[k : k + 12]] = min(o, first.get(s[k : k + 12], 9))
-        for s, got in zip(strings, least_owner(strings, owners, 12)):
-            assert got.tolist() == [first[s[k : k + 12]] for k in range(len(s) - 11)]
+        assert least_owner(strings, owners, 12).tolist() == [first[s[k : k + 12]] for s in strings for k in range(len(s) - 11)]
 
 
 def test_preferences(spark, empty):
@@ -193,11 +194,16 @@ def test_pages_of_any_length_count_siblings_of_a_kind():
     "html, texts",
     [
         ('<div><svg class="icon"/><p>one</p></div><p>two</p>', ["one", "two"]),
-        ("<div><canvas>no</div><p>two</p>", ["two"]),
+        ("<div><canvas>one</div><p>two</p>", ["one", "two"]),
         ("<p><b><button>no</b> one</p><p>two</p>", ["one", "two"]),
         ("<div><svg><path><p>one</p></div><p>two</p>", ["one", "two"]),
         ("<datalist><option>no<option>no</datalist><p>two</p>", ["two"]),
-        ("<ul><li>one<object>no<li>two</ul>", ["one", "two"]),
+        ("<ul><li>one <object>more<li>two</ul>", ["one more", "two"]),
+        ("<p>if <math><mi>a</mi></math> holds <video>more</video></p>", ["if a holds more"]),
+        ("<html><head><title>no</title><p>Hello world</p>", ["Hello world"]),
+        ("<p>one</p><div><button>more</div><p>two</p>", ["one", "two"]),
+        ('if a<b then "x</p><p>second " p', ["if a", 'second " p']),
+        ('<p title="a>b" class=x>one</p><p data-x=">">two', ["one", "two"]),
         ("<div><button><div>no</div>no</button>one</div>", ["one"]),
         ("<svg><foreignObject><p>no</p></foreignObject></svg><p>two</p>", ["two"]),
         ("<head><title>no</title><meta charset=x><p>one</p><p>two</p>", ["one", "two"]),
@@ -226,13 +232,41 @@ def test_language_id(docs, empty, spark):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_scores_equal_a_plain_count(spark):
+    """Back-off and scores against counts taken by hand; signs of numbers are no letters, nor do they part of words."""
+    train = [(3, "the cat sat", "en"), (4, "the dog ½ the", "en"), (5, "der hund der", "de"), (7, None, "de"), (8, "x", None)]
+    rows = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = language_id.fit(rows, language_id.Params(longest_gram=2))
+    assert model.langs == ["de", "en"] and set(model.words) == {"the", "cat", "sat", "dog", "der", "hund"}
+
+    def score(token, tables):
+        known = {t for c in tables.values() for t in c}
+        return np.array([np.log(tables[x].get(token, 0) + 0.5) - np.log(sum(tables[x].values()) + 0.5 * (len(known) + 1)) for x in ("de", "en")])
+
+    words = {"en": {"the": 3, "cat": 1, "sat": 1, "dog": 1}, "de": {"der": 2, "hund": 1}}
+    grams = {x: {} for x in words}
+    for lang, counts in words.items():
+        for word, n in counts.items():
+            padded = f"^{word}$"
+            for size in (1, 2):
+                for k in range(len(padded) - size + 1):
+                    grams[lang][padded[k : k + size]] = grams[lang].get(padded[k : k + size], 0) + n
+    unseen = np.mean([score(g, grams) for g in ("th", "he")], axis=0)  # of "^zthez$", the pairs that are known
+    for text, means in (("The dog", (score("the", words) + score("dog", words)) / 2), ("zthez, der", (unseen + score("der", words)) / 2)):
+        share = np.exp(means) / np.exp(means).sum()
+        lang, got = model.predict(text, {})
+        assert lang == ("de", "en")[int(np.argmax(means))] and abs(got - share.max()) < 1e-5
+    assert model.predict("½ ② 10 Ⅷ ²", {}) == ("und", 0.0)
+    assert language_id.words_of("Ab½cd x² ①") == ["ab", "cd", "x"]
+
+
 def test_metric_search(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(700, 8)) / 3
     vectors[100:400] = vectors[100]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(3, vectors[3].tolist()), (1000, None), (1100, [1.0, None] * 4), (1200, [float("nan")] * 8), (None, vectors[0].tolist()), (1300, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    got = metric_search.top_k(table, table.filter("vec_id % 100 = 0"), metric_search.Params(sample=50, pivots=4, salt_rows=100, chunk_nodes=3, block_queries=2))
+    got = metric_search.top_k(table, table.filter("vec_id % 100 = 0"), metric_search.Params(sample=50, region_rows=100, page_rows=60, leaf_rows=7, block_queries=2))
     found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect())
     whole = np.floor(1024 * vectors).astype(np.int64)
     expected = []
@@ -243,6 +277,47 @@ def test_metric_search(spark):
     assert metric_search.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_metric_search_holds_large_and_empty_vectors(spark):
+    """Components that 32 bits or doubles can't hold after scaling take part, exactly; empty vectors score 0."""
+    rows = [(0, [3e6, 1.0]), (1, [2.0**20 + 0.25, -1e-3]), (2, [-(2.0**20), 0.5]), (3, [1e-9, 2.0]), (100, [5e5, -7.25]), (200, []), (4, []), (300, [1e-3, 1e-3])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    got = {}
+    for r in metric_search.top_k(table, table.filter("vec_id % 100 = 0"), metric_search.Params(k=3, page_rows=2, region_rows=2)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for q, x in whole:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q and len(y) == len(x))[:3]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    with pytest.raises(Exception, match="OverflowError"):
+        huge = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+        metric_search.top_k(huge, huge).count()
+
+
+def test_metric_search_leaves_out_what_cannot_count():
+    """Near one of many clusters, few objects are scored, and the best are those of all."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(64, 4)) * 1000
+    vecs = np.floor(centers[rng.integers(0, 64, 4000)] + rng.normal(size=(4000, 4)) * 5).astype(np.int64)
+    vecs = np.floor(3000 * vecs / np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))).astype(np.int64)
+    top = float((vecs * vecs).sum(axis=1).max())
+    points = metric_search.lifted(vecs, top)
+    pivots = points[:1]
+    sizes, radii, routers, dists, order = [], [], [], [], []
+    for at in metric_search.leaves(points, 64):
+        d = metric_search.distances(points[at], points[at[:1]])[:, 0]
+        by = np.argsort(d)
+        sizes, radii, routers, dists, order = [*sizes, len(at)], [*radii, d.max()], [*routers, points[at[0]]], [*dists, d[by]], [*order, at[by]]
+    order, routers = np.concatenate(order), np.array(routers)
+    page = types.SimpleNamespace(region=0, sizes=np.array(sizes).tobytes(), radii=np.array(radii).tobytes(), to_pivot=metric_search.distances(routers, pivots)[:, 0].tobytes(), routers=routers.tobytes(), dists=np.concatenate(dists).tobytes(), ids=order.tobytes(), vecs=vecs[order].astype("<i4").tobytes())
+    queries = np.arange(0, 4000, 100)
+    best = metric_search.search(vecs[queries], queries, np.full(len(queries), -np.inf), page, metric_search.Frame(top, pivots, None, None, None), 10)
+    for q, ids, scores in zip(queries, best.ids, best.scores):
+        expected = sorted((-int(s), i) for i, s in enumerate(vecs @ vecs[q]) if i != q)[:10]
+        assert [(-int(s), int(i)) for s, i in zip(scores, ids)] == expected
+    assert best.scored < 0.2 * len(queries) * len(vecs)
+
+
 def test_piece_sampling(docs, empty):
     params = piece_sampling.Params(tokenizer_path("piece_bpe_32k.model"))
     got = piece_sampling.round_trip(docs, params).toPandas()
@@ -313,6 +388,38 @@ def test_compression_bands_judge_the_rest_after_whole_chunks():
     assert mixed.n_bad_chunks == 1 and not mixed.kept, "a good rest doesn't save a text of bad chunks"
 
 
+def test_compression_bands_are_those_of_the_table(spark):
+    """Limits and verdicts against a plain count over all texts; repetitive and noisy texts go, prose stays."""
+    import zstandard
+
+    rng, packer = random.Random(4), zstandard.ZstdCompressor(level=3)
+    clean = [prose(random.Random(n), "en", 100 + n % 150) for n in range(300)]
+    bad = [prose(random.Random(n), "en", 20) + " | ".join(rng.choice(["one", "two", "three"]) + str(rng.randint(0, 2)) for _ in range(200)) for n in range(8)]
+    bad += [" ".join(base64.b64encode(rng.randbytes(12)).decode() for _ in range(60)) for _ in range(8)]
+    texts = clean + bad + [clean[0]] * 40 + [None, "", "x"]
+    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in compression_bands.compression_bands(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()}
+    band = lambda t: int(4 * math.log2(len(t.encode())))
+    ratio = lambda t: len(packer.compress(t.encode())) / len(t.encode())
+    bins = {}
+    for t in {t for t in texts if t}:
+        bins.setdefault(band(t), []).append(int(1000 * ratio(t)))
+
+    def inside(t, fence, least):
+        near = sorted(x for b in (-1, 0, 1) for x in bins.get(band(t) + b, []))
+        if len(near) < 30:
+            low, high = next((a, b) for n, a, b in ((2048, 0.25, 0.75), (512, 0.28, 0.85), (128, 0.3, 1.1), (0, 0, 9)) if len(t.encode()) >= n)
+        else:
+            first, mid, third = (near[math.ceil(q * len(near)) - 1] / 1000 for q in (0.25, 0.5, 0.75))
+            low, high = min(first - fence * (third - first), mid * (1 - least)), max(third + fence * (third - first), mid * (1 + least))
+        return low <= ratio(t) <= high
+
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert r["kept"] == bool(t and not r["base_failed"] and inside(t, 2, 0.07) and inside(t, 4, 0.15))
+    assert all(got[i]["kept"] for i in range(300)) and not any(got[i]["kept"] for i in range(300, 316))
+
+
 def simhash_brute(rows):
     def fp(text):
         words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))

@@ -5,6 +5,7 @@ import random
 from tests.llm.test_operators import SCHEMA, awkward_rows
 
 import corpus_pipeline
+from stallwise.llm import near_copies
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark):
@@ -60,6 +61,40 @@ def test_near_copies_of_similarity_at_least_four_fifths_go(spark):
     left = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     expected = {i for i in range(len(rows)) if root[i] == i}
     assert left == expected and len(rows) - len(expected) > 30
+    # The same with every shared shingle a crowded one, in blocks of a few rows, and with ids too many to broadcast.
+    for params in (near_copies.Params(few=1, block_rows=2), near_copies.Params(few=2, block_rows=5, broadcast_ids=0)):
+        found = near_copies.near_copies(docs, params).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
+
+
+def test_a_crowd_of_near_copies_is_one_component_where_links_lead(spark):
+    """Copies of one text with ever more words changed: beside those that link, some are near to few others only."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, texts = [word() for _ in range(60)], []
+    for n in range(120):
+        copy = list(base)
+        for k in rng.sample(range(60), n % 4):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    sets, root = [five_word_sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for params in (near_copies.Params(), near_copies.Params(few=3, block_rows=7), near_copies.Params(few=3, sample_rows=10)):
+        found = near_copies.near_copies(docs, params).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
+    assert 1 < len(set(root)) < 60
+
+
+def test_near_copies_without_rows_ids_or_words(spark):
+    schema = "doc_id long, text string, token int, root string"
+    assert near_copies.near_copies(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "a b c d e f", 1, "x"), (7, None, 1, "x"), (5, "", 1, "x"), (9, " \n", 1, "x"), (4, "a b c d e f", 1, "x"), (4, "a b c d e f", 1, "x"), (3, "A B C d e f", 1, "x"), (2, "a b c d e g", 1, "x")]
+    found = near_copies.near_copies(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, found)) == [(2, 2), (3, 3), (4, 3), (4, 3), (5, 5), (7, 5), (9, 5)]
 
 
 def test_packed_rows_hold_their_tokens(spark):
