@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.shared import cut_lineage
+from stallwise.llm.shared import cut_lineage, shared_folder
 
 
 def smallest(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def smallest(edges: DataFrame) -> DataFrame:
     that Spark shuffles both sides for the join and can split the edges of a hub."""
     key = F.col("a").bitwiseXOR(F.lit(-1)).alias("ak")
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select(key, "m")
-    return edges.select(key, "a", "b").join(least, "ak").select("a", "b", "m")
+    # Merged whatever the size: a round's table is small or large, and broadcasts of all rounds would fill the driver.
+    return edges.select(key, "a", "b").join(least.hint("merge"), "ak").select("a", "b", "m")
 
 
 def checksum(edges: DataFrame) -> tuple:
@@ -28,13 +29,15 @@ def checksum(edges: DataFrame) -> tuple:
 def stars(edges: DataFrame) -> DataFrame:
     """(node, root) for every node but the roots: edges (a, b) of two longs in, each component's smallest node as
     its root out. Loops, nulls and repeated edges are ignored."""
+    shared_folder(edges.sparkSession)
     now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = checksum(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = smallest(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        small = smallest(large.distinct())
-        now = cut_lineage(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct())
+        small = smallest(cut_lineage(large.distinct()))
+        # Written by the job that sums it up.
+        now = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct().checkpoint(eager=False)
         after = checksum(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
