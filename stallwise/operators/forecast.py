@@ -32,18 +32,19 @@ def fold_violations(panel: DataFrame, fold_table: DataFrame, horizon: int = 7) -
     return met.filter(bad).select("origin", "origin_date")
 
 
+def croston_step(a: Column, y: Column, alpha: float) -> tuple[Column, Column, Column]:
+    """Size, gap and days since the last sale after a day's demand y."""
+    sold, fresh = y > 0, a["size"].isNull()
+    size = F.when(sold, F.when(fresh, y).otherwise(alpha * y + (1 - alpha) * a["size"])).otherwise(a["size"])
+    gap = F.when(sold, F.when(fresh, a["since"]).otherwise(alpha * a["since"] + (1 - alpha) * a["gap"])).otherwise(a["gap"])
+    return size, gap, F.when(sold, 1.0).otherwise(a["since"] + 1.0)
+
+
 def croston(values: Column, alpha: float = 0.1) -> Column:
     """Croston's intermittent forecast with the Syntetos-Boylan correction, folded over a series in order. The first
     interval counts from before the first day; a series without sales forecasts zero."""
     start = F.struct(F.lit(None).cast("double").alias("size"), F.lit(1.0).alias("gap"), F.lit(1.0).alias("since"))
-
-    def step(a: Column, y: Column) -> Column:
-        sold, fresh = y > 0, a["size"].isNull()
-        return F.struct(
-            F.when(sold, F.when(fresh, y).otherwise(alpha * y + (1 - alpha) * a["size"])).otherwise(a["size"]).alias("size"),
-            F.when(sold, F.when(fresh, a["since"]).otherwise(alpha * a["since"] + (1 - alpha) * a["gap"])).otherwise(a["gap"]).alias("gap"),
-            F.when(sold, 1.0).otherwise(a["since"] + 1.0).alias("since"),
-        )
+    step = lambda a, y: F.struct(*(c.alias(n) for c, n in zip(croston_step(a, y, alpha), ("size", "gap", "since"))))
 
     return F.aggregate(values, start, step, lambda a: F.coalesce((1 - alpha / 2) * a["size"] / F.greatest(a["gap"], F.lit(1.0)), F.lit(0.0)))
 
@@ -80,6 +81,24 @@ def weekday_levels(panel: DataFrame, fold_table: DataFrame, target: str = "deman
     return picked.select("origin", "series_id", F.weekday("dt").alias("weekday"), "profile")
 
 
+def croston_levels(panel: DataFrame, fold_table: DataFrame, target: str = "demand_latent", alpha: float = 0.1) -> DataFrame:
+    """(origin, series_id, y_pred): Croston's forecast of each series at each origin. A series' days are folded once, in
+    order, whatever the number of origins; a series is bounded by the calendar."""
+    days = panel.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("dt", F.col(target).cast("double").alias("y")))).alias("d"))
+    origins = fold_table.agg(F.map_from_entries(F.collect_list(F.struct("origin_date", "origin"))).alias("_origins"))
+    start = F.struct(F.lit(None).cast("double").alias("size"), F.lit(1.0).alias("gap"), F.lit(1.0).alias("since"), F.array().cast("array<struct<origin:int,y_pred:double>>").alias("said"))
+
+    def step(a: Column, x: Column) -> Column:
+        size, gap, since = croston_step(a, x["y"], alpha)
+        level = F.coalesce((1 - alpha / 2) * size / F.greatest(gap, F.lit(1.0)), F.lit(0.0))
+        origin = F.element_at("_origins", x["dt"])
+        said = F.when(origin.isNotNull(), F.concat(a["said"], F.array(F.struct(origin.alias("origin"), level.alias("y_pred"))))).otherwise(a["said"])
+        return F.struct(size.alias("size"), gap.alias("gap"), since.alias("since"), said.alias("said"))
+
+    met = days.crossJoin(F.broadcast(origins))
+    return met.select("series_id", F.explode(F.aggregate("d", start, step, lambda a: a["said"])).alias("s")).select("s.origin", "series_id", "s.y_pred")
+
+
 def forecasts(h: Column) -> dict[str, Column]:
     """What each baseline says for step h, from the columns of states; none is below zero."""
     tail, n, at = F.col("tail"), F.size("tail"), F.pmod(h - 1, F.lit(SEASON))
@@ -99,11 +118,34 @@ def forecasts(h: Column) -> dict[str, Column]:
     return {k: F.greatest(v, F.lit(0.0)) for k, v in said.items()}
 
 
+def predicted(panel: DataFrame, fold_table: DataFrame, models: tuple[str, ...], horizon: int, target: str) -> DataFrame:
+    """What each model says at each origin for each step: (origin, origin_date, series_id, h, dt, naive_scale, p), p
+    being model and y_pred."""
+    at = states(panel, fold_table, target)
+    if "croston" in models:
+        at = at.join(croston_levels(panel, fold_table, target).withColumnRenamed("y_pred", "_croston"), ["origin", "series_id"], "left")
+    steps = at.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("dt", F.date_add("origin_date", F.col("h")))
+    said = forecasts(F.col("h"))
+    if "croston" in models:
+        said["croston"] = F.coalesce("_croston", F.lit(0.0))
+    if "weekly_profile" in models:
+        # A weekday that a series has not had yet takes its level.
+        profile = weekday_levels(panel, fold_table, target).withColumnRenamed("profile", "_profile")
+        steps = steps.withColumn("weekday", F.weekday("dt")).join(profile, ["origin", "series_id", "weekday"], "left")
+        said["weekly_profile"] = F.greatest(F.coalesce("_profile", "level"), F.lit(0.0))
+    return steps.select("origin", "origin_date", "series_id", "h", "dt", "naive_scale", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), said[m].alias("y_pred")) for m in models))).alias("p"))
+
+
+def beyond(panel: DataFrame, models: tuple[str, ...] = ("moving_average",), horizon: int = 7, target: str = "demand_latent") -> DataFrame:
+    """(model, series_id, origin_date, h, dt, y_pred) for the days after the panel, from each series' state on its last
+    day; no truth is joined. A panel without rows has no forecast."""
+    last = panel.agg(F.max("dt").alias("origin_date")).filter("origin_date is not null").withColumn("origin", F.lit(0))
+    return predicted(panel, last, models, horizon, target).select("p.model", "series_id", "origin_date", "h", "dt", "p.y_pred")
+
+
 def backtest(panel: DataFrame, fold_table: DataFrame, models: tuple[str, ...] = ("naive", "seasonal_naive", "moving_average", "seasonal_moving_average"), horizon: int = 7, target: str = "demand_latent") -> DataFrame:
     """The backtest contract: a row per (model, origin, series, day) with truth, prediction and scale."""
-    steps = states(panel, fold_table, target).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("dt", F.date_add("origin_date", F.col("h")))
-    said = forecasts(F.col("h"))
-    wide = steps.select("origin", "origin_date", "series_id", "h", "dt", "naive_scale", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), said[m].alias("y_pred")) for m in models))).alias("p"))
+    wide = predicted(panel, fold_table, models, horizon, target)
     truth = panel.select("series_id", "dt", F.col(target).alias("y_true"), F.col("sale_amount").alias("y_observed"), "available_weight", "is_censored")
     return wide.join(truth, ["series_id", "dt"]).select("p.model", "series_id", "origin", "h", "origin_date", "dt", "y_true", "p.y_pred", "y_observed", "available_weight", "naive_scale", "is_censored")
 

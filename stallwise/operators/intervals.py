@@ -4,26 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.functions.arrays import interpolated, quantile_name
-
-
-def finite_sample_quantile(values: Column, alpha: float) -> Column:
-    """The conformal quantile of an array: level ceil((n + 1)(1 - alpha)) / n, at most 1, linear between values."""
-    ordered, n = F.array_sort(values), F.size(values)
-    level = F.least(F.ceil((n + 1) * F.lit(1 - alpha)) / n, F.lit(1.0))
-    return interpolated(ordered, level * (n - 1))
+from stallwise.functions.arrays import quantile_name
+from stallwise.operators.lineage import written
+from stallwise.operators.quantiles import conformal_level, exact_quantiles
+from stallwise.operators.quantiles import levels as places
 
 
 def by_step(scores: DataFrame, score: str, alpha: float, least_rows: int = 20, keys: Sequence[str] = ("model",)) -> DataFrame:
     """(keys, h, q): the quantile of each step, or of all steps where one has too few scores. Scores are those of the
-    calibration folds; a (model, step) gathers one number per series and fold."""
-    each = scores.groupBy(*keys, "h").agg(F.collect_list(score).alias("own"))
-    pooled = scores.groupBy(*keys).agg(F.collect_list(score).alias("pool"))
-    met = each.join(pooled, list(keys))
-    return met.select(*keys, "h", finite_sample_quantile(F.when(F.size("own") < least_rows, F.col("pool")).otherwise(F.col("own")), alpha).alias("q"))
+    calibration folds; no group of them is gathered."""
+    place = conformal_level(alpha)
+    each = written(exact_quantiles(scores, [*keys, "h"], score, place))
+    if each.filter(F.col("n") < least_rows).isEmpty():
+        return each.select(*keys, "h", F.col("q")[0].alias("q"))
+    pooled = exact_quantiles(scores, keys, score, place).select(*keys, F.col("q").alias("pool"))
+    return each.join(pooled, list(keys)).select(*keys, "h", F.when(F.col("n") < least_rows, F.col("pool")[0]).otherwise(F.col("q")[0]).alias("q"))
 
 
 def attach(test: DataFrame, widths: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -69,6 +67,7 @@ def dispersion(panel: DataFrame, target: str = "demand_latent", window: int = 28
 
 def residual_grid(calibration: DataFrame, test: DataFrame, levels: Sequence[float]) -> DataFrame:
     """Adds pred_qNN: the prediction plus each level's quantile of the step's residuals, not below zero."""
-    got = calibration.groupBy("model", "h").agg(F.percentile(F.col("y_true") - F.col("y_pred"), F.array(*map(F.lit, levels))).alias("_r"))
+    residuals = calibration.select("model", "h", (F.col("y_true") - F.col("y_pred")).alias("residual"))
+    got = exact_quantiles(residuals, ["model", "h"], "residual", places(*levels)).select("model", "h", F.col("q").alias("_r"))
     met = test.join(F.broadcast(got), ["model", "h"])
     return met.withColumns({quantile_name(q): F.greatest(F.col("y_pred") + F.col("_r")[k], F.lit(0.0)) for k, q in enumerate(levels)}).drop("_r")

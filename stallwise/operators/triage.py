@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.operators.quantiles import exact_quantiles
+
 from stallwise.operators.recovery import stockout_runs
 
 
@@ -121,8 +123,10 @@ def series_history(panel: DataFrame, days: int | None = None) -> DataFrame:
 
 def group_stats(panel: DataFrame, key: str) -> DataFrame:
     """Per store, category, weekday or day: series, mean demand, share of volume, stock-outs and uplift."""
-    sums = panel.groupBy(key).agg(F.count_distinct("series_id").alias("n_series"), F.avg("sale_amount").alias("mean_observed"), F.avg("demand_latent").alias("mean_demand"), F.sum("demand_latent").alias("v"), F.sum("sale_amount").alias("o"), F.avg(F.col("is_censored").cast("int")).alias("share_censored"))
-    total = panel.agg(F.sum("demand_latent").alias("_all"))
+    exact = lambda c: F.sum(F.round(c, 6).cast("decimal(28,6)")).cast("double")  # noqa: E731  the same in any order of the rows
+    mean = lambda c: exact(c) / F.count(c)
+    sums = panel.groupBy(key).agg(F.count_distinct("series_id").alias("n_series"), mean("sale_amount").alias("mean_observed"), mean("demand_latent").alias("mean_demand"), exact("demand_latent").alias("v"), exact("sale_amount").alias("o"), F.avg(F.col("is_censored").cast("int")).alias("share_censored"))
+    total = panel.agg(exact("demand_latent").alias("_all"))
     return sums.crossJoin(F.broadcast(total)).select(key, "n_series", "mean_observed", "mean_demand", F.coalesce(F.col("v") / F.nullif(F.col("_all"), F.lit(0.0)), F.lit(0.0)).alias("share_volume"), "share_censored", F.when(F.col("o") > 0, 100 * (F.col("v") / F.col("o") - 1)).otherwise(0.0).alias("uplift_pct"))
 
 
@@ -138,12 +142,15 @@ def demand_distribution(panel: DataFrame, target: str = "demand_latent") -> Data
 
 
 def concentration(lines: DataFrame, value: str = "cost_policy", tops: Sequence[float] = (0.01, 0.05, 0.10, 0.20, 0.50)) -> DataFrame:
-    """Share of the total that the top series hold. One row per series is ranked, over all of them."""
-    each = lines.groupBy("series_id").agg(F.sum(value).alias("v"))
-    n = Window.partitionBy()
-    ranked = each.select("v", F.row_number().over(Window.orderBy(F.desc("v"), "series_id")).alias("r"), F.count(F.lit(1)).over(n).alias("n"), F.sum("v").over(n).alias("all"))
-    rows = ranked.select("*", F.explode(F.array(*map(F.lit, tops))).alias("top"))
-    return rows.groupBy("top").agg((F.sum(F.when(F.col("r") <= F.ceil(F.col("top") * F.col("n")), F.col("v"))) / F.nullif(F.max("all"), F.lit(0.0))).alias("share"))
+    """Share of the total that the top series hold. The least value among the top ones comes from exact selection, so
+    no task ranks all series; of series with just that value as many count as there is room for."""
+    each = lines.groupBy("series_id").agg(F.sum(value).alias("v")).filter(F.col("v").isNotNull())
+    room = lambda n: F.array(*(F.ceil(F.lit(t) * n) for t in tops))
+    least = exact_quantiles(each, [], "v", lambda n: F.transform(room(n), lambda m: (n - m).cast("double")))
+    limits = least.select(F.explode(F.arrays_zip(F.array(*map(F.lit, tops)).alias("top"), room(F.col("n")).alias("m"), F.col("q").alias("t"))).alias("x")).select("x.*")
+    above = F.col("v") > F.col("t")
+    sums = each.crossJoin(F.broadcast(limits)).groupBy("top", "m", "t").agg(F.sum(F.when(above, F.col("v")).otherwise(0.0)).alias("s"), F.count_if(above).alias("n"), F.sum("v").alias("all"))
+    return sums.select("top", ((F.col("s") + (F.col("m") - F.col("n")) * F.col("t")) / F.nullif(F.col("all"), F.lit(0.0))).alias("share"))
 
 
 def catalogue_search(index: DataFrame, query: str, limit: int = 50, offset: int = 0) -> DataFrame:

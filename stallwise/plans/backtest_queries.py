@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stallwise.operators import forecast, metrics
+from stallwise.operators import forecast, intervals, metrics
+from stallwise.operators.lineage import written
 from stallwise.plans import sql
 from stallwise.plans.panel_queries import rounded
 from stallwise.sources import panels
 
 
 def parts(spark, sf_dir):
-    a = panels.panel_a(spark, sf_dir)
-    return a, forecast.folds(a)
+    a = written(panels.panel_a(spark, sf_dir))
+    return a, written(forecast.folds(a))
 
 
 def result_of(spark, sf_dir, models=("naive", "seasonal_naive", "moving_average", "seasonal_moving_average")):
@@ -57,12 +58,21 @@ def forecast_weekly_profile(spark, sf_dir):
 
 
 def forecast_croston(spark, sf_dir):
-    """Croston's forecast of each series at the last origin, over its whole history."""
+    """Croston's forecast of each series at every origin, over its whole history up to that."""
+    return rounded(forecast.croston_levels(*parts(spark, sf_dir)))
+
+
+def forecast_future(spark, sf_dir):
+    """Seven days beyond the panel from each series' last state, with intervals from the residuals of all folds."""
+    a, f = parts(spark, sf_dir)
+    said = forecast.beyond(a, ("moving_average",))
+    return rounded(intervals.residual_conformal(forecast.backtest(a, f, ("moving_average",)), said).select("series_id", "h", "dt", "y_pred", "pred_lo", "pred_hi"))
+
+
+def backtest_croston(spark, sf_dir):
+    """Croston, the weekly profile and zero as models of the backtest."""
     a, f = parts(spark, sf_dir)
-    last = f.orderBy(F.desc("origin")).limit(1)
-    y = F.sort_array(F.collect_list(F.struct("dt", "demand_latent")))
-    whole = a.crossJoin(F.broadcast(last.select("origin_date"))).filter("dt <= origin_date").groupBy("series_id").agg(F.transform(y, lambda x: x["demand_latent"]).alias("y"))
-    return rounded(whole.select("series_id", forecast.croston(F.col("y")).alias("y_pred")))
+    return rounded(metrics.by(forecast.backtest(a, f, ("croston", "weekly_profile", "zero")), "origin"))
 
 
 def result_violations(spark, sf_dir):
@@ -112,7 +122,7 @@ def residual_anomalies(spark, sf_dir, z: float = 3.0):
     return rounded(r.withColumn("z", score).filter(F.abs("z") > z).select("series_id", "origin", "h", "residual", "z"))
 
 
-QUERIES = {f.__name__: f for f in (folds, fold_disjoint, naive_scale, rotation_bands, backtest_baselines, forecast_seasonal_ar, forecast_weekly_profile, forecast_croston, result_violations, metrics_by_origin, metrics_by_horizon, metrics_by_band, metric_summary, improvement, breakdown_long, model_groups, band_verdicts, residual_anomalies)}
+QUERIES = {f.__name__: f for f in (folds, fold_disjoint, naive_scale, rotation_bands, backtest_baselines, forecast_seasonal_ar, forecast_weekly_profile, forecast_croston, forecast_future, backtest_croston, result_violations, metrics_by_origin, metrics_by_horizon, metrics_by_band, metric_summary, improvement, breakdown_long, model_groups, band_verdicts, residual_anomalies)}
 
 FOLDS = """
 fd as (select cast(k as int) as origin, date '1998-04-07' - 7 - 3 * (7 - cast(k as int)) as origin_date from (select unnest(range(8)) as k))"""
@@ -138,6 +148,12 @@ bm as (select series_id, avg(sale) as m from pa where dt <= (select min(origin_d
 bands as (
   select series_id, m, case when m <= (select quantile_cont(m, 0.5) from bm) then 'low' when m > (select quantile_cont(m, 0.85) from bm) then 'high' else 'mid' end as rotation_band from bm)"""
 
+#: cq: the conformal quantile of each step at 90 %; quantile_cont needs a constant level, so ranks are interpolated by hand.
+CONFORMAL_RANKS = """cs as (select h, {score} as s from {rows}),
+rk as (select h, s, row_number() over (partition by h order by s) - 1 as k, count(*) over (partition by h) as n from cs),
+pl as (select h, s, k, n, least(ceil((n + 1) * 0.9) / n, 1) * (n - 1) as place from rk),
+cq as (select h, max(case when k = floor(place) then s end) + (max(case when k = least(floor(place) + 1, n - 1) then s end) - max(case when k = floor(place) then s end)) * (max(place) - floor(max(place))) as q from pl group by h)"""
+
 POINT = """avg(abs(y_true - y_pred)) as mae, sqrt(avg(pow(y_true - y_pred, 2))) as rmse, avg(y_pred - y_true) as bias, avg(abs(y_true - y_pred) / naive_scale) as mase,
   case when sum(y_true) > 0 then sum(abs(y_true - y_pred)) / sum(y_true) end as wape,
   coalesce(avg(2 * abs(y_true - y_pred) / (abs(y_true) + abs(y_pred))) filter (where abs(y_true) + abs(y_pred) > 0), 0) as smape"""
@@ -164,14 +180,35 @@ ORACLE_SQL = {
     join pa l on l.series_id = c.series_id and l.dt = p.dt - 7 join z on z.origin = c.origin and z.series_id = c.series_id""",
     "forecast_weekly_profile": sql.of(sql.PANEL_A, FOLDS) + "select f.origin, p.series_id, cast(isodow(p.dt) - 1 as int) as weekday, round(avg(p.sale), 4) as profile from fd f join pa p on p.dt <= f.origin_date group by 1, 2, 3",
     "forecast_croston": sql.A.replace("with ", "with recursive ", 1)
-    + """, ys as (select series_id, sale as y, row_number() over (partition by series_id order by dt) as n from pa where dt <= date '1998-04-07' - 7),
+    + """, ys as (select series_id, sale as y, row_number() over (partition by series_id order by dt) as n from pa),
     cr as (
       select series_id, 0 as n, cast(null as double) as size, 1.0::double as gap, 1.0::double as since from (select distinct series_id from ys)
       union all
       select c.series_id, c.n + 1, case when y > 0 then case when size is null then y else 0.1 * y + 0.9 * size end else size end,
              case when y > 0 then case when size is null then since else 0.1 * since + 0.9 * gap end else gap end, case when y > 0 then 1.0 else since + 1 end
       from cr c join ys on ys.series_id = c.series_id and ys.n = c.n + 1)
-    select series_id, round(coalesce(0.95 * size / greatest(gap, 1), 0), 4) as y_pred from cr where n = (select max(n) from ys)""",
+    select f.k as origin, series_id, round(coalesce(0.95 * size / greatest(gap, 1), 0), 4) as y_pred
+    from cr join (select cast(unnest(range(8)) as int) as k) f on cr.n = 97 - 7 - 3 * (7 - f.k)""",
+    "forecast_future": BT
+    + ", ma as (select * from bt where model = 'moving_average'), "
+    + CONFORMAL_RANKS.format(score="abs(y_true - y_pred)", rows="ma")
+    + """, fu as (select series_id, avg(sale) as p from pa where dt > date '1998-04-07' - 21 group by 1)
+    select series_id, cast(h as int) as h, date '1998-04-07' + cast(h as int) as dt, round(cast(p as double), 4) as y_pred, round(cast(greatest(p - greatest(q, 1e-6), 0) as double), 4) as pred_lo, round(cast(p + greatest(q, 1e-6) as double), 4) as pred_hi from fu cross join cq""",
+    "backtest_croston": BT.replace("with ", "with recursive ", 1)
+    + f""", ys as (select series_id, sale as y, row_number() over (partition by series_id order by dt) as n from pa),
+    cr as (
+      select series_id, 0 as n, cast(null as double) as size, 1.0::double as gap, 1.0::double as since from (select distinct series_id from ys)
+      union all
+      select c.series_id, c.n + 1, case when y > 0 then case when size is null then y else 0.1 * y + 0.9 * size end else size end,
+             case when y > 0 then case when size is null then since else 0.1 * since + 0.9 * gap end else gap end, case when y > 0 then 1.0 else since + 1 end
+      from cr c join ys on ys.series_id = c.series_id and ys.n = c.n + 1),
+    wd as (select f.origin, p.series_id, isodow(p.dt) as d, avg(p.sale) as m from fd f join pa p on p.dt <= f.origin_date group by 1, 2, 3),
+    three as (
+      select 'croston' as model, g.*, coalesce(0.95 * size / greatest(gap, 1), 0) as y_pred from grid g join cr on cr.series_id = g.series_id and cr.n = 97 - 7 - 3 * (7 - g.origin)
+      union all select 'weekly_profile', g.*, wd.m from grid g join wd on wd.origin = g.origin and wd.series_id = g.series_id and wd.d = isodow(g.dt)
+      union all select 'zero', g.*, 0.0 from grid g),
+    b3 as (select s.model, s.origin, s.series_id, p.sale as y_true, s.y_pred, c.naive_scale from three s join pa p on p.series_id = s.series_id and p.dt = s.dt join sc c on c.origin = s.origin and c.series_id = s.series_id)
+    select model, origin, {ROUNDED}, n from (select model, origin, {POINT}, count(*) as n from b3 group by 1, 2)""",
     "result_violations": BT
     + """select unnest(['not_after_origin', 'step_is_wrong', 'scale_not_positive', 'null_value', 'duplicate_key', 'scale_varies']) as rule,
       unnest([count(*) filter (where dt <= origin_date), count(*) filter (where dt - origin_date <> h), count(*) filter (where naive_scale <= 0), count(*) filter (where y_true is null or y_pred is null),

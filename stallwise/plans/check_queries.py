@@ -41,8 +41,7 @@ def merge_rejected(spark, sf_dir):
 
 def supervised(spark, sf_dir):
     a = panels.panel_a(spark, sf_dir)
-    last = features.origins(a, 7, 42).orderBy(F.desc("origin_date")).limit(5)
-    return features.supervised_matrix(features.origin_state(a), a, last, 7)
+    return features.supervised_matrix(features.origin_state(a), a, features.origins(a, 7, 42), 7)
 
 
 def leak_constant_features(spark, sf_dir):
@@ -88,14 +87,14 @@ def series_overlap(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (merge_report, merge_batch, merge_rejected, leak_constant_features, leak_grouped_lags, leak_target_corr, leak_global_aggregates, leak_target_shift, leak_future_shift, series_overlap)}
 
 BATCH = sql.of(sql.PANEL_B) + ", cu as (select * from pb where day(dt) <= 23), ba as (select *, case when day(dt) <= 23 and product_id % 3 = 0 then sale + 1 else sale end as v from pb where day(dt) >= 20), kd as (select b.*, case when c.dt is null then 'new' when abs(b.v - c.sale) <= 1e-6 + 1e-5 * abs(c.sale) then 'duplicate' else 'conflict' end as kind from ba b left join cu c using (series_id, dt))"
-STATES = "st as (select series_id, dt, sale, avg(sale) over (partition by series_id order by dt rows between 27 preceding and current row) as m28, avg((sale <= 0)::int) over (partition by series_id order by dt rows between 27 preceding and current row) as z28, lag(sale, 7) over w as l7, (lag(sale, 7) over w + lag(sale, 14) over w + lag(sale, 21) over w + lag(sale, 28) over w) / 4 as d4 from pa window w as (partition by series_id order by dt)), sv as (select s.*, p.sale as y from st s cross join (select unnest(range(1, 8)) as h) t join pa p on p.series_id = s.series_id and p.dt = s.dt + cast(t.h as int) where s.dt between date '1998-04-07' - 11 and date '1998-04-07' - 7)"
+STATES = "st as (select series_id, dt, sale, avg(sale) over (partition by series_id order by dt rows between 27 preceding and current row) as m28, avg((sale <= 0)::int) over (partition by series_id order by dt rows between 27 preceding and current row) as z28, lag(sale, 7) over w as l7, (lag(sale, 7) over w + lag(sale, 14) over w + lag(sale, 21) over w + lag(sale, 28) over w) / 4 as d4 from pa window w as (partition by series_id order by dt)), sv as (select s.*, p.sale as y from st s cross join (select unnest(range(1, 8)) as h) t join pa p on p.series_id = s.series_id and p.dt = s.dt + cast(t.h as int) where s.dt between date '1998-01-01' + 41 and date '1998-04-07' - 7)"
 
 ORACLE_SQL = {
     "merge_report": BATCH
     + "select count(*) as n_rows, count(*) filter (where kind = 'new') as n_new, count(*) filter (where kind = 'duplicate') as n_duplicate, count(*) filter (where kind = 'conflict') as n_conflict, min(dt) as first_day, max(dt) as last_day, count(distinct series_id) filter (where series_id not in (select series_id from cu)) as n_new_series from kd",
     "merge_batch": BATCH + "select series_id, dt, round(coalesce(k.v, c.sale), 4) as sale_amount from cu c full join (select series_id, dt, v from kd where kind <> 'duplicate') k using (series_id, dt)",
     "merge_rejected": BATCH + "select dt, count(*) as n from cu group by 1",
-    "leak_constant_features": "select unnest(['dow', 'days_since_start']) as feature, unnest([g, g]) as groups from (select count(*) * 5 as g from (" + sql.A + "select distinct series_id from pa))",
+    "leak_constant_features": "select unnest(['dow', 'days_since_start']) as feature, unnest([g, g]) as groups from (select count(*) * 49 as g from (" + sql.A + "select distinct series_id from pa))",
     "leak_grouped_lags": sql.A + "select unnest(['crosses_series', 'wrong_value']) as rule, unnest([count(*) filter (where n <= 7 and l is not null), 0]) as violations from (select lag(sale, 7) over w as l, row_number() over w as n from pa window w as (partition by series_id order by dt))",
     "leak_target_corr": sql.of(sql.PANEL_A, STATES)
     + "select feature, round(abs(c), 6) as corr, abs(c) >= 0.999 as leaks from (select unnest(['latent_lag_0', 'latent_lag_7', 'latent_roll_mean_28', 'latent_dow_mean_4', 'zero_share_28']) as feature, unnest([corr(sale, y), corr(l7, y), corr(m28, y), corr(d4, y), corr(z28, y)]) as c from sv)",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import at_level, quantile_name
 from stallwise.operators import decision, forecast, intervals, metrics
+from stallwise.operators.lineage import written
 from stallwise.plans import sql
 from stallwise.plans.backtest_queries import BACKTEST, BANDS, FOLDS, parts, result_of, train_bands
 from stallwise.plans.panel_queries import rounded
@@ -16,13 +17,13 @@ LEVELS = decision.LEVELS
 
 
 def halves(spark, sf_dir, models=(MODEL,)):
-    r = result_of(spark, sf_dir, models)
+    r = written(result_of(spark, sf_dir, models))
     return r.filter("origin < 4"), r.filter("origin >= 4")
 
 
 def with_grid(spark, sf_dir):
     """The judged folds with predicted quantiles."""
-    return intervals.residual_grid(*halves(spark, sf_dir), LEVELS)
+    return written(intervals.residual_grid(*halves(spark, sf_dir), LEVELS))
 
 
 def last_lines(spark, sf_dir):
@@ -53,7 +54,7 @@ def conformal_adaptive(spark, sf_dir):
 
 def cqr(spark, sf_dir):
     """Grids from folds 0-1, conformal scores from folds 2-3, judged on folds 4-7."""
-    r = result_of(spark, sf_dir, (MODEL,))
+    r = written(result_of(spark, sf_dir, (MODEL,)))
     fit = r.filter("origin < 2")
     grids = [intervals.residual_grid(fit, r.filter(c), (0.05, 0.95)) for c in ("origin in (2, 3)", "origin >= 4")]
     return intervals.conformal_quantiles(*grids, quantile_name(0.05), quantile_name(0.95), ALPHA)
@@ -91,7 +92,7 @@ def policies(spark, sf_dir, keys=()):
     g = with_grid(spark, sf_dir)
     if keys:
         g = g.join(train_bands(spark, sf_dir).select("series_id", "rotation_band"), "series_id")
-    orders = decision.four_policies(g, MODEL, MODEL, LEVELS, keys=keys)
+    orders = written(decision.four_policies(g, MODEL, MODEL, LEVELS, keys=keys))
     return decision.compared(decision.outcomes(orders, ("policy", *keys)), "current", keys)
 
 

@@ -73,10 +73,9 @@ def origin_states(spark, sf_dir):
 
 
 def supervised_matrix(spark, sf_dir):
-    """The supervised matrix at the last three origins; its columns checked by sums, its keys and labels by row."""
+    """The supervised matrix at all origins."""
     a = panels.panel_a(spark, sf_dir)
-    last = features.origins(a, HORIZON, MIN_TRAIN).orderBy(F.desc("origin_date")).limit(3)
-    m = features.supervised_matrix(features.origin_state(a), a, last, HORIZON)
+    m = features.supervised_matrix(features.origin_state(a), a, features.origins(a, HORIZON, MIN_TRAIN), HORIZON)
     return rounded(m.select("series_id", "origin_date", "h", "dt", "y", "latent_lag_0", "latent_roll_mean_28", "latent_dow_mean_4", "discount", "dow"))
 
 
@@ -138,5 +137,5 @@ ORACLE_SQL = {
     select s.series_id, s.dt as origin_date, cast(t.h as int) as h, p.dt, round(cast(p.sale as double), 4) as y, round(cast(s.sale as double), 4) as latent_lag_0, round(s.m28, 4) as latent_roll_mean_28,
            round(cast(s.d4 as double), 4) as latent_dow_mean_4, round(cast(p.discount as double), 4) as discount, cast(isodow(p.dt) - 1 as int) as dow
     from st s cross join (select unnest(range(1, 8)) as h) t join pa p on p.series_id = s.series_id and p.dt = s.dt + cast(t.h as int)
-    where s.dt between date '1998-04-07' - 9 and date '1998-04-07' - 7""",
+    where s.dt between date '1998-01-01' + 41 and date '1998-04-07' - 7""",
 }

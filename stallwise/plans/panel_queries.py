@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from stallwise.operators import panel_checks as checks
 from stallwise.operators import recovery
+from stallwise.operators.lineage import written
 from stallwise.plans import sql
 from stallwise.sources import panels
 
 
 def recovered(spark, sf_dir):
     """Panel B with its latent demand."""
-    return recovery.recover_by_profile(panels.panel_b(spark, sf_dir))
+    return written(recovery.recover_by_profile(written(panels.panel_b(spark, sf_dir))))
 
 
 def rounded(df, places: int = 4):
