@@ -470,3 +470,17 @@ def test_crowded_anchors_link_the_same(monkeypatch):
     direct = groups(simhash.crowd(fps, home, 2))
     monkeypatch.setattr(simhash, "DIRECT", 0)
     assert groups(simhash.crowd(fps, home, 2)) == direct and len(set(direct)) < len(fps)
+
+
+def test_edges_contract_to_stars_of_the_same_components():
+    from stallwise.llm.components import forest
+
+    rng = np.random.default_rng(5)
+    for n_nodes, n_edges in ((1, 3), (50, 20), (200, 220), (400, 399)):
+        a, b = rng.integers(-n_nodes, n_nodes, (2, n_edges))
+        least = {x: x for x in {*a.tolist(), *b.tolist()}}
+        for _ in least:
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        node, root = forest(a, b)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: y for x, y in least.items() if x != y}
