@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import compression_bands, language_id, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
+from stallwise.llm import compression_bands, conversation_repair, language_id, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
 from stallwise.llm.shared import table, tokenizer_path
 
 
@@ -50,6 +50,10 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors, op11_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
