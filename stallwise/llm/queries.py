@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stallwise.llm import compression_bands, conversation_repair, language_id, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
+from stallwise.llm import compression_bands, conversation_repair, hard_negatives, language_id, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
 from stallwise.llm.shared import table, tokenizer_path
 
 
@@ -54,6 +55,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,8 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors, op11_conversation_repair, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors, op11_conversation_repair, op12_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op4_preference_formatting": preferences.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_preference_formatting": preferences.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
