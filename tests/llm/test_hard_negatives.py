@@ -73,8 +73,8 @@ def test_an_empty_table_and_anchors_without_partners(spark):
 def test_reading_ends_early_on_clusters_and_is_exact():
     """The threshold spares most rows where vectors lie in clusters; a page's result equals that of all its rows."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(40, 8)) * 4
-    vecs = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 0.05)).astype(np.int64)
+    centres = rng.normal(size=(400, 4)) * 4
+    vecs = np.floor(256 * (centres[rng.integers(0, 400, 4000)] + rng.normal(size=(4000, 4)) * 0.05)).astype(np.int64)
     page = hard.Page(np.arange(4000), rng.integers(0, 2, 4000), vecs, np.argsort(vecs, axis=0, kind="stable").astype(np.int32))
     scored = 0
     for i in range(0, 4000, 100):
