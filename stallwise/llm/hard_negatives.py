@@ -269,8 +269,8 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, params: Params =
 #: The query's contract in SQL: every row against every anchor.
 ORACLE = """
 WITH usable AS (
-  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS own, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
-  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS own, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.own = b.own AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
   FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0

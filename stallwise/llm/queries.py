@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import compression_bands, conversation_repair, hard_negatives, language_id, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
+from stallwise.llm import compression_bands, conversation_repair, hard_negatives, language_id, language_model, line_dedup, metric_search, packing, page_text, piece_sampling, preferences, simhash, suffix_dedup
 from stallwise.llm.shared import table, tokenizer_path
 
 
@@ -60,6 +60,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
 
 
+def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors, op11_conversation_repair, op12_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_suffix_dedup, op4_preference_formatting, op5_page_text, op6_language_id, op7_mtree_top_k, op8_piece_sampling, op9_compression_bands, op10_simhash_anchors, op11_conversation_repair, op12_hard_negatives, op13_kneser_ney, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
