@@ -26,13 +26,14 @@ def conformal_level(alpha: float) -> Callable[[Column], Column]:
     return lambda n: F.array(F.least(F.ceil((n + 1) * F.lit(1 - alpha)) / n, F.lit(1.0)) * (n - 1))
 
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, places: Callable[[Column], Column], bins: int = 256, few: int = 1_000_000) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, places: Callable[[Column], Column], bins: int = 256, few: int = 1_000_000, n_rows: int | None = None) -> DataFrame:
     """(keys, n, q): q holds the values at the places (from 0, fractions between neighbours) of each group's sorted
     values that are not null. Groups without a value have no row; keys are not null. Up to `few` rows in all are
-    gathered by group instead, which is quicker and gives the same."""
+    gathered by group instead, which is quicker and gives the same; n_rows: their number at most, where it is known. Places
+    may depend on the keys."""
     by = ["_g", *keys]
     own = rows.filter(F.col(value).isNotNull()).select(F.lit(0).alias("_g"), *keys, F.col(value).cast("double").alias("_v"))
-    if own.count() <= few:
+    if (own.count() if n_rows is None else n_rows) <= few:
         gathered = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("_v")).alias("_all"))
         return gathered.select(*keys, "n", F.transform(places(F.col("n")), lambda p: interpolated(F.col("_all"), p)).alias("q"))
     grid = F.array(*(F.lit(k / bins) for k in range(1, bins)))
