@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.arrays import mean
-from stallwise.operators import forecast
+from stallwise.functions.arrays import mean, quantile_name
+from stallwise.operators import boosting, features, forecast
+from stallwise.operators.intervals import conformal_quantiles, dispersion, residual_conformal
+from stallwise.operators.lineage import written
 from stallwise.operators.recovery import clean_day_bias, recensored_bias
 
 
@@ -43,3 +45,64 @@ def window_sweep(panel: DataFrame, folds: DataFrame, windows: Sequence[int] = (7
     best = sums.agg(F.min("objective").alias("_best"))
     gains = (F.col("objective") == F.col("_best")) & (F.col("_now") - F.col("objective") > F.col("_spread"))
     return sums.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(best)).select("window", "mean", "std", "objective", gains.alias("adopted"))
+
+
+#: Demand bases and the labels of the supervised matrix that stand for them.
+BASES = {"recovered": "y", "observed": "y_observed"}
+
+
+def train_bases(panel: DataFrame, train: DataFrame, calibration: DataFrame, test: DataFrame, levels: Sequence[float] = (0.1, 0.5, 0.625, 0.9), alpha: float = 0.1, horizon: int = 7, params: boosting.Params = boosting.Params(), conformal: str = "cqr") -> DataFrame:
+    """One model and its calibration on both demand bases: rows (basis, series, origin, h) of the test origins with the
+    predicted levels, pred_lo and pred_hi, and what was sold. The features are made once and shared; the levels of both
+    bases are boosted in the same jobs. train, calibration and test are tables of origin_date; the days that an earlier
+    one forecasts must end before a later one's origins. conformal: `cqr` moves the band of the outer levels, `adaptive`
+    puts a band around the median in proportion to each series' daily changes."""
+    parts = {"train": train, "calibration": calibration, "test": test}
+    origins = None
+    for part, dates in parts.items():
+        own = dates.select("origin_date", F.lit(part).alias("part"))
+        origins = own if origins is None else origins.unionByName(own)
+    spans = {r["part"]: (r["a"], r["b"]) for r in origins.groupBy("part").agg(F.min("origin_date").alias("a"), F.date_add(F.max("origin_date"), horizon).alias("b")).collect()}
+    if not spans["train"][1] <= spans["calibration"][0] <= spans["calibration"][1] <= spans["test"][0]:
+        raise ValueError("a part's days reach into the next part's origins")
+    state = features.origin_state(panel)
+    matrix = written(features.supervised_matrix(state, panel, origins.select("origin_date"), horizon).join(F.broadcast(origins), "origin_date"))
+    heads = [boosting.Head(target, q) for target in BASES.values() for q in levels]
+    trees = boosting.fit(matrix.filter("part = 'train'"), heads, ("h", *numeric_features(matrix)), ("store_id", "product_id"), params)
+    truth = panel.select("series_id", "dt", "is_censored", "available_weight")
+    later = matrix.filter("part <> 'train'").join(truth, ["series_id", "dt"])
+    names = [quantile_name(q) for q in levels]
+    middle = quantile_name(min(levels, key=lambda q: abs(q - 0.5)))
+    rows = None
+    for basis, target in BASES.items():
+        said = trees.predict(later, target).withColumns({"model": F.lit(basis), "y_true": F.col(target), "y_pred": F.col(middle)})
+        said = written(said.select("model", "part", "series_id", "origin_date", "h", "dt", "y_true", "y_observed", "y_pred", *names, "is_censored", "available_weight"))
+        known, asked = said.filter("part = 'calibration'"), said.filter("part = 'test'")
+        if conformal == "cqr":
+            done = conformal_quantiles(known, asked, names[0], names[-1], alpha)
+        else:
+            column = "demand_latent" if basis == "recovered" else "sale_amount"
+            past = panel.crossJoin(F.broadcast(calibration.agg(F.min("origin_date").alias("_o")))).filter("dt <= _o")
+            done = residual_conformal(known, asked, alpha, dispersion(past, column))
+        rows = done if rows is None else rows.unionByName(done)
+    return rows.withColumnRenamed("model", "basis").drop("part")
+
+
+def numeric_features(matrix: DataFrame) -> list[str]:
+    """The state's features, what is known ahead and the calendar, in the matrix' order."""
+    skip = {"series_id", "origin_date", "dt", "h", "y", "y_observed", "part", *features.HIERARCHY}
+    return [c for c, t in matrix.dtypes if c not in skip and t in ("double", "int", "bigint", "float", "boolean", "smallint", "tinyint")]
+
+
+def compare_bases(rows: DataFrame) -> DataFrame:
+    """(basis, n, mae_clean, recensored_bias, clean_day_bias, coverage, mean_width): on what was sold, bias of the median
+    cut down by the day's available share, and the share of each basis' own truth within its interval."""
+    error = F.abs(F.col("y_observed") - F.col("y_pred"))
+    return rows.groupBy("basis").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.when(~F.col("is_censored"), error)).alias("mae_clean"),
+        recensored_bias(F.col("y_observed"), F.col("y_pred"), F.col("available_weight")).alias("recensored_bias"),
+        clean_day_bias(F.col("y_observed"), F.col("y_pred"), F.col("is_censored")).alias("clean_day_bias"),
+        F.avg(F.col("y_true").between(F.col("pred_lo"), F.col("pred_hi")).cast("int")).alias("coverage"),
+        F.avg(F.col("pred_hi") - F.col("pred_lo")).alias("mean_width"),
+    )

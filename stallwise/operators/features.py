@@ -82,6 +82,15 @@ def origins(panel: DataFrame, horizon: int, min_train_days: int) -> DataFrame:
     return numbered.filter((F.col("n") >= min_train_days) & (F.col("n") <= F.col("days") - horizon)).select(F.col("dt").alias("origin_date"))
 
 
+def training_origins(panel: DataFrame, horizon: int, warmup: int = max(LAGS) + 1, stride: int = 2, most: int = 20) -> DataFrame:
+    """(origin_date): the latest origins with a whole horizon behind them, every stride-th, at most so many; the first days,
+    where the long lags are missing, are none."""
+    usable = origins(panel, horizon, warmup + 1)
+    last = usable.agg(F.max("origin_date").alias("_last"))
+    back = F.datediff("_last", "origin_date")
+    return usable.crossJoin(F.broadcast(last)).filter((back % stride == 0) & (back < stride * most)).select("origin_date")
+
+
 def supervised_matrix(state: DataFrame, panel: DataFrame, origin_dates: DataFrame, horizon: int, target: str = "demand_latent", how: str = "inner") -> DataFrame:
     """(series, origin, h) with the state at the origin, what is known ahead of the target day, its calendar and its
     labels. States are cut down to origins before they are repeated for each step."""

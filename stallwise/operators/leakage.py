@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.operators.numbering import numbered
+from stallwise.operators.quantiles import exact_quantiles, levels
+
 
 def varying_features(supervised: DataFrame, allowed: Sequence[str] = ("h", "discount", "activity_flag")) -> DataFrame:
     """(feature, groups): features that vary within a (series, origin), with how often; there should be none but those
@@ -43,24 +46,22 @@ def target_correlations(supervised: DataFrame, features: Sequence[str], threshol
     return rows.filter((F.col("x.n") >= least) & (F.col("x.sd") > 0)).select("x.feature", "x.corr", (F.col("x.corr") >= threshold).alias("leaks"))
 
 
-def shuffled(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
-    """The rows with a column's values dealt out anew, by a hash of the key. Rows are numbered within hashed salts of
-    the keys' order, so no single task holds them all; a value stays within its salt."""
-    salt = F.pmod(F.xxhash64("series_id", F.lit(seed)), F.lit(64))
-    rows = df.withColumn("_salt", salt)
-    by_key = Window.partitionBy("_salt").orderBy("series_id", "dt")
-    by_hash = Window.partitionBy("_salt").orderBy(F.xxhash64("series_id", "dt", F.lit(seed)), "series_id", "dt")
-    left = rows.drop(column).withColumn("_n", F.row_number().over(by_key))
-    right = rows.select("_salt", F.col(column), F.row_number().over(by_hash).alias("_n"))
-    return left.join(right, ["_salt", "_n"]).drop("_salt", "_n")
+def shuffled(df: DataFrame, column: str, keys: Sequence[str] = ("series_id", "dt"), seed: int = 42) -> DataFrame:
+    """The rows with a column's values dealt out anew over the whole table: the row that is n-th by its keys gets the value
+    of the row that is n-th by the MD5 of its keys and the seed. Keys are unique and not null."""
+    mark = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
+    left = numbered(df.drop(column), keys, "_n")
+    right = numbered(df.select(F.col(column), mark.alias("_m")), ("_m",), "_n").drop("_m")
+    return left.join(right, "_n").drop("_n")
 
 
-def shuffle_test(fit_predict: Callable[[DataFrame, DataFrame], DataFrame], train: DataFrame, test: DataFrame, target: str = "y", ratio: float = 1.25) -> DataFrame:
+def shuffle_test(fit_predict: Callable[[DataFrame, DataFrame], DataFrame], train: DataFrame, test: DataFrame, target: str = "y", ratio: float = 1.25, keys: Sequence[str] = ("series_id", "dt"), seed: int = 42) -> DataFrame:
     """One row: error of a model trained on true and on shuffled labels, and of the best constant. A model that does as
     well on shuffled labels, or better than a constant, has seen the test labels. fit_predict returns y_true, y_pred."""
     error = lambda df, name: df.agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias(name))
-    true, mixed = error(fit_predict(train, test), "mae"), error(fit_predict(shuffled(train, target), test), "mae_shuffled")
-    centre = train.agg(F.avg(target).alias("mean"), F.percentile(target, F.lit(0.5)).alias("median"))
+    true, mixed = error(fit_predict(train, test), "mae"), error(fit_predict(shuffled(train, target, keys, seed), test), "mae_shuffled")
+    median = exact_quantiles(train, [], target, levels(0.5)).select(F.col("q")[0].alias("median"))
+    centre = train.agg(F.avg(target).alias("mean")).crossJoin(F.broadcast(median))
     constant = test.crossJoin(F.broadcast(centre)).agg(F.least(F.avg(F.abs(F.col(target) - F.col("mean"))), F.avg(F.abs(F.col(target) - F.col("median")))).alias("mae_constant"))
     one = true.crossJoin(mixed).crossJoin(constant)
     return one.withColumn("passes", (F.col("mae_shuffled") >= ratio * F.col("mae")) & (F.col("mae_shuffled") >= 0.95 * F.col("mae_constant")))

@@ -1,14 +1,12 @@
-"""Global forecasters on the supervised matrix, with Spark ML, and what they attribute to features."""
+"""Global forecasters on the supervised matrix, with Spark ML. Quantile trees and attribution: boosting."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,100 +69,6 @@ def fit_linear_quantile(train: DataFrame, level: float = 0.9, rounds: int = 6, n
     return Fitted(PipelineModel(stages=[*prep.stages, line]), numeric, ())
 
 
-class QuantileTrees:
-    """Boosted trees for the pinball loss: each round fits a tree to the loss's gradient, and each leaf moves by the
-    quantile of its residuals."""
-
-    def __init__(self, prep, base: float, steps: list, numeric, categorical):
-        self.prep, self.base, self.steps, self.numeric, self.categorical = prep, base, steps, numeric, categorical
-
-    def predict(self, df: DataFrame, name: str = "y_pred") -> DataFrame:
-        done = self.prep.transform(_doubles(df, self.numeric, self.categorical)).withColumn("_q", F.lit(self.base))
-        for k, (tree, values) in enumerate(self.steps):
-            done = _moved(tree, done, values, f"_leaf{k}")
-        return done.select(*df.columns, F.greatest("_q", F.lit(0.0)).alias(name))
-
-
-def _moved(tree, df: DataFrame, values: dict[float, float], leaf: str) -> DataFrame:
-    """Adds each row's leaf value to _q; a tree has at most 2 ** depth leaves."""
-    table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
-    done = tree.setLeafCol(leaf).setPredictionCol(f"{leaf}_p").transform(df)
-    return done.withColumn("_q", F.col("_q") + F.coalesce(table[F.col(leaf)], F.lit(0.0))).drop(leaf, f"{leaf}_p")
-
-
-def fit_quantile_trees(train: DataFrame, level: float, rounds: int = 10, depth: int = 4, rate: float = 0.3, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, seed: int = 42) -> QuantileTrees:
-    prep = Pipeline(stages=_prepared(numeric, categorical, False)).fit(_doubles(train, numeric, categorical))
-    base = train.agg(F.percentile("y", F.lit(level))).first()[0] or 0.0
-    rows = prep.transform(_doubles(train, numeric, categorical)).select("features", "y").withColumn("_q", F.lit(base)).persist()
-    steps = []
-    for k in range(rounds):
-        pushed = rows.withColumn("_g", F.when(F.col("y") > F.col("_q"), level).otherwise(level - 1))
-        tree = DecisionTreeRegressor(labelCol="_g", maxDepth=depth, maxBins=128, minInstancesPerNode=20, seed=seed + k).fit(pushed)
-        leaves = tree.setLeafCol("_leaf").transform(rows).groupBy("_leaf").agg(F.percentile(F.col("y") - F.col("_q"), F.lit(level)).alias("v")).collect()
-        values = {float(r["_leaf"]): rate * r["v"] for r in leaves}
-        steps.append((tree, values))
-        rows = _moved(tree, rows, values, "_l").select("features", "y", "_q")
-        if k % 5 == 4:
-            rows = rows.persist()
-            rows.count()
-    return QuantileTrees(prep, base, steps, numeric, categorical)
-
-
-def attribution(fitted: Fitted, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, feature, contribution, base): how each feature moved a row's prediction along the trees' paths: base plus
-    contributions is the prediction. A tree's step from a node to its child counts for the feature it splits on."""
-    *prep, gbt = fitted.model.stages
-    names = [*fitted.numeric, *fitted.categorical]
-    trees = []
-    for tree, weight in zip(gbt.trees, gbt.treeWeights):
-        nodes: list[list] = []
-
-        def add(node) -> int:
-            at = len(nodes)
-            nodes.append([-1, 0.0, (), 0, 0, weight * node.prediction()])
-            if node.subtreeDepth():
-                split = node.split()
-                kind = split.getClass().getSimpleName()
-                nodes[at][0] = split.featureIndex()
-                if kind == "ContinuousSplit":
-                    nodes[at][1] = split.threshold()
-                else:
-                    nodes[at][2] = tuple(split.leftCategories())
-                nodes[at][3], nodes[at][4] = add(node.leftChild()), add(node.rightChild())
-            return at
-
-        add(tree._java_obj.rootNode())
-        trees.append(nodes)
-    shared = df.sparkSession.sparkContext.broadcast(trees)
-    ready = _doubles(df, fitted.numeric, fitted.categorical)
-    for stage in prep:
-        ready = stage.transform(ready)
-    from pyspark.ml.functions import vector_to_array
-
-    ready = ready.select(*keys, vector_to_array("features").alias("_x"))
-    schema = ready.select(*keys).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs = batch.column(len(keys)).to_pylist()
-            base = sum(t[0][5] for t in shared.value)
-            moved = np.zeros((len(xs), len(names)))
-            for row, x in enumerate(xs):
-                for nodes in shared.value:
-                    at = 0
-                    while nodes[at][0] >= 0:
-                        f, cut, left_kinds, left, right, value = nodes[at]
-                        go_left = x[f] in left_kinds if left_kinds else x[f] <= cut
-                        child = left if go_left else right
-                        moved[row, f] += nodes[child][5] - value
-                        at = child
-            pick = np.repeat(np.arange(len(xs)), len(names))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(pick)) for k in range(len(keys))), pa.array(names * len(xs)), pa.array(moved.ravel()), pa.array(np.full(len(pick), base))], names=[*keys, "feature", "contribution", "base"])
-
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    return ready.mapInArrow(run, out + ", feature string, contribution double, base double")
-
-
 def global_attribution(parts: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"))
 

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.operators.lineage import written
+from stallwise.operators.numbering import ranks
 from stallwise.operators.quantiles import exact_quantiles
-
 from stallwise.operators.recovery import stockout_runs
 
 
@@ -153,6 +154,32 @@ def concentration(lines: DataFrame, value: str = "cost_policy", tops: Sequence[f
     return sums.select("top", ((F.col("s") + (F.col("m") - F.col("n")) * F.col("t")) / F.nullif(F.col("all"), F.lit(0.0))).alias("share"))
 
 
+def axis_overlap(signals: DataFrame, axes: Sequence[str], top: int = 50) -> DataFrame:
+    """(axis_a, axis_b, spearman, n_both, overlap): how alike two ways of looking at series are: the correlation of
+    their ranks, ties at their mean, over the series that have both, and how many of the first `top` series by one are
+    among the first by the other. Ranks come from ranges of values, so no task orders all series."""
+    ranked, first = signals.select("series_id", *axes), None
+    for a in axes:
+        ranked = ranks(ranked, a, f"_r_{a}")
+        own = signals.filter(F.col(a).isNotNull()).orderBy(F.desc(a), "series_id").limit(top).select("series_id", F.lit(a).alias("axis"))
+        first = own if first is None else first.unionByName(own)
+    ranked = written(ranked)
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i + 1 :]]
+    # The ranks of series that have both values: ranks of all would leave gaps where the other value is missing.
+    whole = ranked.agg(*(F.count_if(F.col(a).isNull()).alias(a) for a in axes)).first()
+    rows = None
+    for a, b in pairs:
+        both = ranked.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+        if whole[a] or whole[b]:
+            both = ranks(ranks(both.select("series_id", a, b), a, f"_r_{a}"), b, f"_r_{b}")
+        one = both.agg(F.lit(a).alias("axis_a"), F.lit(b).alias("axis_b"), F.corr(f"_r_{a}", f"_r_{b}").alias("spearman"), F.count(F.lit(1)).alias("n_both"))
+        rows = one if rows is None else rows.unionByName(one)
+    sets = first.groupBy("series_id").agg(F.collect_set("axis").alias("axes"))
+    counts = sets.agg(*(F.count_if(F.array_contains("axes", a) & F.array_contains("axes", b)).alias(f"{a}|{b}") for a, b in pairs))
+    long = counts.unpivot([], counts.columns, "pair", "n").select(F.split("pair", r"\|")[0].alias("axis_a"), F.split("pair", r"\|")[1].alias("axis_b"), (F.col("n") / F.lit(top)).alias("overlap"))
+    return rows.join(F.broadcast(long), ["axis_a", "axis_b"])
+
+
 def catalogue_search(index: DataFrame, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """Series whose id or label has every word of the query."""
     label = F.concat_ws(" · ", F.concat(F.lit("store "), "store_id"), F.concat(F.lit("category "), "third_category_id"), F.concat(F.lit("product "), "product_id"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stallwise.operators import features, models, segments
+from stallwise.functions.arrays import quantile_name
+from stallwise.operators import boosting, features, models, segments
 from stallwise.operators.metrics import rotation_bands
+from stallwise.operators.models import CATEGORICAL, NUMERIC
 from stallwise.plans import sql
 from stallwise.plans.panel_queries import recovered, rounded
 from stallwise.sources import panels
@@ -74,8 +76,11 @@ def gbt_point(spark, sf_dir):
 
 
 def gbt_quantile(spark, sf_dir):
+    """Five levels, boosted side by side."""
     train, test = split(spark, sf_dir)
-    return models.fit_quantile_trees(train, 0.625, rounds=5).predict(test).select("series_id", "h", "y", "y_pred")
+    heads = [boosting.Head("y", q) for q in (0.1, 0.25, 0.5, 0.625, 0.9)]
+    said = boosting.fit(train, heads, NUMERIC, CATEGORICAL, boosting.Params(rounds=8)).predict(test)
+    return said.select("series_id", "h", "y", *(quantile_name(h.level) for h in heads))
 
 
 def linear_ridge(spark, sf_dir):
@@ -89,9 +94,11 @@ def linear_quantile(spark, sf_dir):
 
 
 def attribution(spark, sf_dir):
-    """Mean absolute and signed contribution of each feature to the boosted trees' predictions."""
+    """Mean absolute and signed contribution of each feature to the median trees' predictions."""
     train, test = split(spark, sf_dir)
-    return models.global_attribution(models.attribution(models.fit_boosted(train, rounds=5, depth=4), test, ("series_id", "h")))
+    head = boosting.Head("y", 0.5)
+    trees = boosting.fit(train, [head], NUMERIC, CATEGORICAL, boosting.Params(rounds=5))
+    return models.global_attribution(boosting.contributions(trees, test, ("series_id", "h"), head))
 
 
 QUERIES = {f.__name__: f for f in (shape_features, product_features, product_bands, kmeans_profiles, cluster_profile, cluster_stability, dbscan_profiles, window_anomalies, product_map, gbt_point, gbt_quantile, linear_ridge, linear_quantile, attribution)}
