@@ -137,8 +137,8 @@ def _oracles() -> dict[str, str]:
                round(cast(s.sale as double), 4) as latent_lag_0, round(s.m7, 4) as latent_roll_mean_7, true as levels_rise, true as not_negative
         from st s join (select distinct series_id, third_category_id from pa) i using (series_id) cross join plan p cross join (select unnest(range(1, 8)) as h) t where s.dt = {LAST}""",
         "train_bases": sql.B_RECOVERED
-        + """, days as (select max(dt) as last from rc), tested as (select rc.* from rc, days where dt > last - 7), both as (select 'observed' as basis, series_id, sale as y from tested union all select 'recovered', series_id, latent from tested)
-        select basis, count(*) as n, count(distinct series_id) as n_series, round(avg(y), 4) as mean_true, true as levels_rise, true as not_negative, true as in_order from both group by 1""",
+        + """, days as (select max(dt) as last from rc), tested as (select rc.* from rc, days where dt > last - 7), bases as (select 'observed' as basis, series_id, sale as y from tested union all select 'recovered', series_id, latent from tested)
+        select basis, count(*) as n, count(distinct series_id) as n_series, round(avg(y), 4) as mean_true, true as levels_rise, true as not_negative, true as in_order from bases group by 1""",
         "attribution_local": sql.A + "select series_id, cast(t.h as int) as h, cast(4 as bigint) as n_parts, cast(1 as bigint) as n_rest, true as adds_up from (select distinct series_id from pa) cross join (select unnest(range(1, 8)) as h) t",
         "shuffle_test": sql.A
         + f""", ro as (select series_id, dt, isodow(dt) as dow, sale as y, dt > {LAST} - 7 as late from pa), tr as (select * from ro where not late), te as (select * from ro where late),

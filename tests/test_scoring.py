@@ -66,7 +66,7 @@ def test_scoring_rows_have_the_last_days_state_and_what_is_known_ahead(spark, pa
 
 
 def test_the_state_is_joined_where_it_lies(spark, panel, state):
-    """The side of the state is neither moved nor sorted."""
+    """The side of the state is not moved."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
