@@ -19,7 +19,7 @@ with the smallest ids are kept, as no more can be in a result; so copies, howeve
 
 Rows: vectors that are null, or hold null or non-finite components take no part, nor do null ids; vectors are
 compared only with those of equal length, empty ones (score 0) with each other; repeated rows (equal id and vector)
-are one; where one id has several vectors, each is a candidate. Queries with fewer candidates return what there is.
+are one; where one id has several vectors, the best of them counts for the id. Queries with fewer candidates return what there is.
 Large components are held exactly up to 2**62 after scaling, and scores up to 2**63; beyond that the job fails,
 with an overflow error. An empty table gives an empty result; other columns are not read.
 """
@@ -212,7 +212,7 @@ def blocks_of(pivots: np.ndarray, counts: dict[int, int], most: int) -> dict[int
 
 
 class Best:
-    """The best so far of each query."""
+    """The best so far of each query, an id once with the best of its vectors."""
 
     def __init__(self, floor: np.ndarray, k: int):
         self.k, self.floor, self.scored = k, floor, 0
@@ -221,7 +221,8 @@ class Best:
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
-        order = np.lexsort((ids, -scores))[: self.k]
+        order = np.lexsort((ids, -scores))
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])[: self.k]]
         self.scores[q], self.ids[q] = scores[order], ids[order]
         if len(order) == self.k:
             self.floor[q] = max(self.floor[q], scores[order[-1]])
@@ -281,7 +282,11 @@ def long_scores(query: np.ndarray, query_id: int, page, k: int) -> tuple[list[in
     ids = np.frombuffer(page.ids, np.int64)
     vecs = np.frombuffer(page.vecs, "<i4" if len(page.vecs) == 4 * len(query) * len(ids) else "<i8").reshape(len(ids), -1)
     scores = vecs.astype(object) @ query.astype(object)
-    best = sorted((-s, int(i)) for s, i in zip(scores, ids) if i != query_id)[:k]
+    most: dict[int, int] = {}
+    for s, i in zip(scores, ids.tolist()):
+        if i != query_id:
+            most[i] = max(s, most.get(i, s))
+    best = sorted((-s, i) for i, s in most.items())[:k]
     return [i for _, i in best], [-s for s, _ in best]
 
 

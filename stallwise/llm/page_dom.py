@@ -23,6 +23,7 @@ VOID = {"img", "input", "br", "wbr", "meta", "link", "area", "source", "embed",
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Those that begin where a paragraph cannot go on: all other blocks.
 OPENING = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+END_OF_COMMENT = re.compile("--!?>")
 #: To the end of a tag; only after an equals sign does a quote hold it off.
 REST_OF_TAG = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -131,8 +132,10 @@ def read(html: str) -> Page:
             break
         say(html[at : mark.start()])
         if mark.group() == "<!--":
-            end = html.find("-->", mark.end())
-            at = n if end < 0 else end + 3
+            # At once, or with the next two dashes that stand before a bracket or an exclamation mark and one.
+            short = next((x for x in (">", "->") if html.startswith(x, mark.end())), "")
+            end = END_OF_COMMENT.search(html, mark.end())
+            at = mark.end() + len(short) if short else end.end() if end else n
             continue
         rest = REST_OF_TAG.match(html, mark.end())
         if not rest:

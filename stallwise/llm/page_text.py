@@ -160,12 +160,12 @@ class Trees:
 
 
 def fit(pages: DataFrame, params: Params = Params(), id_col: str = "page_id", html_col: str = "html") -> Trees | None:
-    """Trains on about `train_pages` pages, by a hash of the id and the page; so many reach the driver at any size."""
+    """Trains on about `train_pages` pages, by a hash of the id and the page, copies once; so many reach the driver at any size."""
     spark = pages.sparkSession
     n_pages = pages.filter(F.col(html_col).isNotNull()).count()
     share = min(1.0, params.train_pages / max(1, n_pages))
-    picked = pages.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(params.seed)), F.lit(1 << 30)) < share * (1 << 30))
-    sample = picked.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).filter("html is not null").orderBy("id", "html")
+    picked = pages.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(html_col).cast("string"), F.lit(params.seed)), F.lit(1 << 30)) < share * (1 << 30))
+    sample = picked.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).filter("html is not null").distinct().orderBy("id", "html")
     rows = examples([r["html"] for r in sample.collect()], params)
     if len({y for _, y in rows}) < 2:
         return None

@@ -182,6 +182,29 @@ def test_page_text(spark):
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
+def test_comments_end_where_html_ends_them():
+    from stallwise.llm.page_dom import read
+
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- c -->", "<!-- c --!>", "<!--!> x -->", "<!-- a -- b > c -->", "<!--<p>x</p>-->"):
+        assert [t for _, t in read(f"<p>a</p>{comment}<p>b</p>").texts] == ["a", "b"], comment
+
+
+def test_training_pages_are_chosen_by_id_and_page(spark):
+    """Neither equal nor null ids bring all pages to the driver, and copies count once."""
+    html = "<html><body><nav><a href=x>menu</a></nav><article><p>{}</p></article></body></html>"
+    rows = [(None if i % 2 else 7, html.format(f"text number {i} " * 20)) for i in range(400)] + [(1, html.format("copy " * 30))] * 50
+    pages = spark.createDataFrame([(*r, "u", "t", 0, "f", 0.0) for r in rows], "page_id long, html string, url string, text string, n_chars int, features string, label double")
+    seen = []
+    real = page_text.examples
+    page_text.examples = lambda pages, params: seen.extend(pages) or real(pages, params)
+    try:
+        page_text.fit(pages, page_text.Params(train_pages=40, trees=2))
+    finally:
+        page_text.examples = real
+    assert 10 < len(seen) < 90 and len(set(seen)) == len(seen)
+    assert page_text.extract(pages).count() == len(rows)
+
+
 def test_pages_of_any_length_count_siblings_of_a_kind():
     from stallwise.llm.page_dom import FEATURES, features, read
 
@@ -277,6 +300,26 @@ def test_metric_search(spark):
     assert metric_search.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_metric_search_returns_k_ids_where_ids_have_several_vectors(spark):
+    """Twelve vectors of one id are its best one, and leave room for the others, within a page and over pages."""
+    rng = random.Random(6)
+    rows = [(1, [5.0 + k / 8, 1.0]) for k in range(12)] + [(i, [rng.random(), rng.random()]) for i in range(2, 29)] + [(0, [1.0, 0.5]), (100, [0.5, 1.0]), (100, [0.25, 0.5])]
+    rows += [(29, [2.0**40, 0.0]), (29, [2.0**39, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, tuple(math.floor(1024 * c) for c in v)) for i, v in rows]
+    for params in (metric_search.Params(), metric_search.Params(page_rows=6, region_rows=10, leaf_rows=3)):
+        got = {}
+        for r in metric_search.top_k(table, table.filter("vec_id % 100 = 0"), params).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        for q in (0, 100):
+            best = {}
+            for i, v in whole:
+                if i != q:
+                    best[i] = max([best.get(i, -(10**30))] + [sum(a * b for a, b in zip(v, w)) for j, w in whole if j == q])
+            want = sorted((-s, i) for i, s in best.items())[:10]
+            assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_metric_search_holds_large_and_empty_vectors(spark):
     """Components that 32 bits or doubles can't hold after scaling take part, exactly; empty vectors score 0."""
     rows = [(0, [3e6, 1.0]), (1, [2.0**20 + 0.25, -1e-3]), (2, [-(2.0**20), 0.5]), (3, [1e-9, 2.0]), (100, [5e5, -7.25]), (200, []), (4, []), (300, [1e-3, 1e-3])]
