@@ -13,17 +13,18 @@ from stallwise.sources import panels
 
 
 def parts(spark, sf_dir):
+    """Panel A and its folds, written once; what needs them in one query is given them."""
     a = written(panels.panel_a(spark, sf_dir))
     return a, written(forecast.folds(a))
 
 
-def result_of(spark, sf_dir, models=("naive", "seasonal_naive", "moving_average", "seasonal_moving_average")):
-    return forecast.backtest(*parts(spark, sf_dir), models=models)
+def result_of(spark, sf_dir, models=("naive", "seasonal_naive", "moving_average", "seasonal_moving_average"), built=None):
+    return forecast.backtest(*(built or parts(spark, sf_dir)), models=models)
 
 
-def train_bands(spark, sf_dir):
+def train_bands(spark, sf_dir, built=None):
     """Rotation bands from what was known at the first origin."""
-    a, folds = parts(spark, sf_dir)
+    a, folds = built or parts(spark, sf_dir)
     first = folds.agg(F.min("origin_date").alias("first"))
     return metrics.rotation_bands(a.crossJoin(F.broadcast(first)).filter("dt <= first"))
 
@@ -33,7 +34,14 @@ def folds(spark, sf_dir):
 
 
 def fold_disjoint(spark, sf_dir):
-    return forecast.fold_violations(*parts(spark, sf_dir))
+    """The folds and three planted bad ones: one that tests its origin's day, one that reaches beyond the panel and one
+    whose last day is too early. Only these are violations."""
+    a, good = parts(spark, sf_dir)
+    last = good.filter("origin = 7")
+    overlaps = last.select(F.lit(100).alias("origin"), "origin_date", F.col("origin_date").alias("first_test"), "last_test")
+    beyond = last.select(F.lit(101).alias("origin"), F.date_add("origin_date", 1).alias("origin_date"), F.date_add("first_test", 1).alias("first_test"), F.date_add("last_test", 1).alias("last_test"))
+    short = last.select(F.lit(102).alias("origin"), "origin_date", "first_test", F.date_sub("last_test", 1).alias("last_test"))
+    return forecast.fold_violations(a, good.unionByName(overlaps).unionByName(beyond).unionByName(short))
 
 
 def naive_scale(spark, sf_dir):
@@ -88,7 +96,8 @@ def metrics_by_horizon(spark, sf_dir):
 
 
 def metrics_by_band(spark, sf_dir):
-    return rounded(metrics.by_band(result_of(spark, sf_dir), train_bands(spark, sf_dir)))
+    built = parts(spark, sf_dir)
+    return rounded(metrics.by_band(result_of(spark, sf_dir, built=built), train_bands(spark, sf_dir, built)))
 
 
 def metric_summary(spark, sf_dir):
@@ -100,7 +109,8 @@ def improvement(spark, sf_dir):
 
 
 def breakdown_long(spark, sf_dir):
-    return rounded(metrics.long_form(result_of(spark, sf_dir), train_bands(spark, sf_dir)))
+    built = parts(spark, sf_dir)
+    return rounded(metrics.long_form(result_of(spark, sf_dir, built=built), train_bands(spark, sf_dir, built)))
 
 
 def model_groups(spark, sf_dir):
@@ -109,7 +119,8 @@ def model_groups(spark, sf_dir):
 
 def band_verdicts(spark, sf_dir):
     """Whether the moving average is better than the seasonal naive in each band, beyond 5 %."""
-    each = metrics.by_band(result_of(spark, sf_dir), train_bands(spark, sf_dir))
+    built = parts(spark, sf_dir)
+    each = metrics.by_band(result_of(spark, sf_dir, built=built), train_bands(spark, sf_dir, built))
     two = each.groupBy("rotation_band").pivot("model", ["moving_average", "seasonal_naive"]).agg(F.first("mase"))
     return two.select("rotation_band", metrics.band_verdict(F.col("moving_average"), F.col("seasonal_naive")).alias("verdict"))
 
@@ -167,7 +178,12 @@ sm as (select model, metric, avg(value) as mean, coalesce(stddev_samp(value), 0)
 
 ORACLE_SQL = {
     "folds": sql.of(FOLDS) + "select origin, origin_date, origin_date + 1 as first_test, origin_date + 7 as last_test from fd",
-    "fold_disjoint": sql.of(FOLDS) + "select origin, origin_date from fd where origin_date + 7 > date '1998-04-07' or origin_date < date '1998-01-01'",
+    "fold_disjoint": sql.of(FOLDS)
+    + """, every as (select origin, origin_date, origin_date + 1 as first_test, origin_date + 7 as last_test from fd
+      union all select 100, origin_date, origin_date, origin_date + 7 from fd where origin = 7
+      union all select 101, origin_date + 1, origin_date + 2, origin_date + 8 from fd where origin = 7
+      union all select 102, origin_date, origin_date + 1, origin_date + 6 from fd where origin = 7)
+    select cast(origin as int) as origin, origin_date from every where first_test <= origin_date or last_test > date '1998-04-07' or last_test - first_test <> 6 or origin_date < date '1998-01-01'""",
     "naive_scale": BT + "select origin, series_id, round(naive_scale, 6) as naive_scale from sc",
     "rotation_bands": BT_BANDS + "select series_id, round(m, 4) as mean_demand, rotation_band from bands",
     "backtest_baselines": BT + "select model, series_id, origin, h, dt, round(cast(y_true as double), 4) as y_true, round(cast(y_pred as double), 4) as y_pred from bt",

@@ -12,25 +12,33 @@ from stallwise.plans.backtest_queries import BACKTEST, BANDS, FOLDS, parts, resu
 from stallwise.plans.panel_queries import rounded
 from stallwise.sources import panels
 
-MODEL, ALPHA = "moving_average", 0.1
+MODEL, CURRENT, ALPHA = "moving_average", "seasonal_naive", 0.1
 LEVELS = decision.LEVELS
 
 
-def halves(spark, sf_dir, models=(MODEL,)):
-    r = written(result_of(spark, sf_dir, models))
+def halves(spark, sf_dir, models=(MODEL,), built=None):
+    r = written(result_of(spark, sf_dir, models, built))
     return r.filter("origin < 4"), r.filter("origin >= 4")
 
 
-def with_grid(spark, sf_dir):
+def with_grid(spark, sf_dir, built=None):
     """The judged folds with predicted quantiles."""
-    return written(intervals.residual_grid(*halves(spark, sf_dir), LEVELS))
+    return written(intervals.residual_grid(*halves(spark, sf_dir, built=built), LEVELS))
 
 
-def last_lines(spark, sf_dir):
+def with_current(spark, sf_dir, built=None):
+    """The judged folds: the model with its predicted quantiles, and what the current policy orders, the same weekday of
+    the week before."""
+    early, late = halves(spark, sf_dir, (MODEL, CURRENT), built)
+    model = F.col("model") == MODEL
+    return written(intervals.residual_grid(early.filter(model), late.filter(model), LEVELS).unionByName(late.filter(~model), allowMissingColumns=True))
+
+
+def last_lines(spark, sf_dir, built=None):
     """Reorder lines of the last fold: all series, seven days ahead."""
-    a, folds = parts(spark, sf_dir)
+    a, folds = built = built or parts(spark, sf_dir)
     known = a.crossJoin(F.broadcast(folds.agg(F.max("origin_date").alias("_o")))).filter("dt <= _o").drop("_o")
-    return decision.reorder_lines(with_grid(spark, sf_dir).filter("origin = 7"), decision.current_policy(known))
+    return decision.reorder_lines(with_grid(spark, sf_dir, built).filter("origin = 7"), decision.current_policy(known))
 
 
 def quantile_grid(spark, sf_dir):
@@ -47,9 +55,9 @@ def series_dispersion(spark, sf_dir):
 
 def conformal_adaptive(spark, sf_dir):
     """Residual intervals in proportion to each series' dispersion as of the first judged origin."""
-    a, folds = parts(spark, sf_dir)
+    a, folds = built = parts(spark, sf_dir)
     known = a.crossJoin(F.broadcast(folds.filter("origin = 4").select(F.col("origin_date").alias("_o")))).filter("dt <= _o").drop("_o")
-    return rounded(intervals.residual_conformal(*halves(spark, sf_dir), ALPHA, intervals.dispersion(known)).select("series_id", "origin", "h", "pred_lo", "pred_hi"))
+    return rounded(intervals.residual_conformal(*halves(spark, sf_dir, built=built), ALPHA, intervals.dispersion(known)).select("series_id", "origin", "h", "pred_lo", "pred_hi"))
 
 
 def cqr(spark, sf_dir):
@@ -89,10 +97,11 @@ def newsvendor_expected(spark, sf_dir):
 
 
 def policies(spark, sf_dir, keys=()):
-    g = with_grid(spark, sf_dir)
+    built = parts(spark, sf_dir)
+    g = with_current(spark, sf_dir, built)
     if keys:
-        g = g.join(train_bands(spark, sf_dir).select("series_id", "rotation_band"), "series_id")
-    orders = written(decision.four_policies(g, MODEL, MODEL, LEVELS, keys=keys))
+        g = g.join(train_bands(spark, sf_dir, built).select("series_id", "rotation_band"), "series_id")
+    orders = written(decision.four_policies(g, CURRENT, MODEL, LEVELS, keys=keys))
     return decision.compared(decision.outcomes(orders, ("policy", *keys)), "current", keys)
 
 
@@ -113,7 +122,7 @@ def roi_grid(spark, sf_dir):
 
 
 def economics_sweep(spark, sf_dir):
-    return rounded(decision.economics_sweep(with_grid(spark, sf_dir), MODEL, MODEL))
+    return rounded(decision.economics_sweep(with_current(spark, sf_dir), CURRENT, MODEL))
 
 
 def economics_levels(spark, sf_dir):
@@ -177,7 +186,7 @@ def _expected(order: str) -> dict[str, str]:
 
 E1 = _expected("q62")
 POLICIES = """, od as (
-  select series_id, 'current' as policy, y_true, y_pred as qty from g
+  select series_id, 'current' as policy, y_true, y_pred as qty from bt where model = 'seasonal_naive' and origin >= 4
   union all select series_id, 'model', y_true, q62 from g
   union all select series_id, 'static', y_true, quantile_cont(y_true, 0.625) over (partition by series_id) from g
   union all select series_id, 'perfect', y_true, y_true from g),
@@ -263,7 +272,8 @@ ORACLE_SQL = {
     + GRID
     + """, rt as (select r::double as ratio, 1 / (1 + r::double) as level from (values (0.3), (0.6), (1.0), (1.5)) t(r)),
     so as (select ratio, level, y_true, y_pred, case when level <= 0.5 then q05 + (q50 - q05) * (level - 0.05) / 0.45 when level <= 0.625 then q50 + (q62 - q50) * (level - 0.5) / 0.125 else q62 + (q90 - q62) * (level - 0.625) / 0.275 end as qty from g, rt),
-    sw as (select ratio, level, sum(greatest(y_true - qty, 0) + ratio * greatest(qty - y_true, 0)) as model_cost, sum(greatest(y_true - y_pred, 0) + ratio * greatest(y_pred - y_true, 0)) as current_cost from so group by 1, 2)
+    cu as (select ratio, sum(greatest(y_true - y_pred, 0) + ratio * greatest(y_pred - y_true, 0)) as current_cost from bt, rt where model = 'seasonal_naive' and origin >= 4 group by 1),
+    sw as (select so.ratio, level, sum(greatest(y_true - qty, 0) + so.ratio * greatest(qty - y_true, 0)) as model_cost, any_value(current_cost) as current_cost from so join cu on cu.ratio = so.ratio group by 1, 2)
     select ratio, round(level, 4) as level, round(model_cost, 4) as model_cost, round(current_cost, 4) as current_cost, round(100 * (1 - model_cost / current_cost), 4) as saving_pct from sw""",
     "economics_levels": sql.A + "select round(1 / (1 + greatest(1 - cast(discount as double), 0.01)), 4) as level, count(*) as days from pa group by 1",
     "current_policy": sql.A + "select series_id, round(greatest(avg(sale), 0), 4) as policy_qty from pa where dt > date '1998-04-07' - 21 group by 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stallwise.operators import panel_checks, triage
 from stallwise.operators.lineage import written
 from stallwise.plans import sql
-from stallwise.plans.backtest_queries import result_of
+from stallwise.plans.backtest_queries import parts, result_of
 from stallwise.plans.decision_queries import BASE, GRID, LINES, last_lines
 from stallwise.plans.panel_queries import recovered, rounded
 from stallwise.sources import panels
@@ -24,8 +24,8 @@ def series_signals(spark, sf_dir):
 
 def all_signals(spark, sf_dir):
     """Signals of Panel A with the moving average's error and the waste of its reorder lines."""
-    a = written(panels.panel_a(spark, sf_dir))
-    return written(triage.series_signals(a, result_of(spark, sf_dir, ("moving_average",))).join(triage.waste_signals(last_lines(spark, sf_dir)), "series_id", "left"))
+    built = parts(spark, sf_dir)
+    return written(triage.series_signals(built[0], result_of(spark, sf_dir, ("moving_average",), built)).join(triage.waste_signals(last_lines(spark, sf_dir, built)), "series_id", "left"))
 
 
 def triage_flags(spark, sf_dir):
