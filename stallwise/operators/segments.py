@@ -15,8 +15,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.operators.lineage import written
-
 SHAPE = ("cv", "zero_rate", "weekly_amplitude", "peak_ratio", "autocorr_7", "mean_zero_run", "stockout_rate")
 
 
@@ -99,34 +97,6 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
     return row.select(F.when((F.col("x") + F.col("y")) / 2 == chance, 1.0).otherwise((F.col("same") - chance) / ((F.col("x") + F.col("y")) / 2 - chance)).alias("adjusted_rand"))
 
 
-def density_clusters(shapes: DataFrame, eps: float = 0.9, min_samples: int = 10, columns: Sequence[str] = ("cv", "weekly_amplitude", "zero_rate")) -> DataFrame:
-    """(series_id, cluster): density clusters, -1 for noise. Points are compared with those of their own and the
-    adjacent cells of an eps-wide grid only; clusters spread through core points by the smallest id until nothing
-    changes, each round written out so that its lineage stays short."""
-    d = len(columns)
-    stats = shapes.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns))
-    pts = shapes.crossJoin(F.broadcast(stats.select(*(F.col(c).alias(f"_{c}") for c in columns))))
-    pts = pts.select("series_id", F.array(*(F.coalesce((F.col(c) - F.col(f"_{c}.m")) / F.nullif(F.col(f"_{c}.s"), F.lit(0.0)), F.lit(0.0)) for c in columns)).alias("p"))
-    pts = pts.withColumn("cell", F.transform("p", lambda v: F.floor(v / eps)))
-    around = F.array(*(F.array(*(F.lit((k // 3**j) % 3 - 1) for j in range(d))) for k in range(3**d)))
-    spread = pts.select(F.col("series_id").alias("b"), F.col("p").alias("q"), F.explode(F.transform(around, lambda o: F.zip_with(F.col("cell"), o, lambda c, x: c + x))).alias("cell"))
-    gap = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    near = written(pts.withColumnRenamed("series_id", "a").join(spread, "cell").filter(gap <= eps * eps).select("a", "b"))
-    core = written(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select("a"))
-    links = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
-    links = written(links)
-    label = core.select("a", F.col("a").alias("label"))
-    while True:
-        least = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-        moved = written(least.join(label.withColumnRenamed("label", "old"), "a"))
-        changed = moved.filter("label != old").limit(1).count()
-        label = moved.select("a", "label")
-        if not changed:
-            break
-    border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    return shapes.select("series_id").join(border.withColumnRenamed("a", "series_id"), "series_id", "left").select("series_id", F.coalesce("label", F.lit("-1")).alias("cluster"))
-
-
 def demand_windows(panel: DataFrame, length: int = 14, target: str = "demand_latent") -> DataFrame:
     """(series_id, dt, window): the last days of each day as shares of the series' mean; whole windows only."""
     w = Window.partitionBy("series_id").orderBy("dt").rowsBetween(-(length - 1), 0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import quantile_name
-from stallwise.operators import boosting, features, models, segments
+from stallwise.operators import boosting, density, features, models, segments
+from stallwise.operators.lineage import written
 from stallwise.operators.metrics import rotation_bands
 from stallwise.operators.models import CATEGORICAL, NUMERIC
 from stallwise.plans import sql
@@ -49,7 +50,8 @@ def cluster_stability(spark, sf_dir):
 
 
 def dbscan_profiles(spark, sf_dir):
-    return segments.density_clusters(segments.shape_features(recovered(spark, sf_dir)).persist(), min_samples=5)
+    """Density clusters over all seven shape features, wide enough to find some in 30 days."""
+    return density.density_clusters(written(segments.shape_features(recovered(spark, sf_dir))), eps=1.2, min_samples=5)
 
 
 def window_anomalies(spark, sf_dir):
@@ -124,3 +126,17 @@ ORACLE_SQL = {
     cl as (select series_id, dow as cluster from wk qualify row_number() over (partition by series_id order by v desc, dow) = 1)
     select cluster, count(distinct series_id) as series, round(avg(latent), 4) as mean_demand, round(avg((latent <= 0)::int), 4) as zero_rate, round(avg(cens::int), 4) as stockout_rate from rc join cl using (series_id) group by 1""",
 }
+
+# The shapes with more places than are shown.
+_BEFORE, _SHOWN = ORACLE_SQL["shape_features"].rsplit("select series_id, round(", 1)
+ORACLE_SQL["dbscan_profiles"] = (
+    f"with recursive shapes as ({_BEFORE}select series_id, round({_SHOWN.replace(', 4)', ', 12)')}), st as (select "
+    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in segments.SHAPE)
+    + " from shapes), pt as (select series_id, ["
+    + ", ".join(f"coalesce(({c} - m_{c}) / nullif(s_{c}, 0), 0)" for c in segments.SHAPE)
+    + """] as p from shapes, st), nb as (select a.series_id as a, b.series_id as b from pt a join pt b on list_distance(a.p, b.p) <= 1.2),
+    co as (select a from nb group by 1 having count(*) >= 5), ln as (select nb.a, nb.b from nb join co x on x.a = nb.a join co y on y.a = nb.b),
+    reach(a, b) as (select a, b from ln union select r.a, l.b from reach r join ln l on l.a = r.b), lb as (select a, min(b) as label from reach group by 1),
+    bo as (select nb.a, min(label) as label from nb join lb on lb.a = nb.b group by 1)
+    select pt.series_id, coalesce(lb.label, bo.label, '-1') as cluster from pt left join lb on lb.a = pt.series_id left join bo on bo.a = pt.series_id"""
+)
