@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stallwise.operators import features, ingest, leakage, metrics
+from stallwise.operators.lineage import folder, written
 from stallwise.plans import sql
 from stallwise.plans.backtest_queries import BT, POINT, result_of
 from stallwise.plans.panel_queries import rounded
@@ -39,6 +42,42 @@ def merge_rejected(spark, sf_dir):
     return merged.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
 
 
+def batch_hash(spark, sf_dir):
+    """The hash of each day's batch, whatever the order of its rows."""
+    b = panels.panel_b(spark, sf_dir).select("series_id", "dt", "sale_amount", "stock_hour6_22_cnt", "hours_stock_status")
+    whole = ingest.batch_hash(b.orderBy(F.desc("sale_amount"))).withColumn("part", F.lit("all"))
+    late = ingest.batch_hash(b.filter(F.dayofmonth("dt") > 23)).withColumn("part", F.lit("late"))
+    return whole.unionByName(late)
+
+
+def layer_of(spark, sf_dir):
+    """A layer of the first 20 days and four batches: three more days, the same again, an edited day, and a dry run of the
+    rest. Returns its folder."""
+    layer = f"{folder(spark)}/layer-{uuid.uuid4().hex}"
+    b = written(panels.panel_b(spark, sf_dir))
+    day = F.dayofmonth("dt")
+    ingest.start_layer(b.filter(day <= 20).withColumn("split", F.lit("train")), layer)
+    raw = b.drop("series_id", "oos_hours_day", "available_weight", "is_censored")
+    more = raw.filter(day.between(20, 23))
+    ingest.ingest(spark, more, layer, COMPARED)
+    ingest.ingest(spark, more.orderBy("product_id"), layer, COMPARED)
+    ingest.ingest(spark, raw.filter(day == 22).withColumn("sale_amount", F.col("sale_amount") + 1.0), layer, COMPARED)
+    ingest.ingest(spark, raw.filter(day > 23), layer, COMPARED, dry_run=True)
+    return layer
+
+
+def ingest_log(spark, sf_dir):
+    """The log of a layer, in the order of its entries."""
+    log = ingest.read_log(spark, layer_of(spark, sf_dir))
+    return log.select("version", "status", "n_rows", "n_new", "n_duplicate", "n_conflict", "n_new_series", "last_day")
+
+
+def freshness(spark, sf_dir):
+    """The state of a layer whose models were trained until the 20th."""
+    trained = panels.panel_b(spark, sf_dir).filter(F.dayofmonth("dt") <= 20).agg(F.max("dt").alias("trained_until"))
+    return ingest.status(ingest.read_log(spark, layer_of(spark, sf_dir)), trained)
+
+
 def supervised(spark, sf_dir):
     a = panels.panel_a(spark, sf_dir)
     return features.supervised_matrix(features.origin_state(a), a, features.origins(a, 7, 42), 7)
@@ -84,7 +123,7 @@ def series_overlap(spark, sf_dir):
     return rounded(leakage.unmatched_share(wanted, a), 6)
 
 
-QUERIES = {f.__name__: f for f in (merge_report, merge_batch, merge_rejected, leak_constant_features, leak_grouped_lags, leak_target_corr, leak_global_aggregates, leak_target_shift, leak_future_shift, series_overlap)}
+QUERIES = {f.__name__: f for f in (merge_report, merge_batch, merge_rejected, batch_hash, ingest_log, freshness, leak_constant_features, leak_grouped_lags, leak_target_corr, leak_global_aggregates, leak_target_shift, leak_future_shift, series_overlap)}
 
 BATCH = sql.of(sql.PANEL_B) + ", cu as (select * from pb where day(dt) <= 23), ba as (select *, case when day(dt) <= 23 and product_id % 3 = 0 then sale + 1 else sale end as v from pb where day(dt) >= 20), kd as (select b.*, case when c.dt is null then 'new' when abs(b.v - c.sale) <= 1e-6 + 1e-5 * abs(c.sale) then 'duplicate' else 'conflict' end as kind from ba b left join cu c using (series_id, dt))"
 STATES = "st as (select series_id, dt, sale, avg(sale) over (partition by series_id order by dt rows between 27 preceding and current row) as m28, avg((sale <= 0)::int) over (partition by series_id order by dt rows between 27 preceding and current row) as z28, lag(sale, 7) over w as l7, (lag(sale, 7) over w + lag(sale, 14) over w + lag(sale, 21) over w + lag(sale, 28) over w) / 4 as d4 from pa window w as (partition by series_id order by dt)), sv as (select s.*, p.sale as y from st s cross join (select unnest(range(1, 8)) as h) t join pa p on p.series_id = s.series_id and p.dt = s.dt + cast(t.h as int) where s.dt between date '1998-01-01' + 41 and date '1998-04-07' - 7)"
@@ -92,6 +131,19 @@ STATES = "st as (select series_id, dt, sale, avg(sale) over (partition by series
 ORACLE_SQL = {
     "merge_report": BATCH
     + "select count(*) as n_rows, count(*) filter (where kind = 'new') as n_new, count(*) filter (where kind = 'duplicate') as n_duplicate, count(*) filter (where kind = 'conflict') as n_conflict, min(dt) as first_day, max(dt) as last_day, count(distinct series_id) filter (where series_id not in (select series_id from cu)) as n_new_series from kd",
+    "batch_hash": sql.of(sql.PANEL_B)
+    + """, fl as (select series_id, dt, string_agg(cast(oos as varchar), ';' order by h) as flags from pbh group by 1, 2),
+    ln as (select dt, '0x' || substr(md5(cast(dt as varchar) || '|' || flags || '|' || printf('%.6f', sale) || '|' || series_id || '|' || cast(hours_out as varchar)), 1, 15) as m from pb join fl using (series_id, dt))
+    select 'all' as part, count(*) as n_rows, cast(sum(cast(cast(m as bigint) as hugeint)) as varchar) as batch_hash from ln
+    union all select 'late', count(*), cast(sum(cast(cast(m as bigint) as hugeint)) as varchar) from ln where day(dt) > 23""",
+    "ingest_log": sql.of(sql.PANEL_B)
+    + """, n as (select count(*) filter (where day(dt) <= 20) as base, count(*) filter (where day(dt) = 20) as one, count(*) filter (where day(dt) between 21 and 23) as fresh, count(*) filter (where day(dt) > 23) as later, max(dt) filter (where day(dt) <= 20) as d20, max(dt) filter (where day(dt) <= 23) as d23, max(dt) filter (where day(dt) = 22) as d22, max(dt) as dl from pb)
+    select 'v000000' as version, 'written' as status, base as n_rows, base as n_new, 0 as n_duplicate, 0 as n_conflict, 0 as n_new_series, d20 as last_day from n
+    union all select 'v000001', 'written', one + fresh, fresh, one, 0, 0, d23 from n
+    union all select 'v000001', 'no change', one + fresh, 0, one + fresh, 0, 0, d23 from n
+    union all select 'v000001', 'rejected', one, 0, 0, one, 0, d22 from n
+    union all select 'v000001', 'dry run', later, later, 0, 0, 0, dl from n""",
+    "freshness": sql.of(sql.PANEL_B) + "select 'v000001' as version, max(dt) filter (where day(dt) <= 23) as last_day, cast(2 as bigint) as n_written, cast(1 as bigint) as n_rejected, cast(1 as bigint) as n_no_change, cast(1 as bigint) as n_dry_run, cast(3 as int) as days_behind from pb",
     "merge_batch": BATCH + "select series_id, dt, round(coalesce(k.v, c.sale), 4) as sale_amount from cu c full join (select series_id, dt, v from kd where kind <> 'duplicate') k using (series_id, dt)",
     "merge_rejected": BATCH + "select dt, count(*) as n from cu group by 1",
     "leak_constant_features": "select unnest(['dow', 'days_since_start']) as feature, unnest([g, g]) as groups from (select count(*) * 49 as g from (" + sql.A + "select distinct series_id from pa))",

@@ -129,6 +129,37 @@ def test_inbox_upserts_once(spark, tmp_path):
     assert panels.load_layer(spark, f"{layer}/{log[-1]['version']}").count() == 16
 
 
+def test_the_hash_of_a_batch_follows_its_rows_and_not_their_order(spark):
+    batch = hourly(spark, [(s, 1, d, (7,), 1.5) for s in range(3) for d in range(6)])
+    mark = lambda df: tuple(ingest.batch_hash(df).first())
+    assert mark(batch) == mark(batch.orderBy(F.desc("dt")).repartition(3)) == mark(batch.select(*reversed(batch.columns)))
+    assert mark(batch) != mark(batch.limit(17)) and mark(batch) != mark(batch.unionByName(batch.limit(1)))
+    assert mark(batch) != mark(batch.withColumn("sale_amount", F.col("sale_amount") + 1e-4))
+    assert mark(batch) != mark(batch.withColumn("sale_amount", F.lit(None).cast("double")))
+    assert mark(batch.limit(0)) == (0, "0")
+
+
+def test_a_replayed_batch_changes_nothing_and_a_dry_run_writes_nothing(spark, tmp_path):
+    layer = str(tmp_path / "layer")
+    ingest.start_layer(hourly(spark, [(1, 1, d, (), 1.0) for d in range(15)]).withColumn("split", F.lit("train")), layer)
+    raw = lambda rows: hourly(spark, rows).drop("series_id", "oos_hours_day", "available_weight", "is_censored")
+    compared = ("sale_amount", "hours_sale", "hours_stock_status")
+    tried = [
+        ingest.ingest(spark, raw([(1, 1, 15, (), 1.0)]), layer, compared, dry_run=True).first(),
+        ingest.ingest(spark, raw([(1, 1, 15, (), 1.0)]), layer, compared).first(),
+        ingest.ingest(spark, raw([(1, 1, 15, (), 1.0)]), layer, compared).first(),
+        ingest.ingest(spark, raw([(1, 1, 15, (), 9.0)]), layer, compared).first(),
+        ingest.ingest(spark, raw([(1, 1, 15, (), 9.0)]), layer, compared, "replace").first(),
+    ]
+    assert [r["status"] for r in tried] == ["dry run", "written", "no change", "rejected", "written"]
+    assert [r["version"] for r in tried] == ["v000000", "v000001", "v000001", "v000001", "v000002"]
+    log = ingest.read_log(spark, layer)
+    trained = spark.createDataFrame([(DAY + dt.timedelta(10),)], "trained_until date")
+    got = ingest.status(log, trained).first()
+    assert (got["version"], got["n_written"], got["n_rejected"], got["n_no_change"], got["n_dry_run"], got["days_behind"]) == ("v000002", 3, 1, 1, 1, 5)
+    assert panels.load_layer(spark, f"{layer}/v000002").agg(F.sum("sale_amount")).first()[0] == 15 * 16 + 9 * 16
+
+
 def test_planted_leaks_are_found(spark):
     panel = daily(spark, range(20)).unionByName(daily(spark, range(5, 25), "2_1"))
     leaky = panel.withColumn("lagged", F.lag("demand_latent", 1).over(__import__("pyspark").sql.Window.orderBy("series_id", "dt")))
