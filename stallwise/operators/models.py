@@ -1,4 +1,4 @@
-"""Global forecasters on the supervised matrix, with Spark ML. Quantile trees and attribution: boosting."""
+"""Global forecasters on the supervised matrix, with Spark ML. Quantile trees and attribution: boosting; ridge, lasso and elastic net: linear."""
 
 from __future__ import annotations
 
@@ -47,14 +47,6 @@ def fit_boosted(train: DataFrame, rounds: int = 20, depth: int = 5, numeric: Seq
     return Fitted(Pipeline(stages=stages).fit(_doubles(train, numeric, categorical)), numeric, categorical)
 
 
-def fit_linear(train: DataFrame, kind: str = "ridge", alpha: float = 1.0, mix: float = 0.5, numeric: Sequence[str] = NUMERIC) -> Fitted:
-    """Ridge, lasso or elastic net on standardised features; a ridge's penalty is spread over the rows."""
-    n = train.count() if kind == "ridge" else 1
-    net = {"ridge": 0.0, "lasso": 1.0, "elasticnet": mix}[kind]
-    model = LinearRegression(labelCol="y", regParam=alpha / max(1, n), elasticNetParam=net, standardization=False)
-    return Fitted(Pipeline(stages=[*_prepared(numeric, (), True), model]).fit(_doubles(train, numeric, ())), numeric, ())
-
-
 def fit_linear_quantile(train: DataFrame, level: float = 0.9, rounds: int = 6, numeric: Sequence[str] = NUMERIC) -> Fitted:
     """Linear quantile regression by repeated weighted least squares: residuals are weighted by the pinball loss's
     slope over their size, so that the weighted squares approach it."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import quantile_name
-from stallwise.operators import boosting, density, features, models, segments
+from stallwise.operators import boosting, density, features, linear, models, segments
 from stallwise.operators.lineage import written
 from stallwise.operators.metrics import rotation_bands
 from stallwise.operators.models import CATEGORICAL, NUMERIC
@@ -85,9 +85,35 @@ def gbt_quantile(spark, sf_dir):
     return said.select("series_id", "h", "y", *(quantile_name(h.level) for h in heads))
 
 
+#: Few enough for the oracle to eliminate in SQL.
+PLAIN = ("h", "latent_lag_0", "latent_roll_mean_7", "discount", "dow")
+
+
+def linear_rows(spark, sf_dir):
+    """Supervised rows of twenty origins, two days apart, whose days end before the last origin; and those of that one."""
+    a = written(panels.panel_a(spark, sf_dir))
+    last = a.agg(F.date_sub(F.max("dt"), 7).alias("_o"))
+    early = a.crossJoin(F.broadcast(last)).filter("dt <= _o").drop("_o")
+    state = features.origin_state(a)
+    picked = features.training_origins(early, 7).unionByName(last.toDF("origin_date"))
+    m = written(features.supervised_matrix(state, a, picked, 7).join(F.broadcast(last), F.lit(True)))
+    return m.filter("origin_date < _o").drop("_o"), m.filter("origin_date = _o").drop("_o")
+
+
 def linear_ridge(spark, sf_dir):
-    train, test = split(spark, sf_dir)
-    return models.fit_linear(train, "ridge").predict(test).select("series_id", "h", "y", "y_pred")
+    """Ridge on five numbers and the store."""
+    train, test = linear_rows(spark, sf_dir)
+    return rounded(linear.fit_linear(train, "ridge", numeric=PLAIN, categorical=("store_id",)).predict(test).select("series_id", "h", "y", "y_pred"))
+
+
+def linear_lasso(spark, sf_dir):
+    train, test = linear_rows(spark, sf_dir)
+    return linear.fit_linear(train, "lasso").predict(test).select("series_id", "h", "y", "y_pred")
+
+
+def linear_elasticnet(spark, sf_dir):
+    train, test = linear_rows(spark, sf_dir)
+    return linear.fit_linear(train, "elasticnet").predict(test).select("series_id", "h", "y", "y_pred")
 
 
 def linear_quantile(spark, sf_dir):
@@ -103,7 +129,7 @@ def attribution(spark, sf_dir):
     return models.global_attribution(boosting.contributions(trees, test, ("series_id", "h"), head))
 
 
-QUERIES = {f.__name__: f for f in (shape_features, product_features, product_bands, kmeans_profiles, cluster_profile, cluster_stability, dbscan_profiles, window_anomalies, product_map, gbt_point, gbt_quantile, linear_ridge, linear_quantile, attribution)}
+QUERIES = {f.__name__: f for f in (shape_features, product_features, product_bands, kmeans_profiles, cluster_profile, cluster_stability, dbscan_profiles, window_anomalies, product_map, gbt_point, gbt_quantile, linear_ridge, linear_lasso, linear_elasticnet, linear_quantile, attribution)}
 
 ORACLE_SQL = {
     "shape_features": sql.B_RECOVERED
@@ -140,3 +166,27 @@ ORACLE_SQL["dbscan_profiles"] = (
     bo as (select nb.a, min(label) as label from nb join lb on lb.a = nb.b group by 1)
     select pt.series_id, coalesce(lb.label, bo.label, '-1') as cluster from pt left join lb on lb.a = pt.series_id left join bo on bo.a = pt.series_id"""
 )
+
+#: Ridge by the normal equations: products of the standardised columns, and their elimination pivot by pivot.
+ORACLE_SQL["linear_ridge"] = (
+    sql.A.replace("with ", "with recursive ", 1)
+    + """, st as (select series_id, store_id, dt, sale, avg(sale) over (partition by series_id order by dt rows between 6 preceding and current row) as m7 from pa),
+    od as (select date '1998-03-24' - 2 * cast(k as int) as o from (select unnest(range(20)) as k) union all select date '1998-03-31'),
+    ro as (select s.series_id, s.dt as o, cast(t.h as int) as h, p.sale::double as y, [t.h::double, s.sale::double, s.m7, p.discount::double, isodow(p.dt) - 1.0] as x, s.store_id
+           from st s join od on od.o = s.dt cross join (select unnest(range(1, 8)) as h) t join pa p on p.series_id = s.series_id and p.dt = s.dt + cast(t.h as int)),
+    tr as (select * from ro where o <= date '1998-03-24'),
+    mo as (select j, avg(x[j]) as m, stddev_pop(x[j]) as s from tr, (select unnest(range(1, 6)) as j) group by 1),
+    kinds as (select store_id, 5 + row_number() over (order by store_id) as j from (select distinct store_id from tr)),
+    co as (select series_id, o, h, y, j, (x[j] - m) / s as v from ro, mo union all select series_id, o, h, y, k.j, (ro.store_id = k.store_id)::int::double from ro, kinds k),
+    ce as (select j, avg(v) as c from co where o <= date '1998-03-24' group by 1),
+    z as (select series_id, o, h, y - (select avg(y) from tr) as y, j, v - c as v from co join ce using (j) where o <= date '1998-03-24'),
+    gr as (select a.j as i, b.j as j, sum(a.v * b.v) + (a.j = b.j)::int as v from z a join z b on a.series_id = b.series_id and a.o = b.o and a.h = b.h group by 1, 2
+           union all select j, 1000, sum(v * y) from z group by 1),
+    sz as (select cast(max(i) as int) as p from gr),
+    m0 as (select list(r order by i) as m from (select i, list(v order by j) as r from gr group by i)),
+    el(k, m) as (select 0, m from m0 union all
+      select k + 1, list_transform(range(1, p + 1), lambda i: case when i = k + 1 then list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+        else list_transform(range(1, p + 2), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end) from el, sz where k < p),
+    w as (select unnest(range(1, p + 1)) as j, unnest(list_transform(m, lambda r: r[p + 1])) as w from el, sz where k = p)
+    select series_id, h, round(any_value(y), 4) as y, round(greatest((select avg(y) from tr) + sum(w.w * (v - c)), 0), 4) as y_pred from co join ce using (j) join w using (j) where o = date '1998-03-31' group by 1, 2"""
+)
