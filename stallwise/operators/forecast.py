@@ -6,6 +6,8 @@ one shuffle by series, cut down to the origins, and repeated for each step; no f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +164,17 @@ def result_violations(result: DataFrame, horizon: int = 7) -> DataFrame:
     scales = result.groupBy("origin", "series_id").agg(F.min("naive_scale").alias("a"), F.max("naive_scale").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("scale_varies"))
     wide = rows.crossJoin(keys).crossJoin(scales)
     return wide.unpivot([], wide.columns, "rule", "violations")
+
+
+def quantile_violations(result: DataFrame, names: Sequence[str], least_origins: int = 1) -> DataFrame:
+    """(rule, violations) of predicted quantiles, by rising level, of intervals (pred_lo, pred_hi) where there are any,
+    and of the number of origins."""
+    crossed = sum((F.coalesce((F.col(b) < F.col(a) - 1e-9).cast("int"), F.lit(0)) for a, b in zip(names, names[1:])), F.lit(0))
+    missing = F.lit(False)
+    for n in names:
+        missing = missing | F.col(n).isNull()
+    rules = {"quantiles_cross": F.coalesce(F.sum(crossed), F.lit(0)), "quantile_missing": F.count_if(missing), "too_few_origins": F.greatest(F.lit(least_origins) - F.count_distinct("origin"), F.lit(0))}
+    if {"pred_lo", "pred_hi"} <= set(result.columns):
+        rules["interval_inverted"] = F.count_if(F.col("pred_hi") < F.col("pred_lo") - 1e-9)
+    one = result.agg(*(c.cast("long").alias(n) for n, c in rules.items()))
+    return one.unpivot([], one.columns, "rule", "violations")

@@ -67,6 +67,15 @@ def shuffle_test(fit_predict: Callable[[DataFrame, DataFrame], DataFrame], train
     return one.withColumn("passes", (F.col("mae_shuffled") >= ratio * F.col("mae")) & (F.col("mae_shuffled") >= 0.95 * F.col("mae_constant")))
 
 
+def fitted_elsewhere(learned: dict[str, float], train: DataFrame, full: DataFrame) -> DataFrame:
+    """(feature, learned, train_mean, full_mean, leaks): means that an encoding has learned, which must not lie nearer to
+    those of all rows than to those of the training rows."""
+    means = lambda df, name: df.agg(*(F.avg(c).alias(c) for c in learned)).unpivot([], list(learned), "feature", name)
+    known = train.sparkSession.createDataFrame(list(learned.items()), "feature string, learned double")
+    met = known.join(means(train, "train_mean"), "feature").join(means(full, "full_mean"), "feature")
+    return met.withColumn("leaks", F.abs(F.col("learned") - F.col("full_mean")) < F.abs(F.col("learned") - F.col("train_mean")))
+
+
 def target_shift(result: DataFrame, shifts: Sequence[int] = (-1, 0, 1)) -> DataFrame:
     """(shift, mae): error of forecasts against labels moved by a day within each (model, origin, series); the aligned
     one must be the lowest."""

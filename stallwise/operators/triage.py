@@ -180,10 +180,73 @@ def axis_overlap(signals: DataFrame, axes: Sequence[str], top: int = 50) -> Data
     return rows.join(F.broadcast(long), ["axis_a", "axis_b"])
 
 
+def alert_totals(marked: DataFrame) -> DataFrame:
+    """One row over all series: how many have a reason, how many several, and the volume of those with one."""
+    flagged = F.col("n_reasons") > 0
+    return marked.agg(
+        F.count(F.lit(1)).alias("n_series"),
+        F.count_if(flagged).alias("n_flagged"),
+        F.count_if(F.col("n_reasons") > 1).alias("n_several"),
+        F.coalesce(F.avg(flagged.cast("int")), F.lit(0.0)).alias("share_flagged"),
+        F.coalesce(F.sum(F.when(flagged, F.col("mean_demand"))) / F.nullif(F.sum("mean_demand"), F.lit(0.0)), F.lit(0.0)).alias("share_volume"),
+    )
+
+
+def missing_reasons(marked: DataFrame) -> list[str]:
+    """Reasons that these signals can't tell, for want of forecasts or reorder lines."""
+    return [r for r in REASONS if r not in marked.columns]
+
+
+def chosen(rows: DataFrame, store_id: int | None = None, band: str | None = None, series: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a store, of a rotation band, of some series."""
+    for c, wanted in (("store_id", store_id), ("rotation_band", band)):
+        rows = rows.filter(F.col(c) == wanted) if wanted is not None else rows
+    return rows.filter(F.col("series_id").isin(list(series))) if series is not None else rows
+
+
+def page(rows: DataFrame, order: Sequence[Column | str], limit: int, offset: int) -> DataFrame:
+    """A page of the rows, each with the number of all of them (total); only that number and the page leave the tasks."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has a row at least and begins at one")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
+def alerts(marked: DataFrame, index: DataFrame, reason: str | None = None, store_id: int | None = None, band: str | None = None, series: Sequence[str] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of the series with a reason, the most reasons and the largest demand first, with its total; index:
+    (series_id, store_id, rotation_band)."""
+    if reason is not None and reason not in marked.columns:
+        raise ValueError(f"these signals can't tell {reason}")
+    rows = marked.filter("n_reasons > 0").join(index.select("series_id", "store_id", "rotation_band"), "series_id", "left")
+    rows = chosen(rows.filter(F.col(reason)) if reason else rows, store_id, band, series)
+    return page(rows, (F.desc("n_reasons"), F.desc("mean_demand"), "series_id"), limit, offset)
+
+
+#: Words of a search that stand for words of the labels.
+SYNONYMS = {"shop": "store", "outlet": "store", "item": "product", "article": "product", "sku": "product", "group": "category"}
+
+
+def catalogue_page(index: DataFrame, query: str = "", store_id: int | None = None, band: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the series whose id or label has every word of the query, or what it stands for, by id, with the total;
+    index: the hierarchy and rotation_band of each series."""
+    rows = chosen(labelled(index), store_id, band)
+    text = F.lower(F.concat_ws(" ", "series_id", "label"))
+    for word in query.lower().split():
+        hit = F.contains(text, F.lit(word))
+        for other in sorted({v for k, v in SYNONYMS.items() if word in k}):
+            hit = hit | F.contains(text, F.lit(other))
+        rows = rows.filter(hit)
+    return page(rows, ("series_id",), limit, offset)
+
+
+def labelled(index: DataFrame) -> DataFrame:
+    parts = (F.concat(F.lit(f"{name} "), column) for name, column in (("store", "store_id"), ("category", "third_category_id"), ("product", "product_id")))
+    return index.withColumn("label", F.concat_ws(" · ", *parts))
+
+
 def catalogue_search(index: DataFrame, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """Series whose id or label has every word of the query."""
-    label = F.concat_ws(" · ", F.concat(F.lit("store "), "store_id"), F.concat(F.lit("category "), "third_category_id"), F.concat(F.lit("product "), "product_id"))
-    rows = index.withColumn("label", label)
+    rows = labelled(index)
     text = F.lower(F.concat_ws(" ", "series_id", "label"))
     for word in query.lower().split():
         rows = rows.filter(F.contains(text, F.lit(word)))

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import quantile_name
-from stallwise.operators import boosting, decision, experiments, features, leakage, panel_checks, scoring, segments, triage
+from stallwise.operators import boosting, decision, experiments, features, forecast, leakage, linear, panel_checks, scoring, segments, triage
 from stallwise.operators.lineage import written
+from stallwise.operators.metrics import rotation_bands
 from stallwise.operators.models import CATEGORICAL, NUMERIC
 from stallwise.plans import sql
+from stallwise.plans.decision_queries import BASE, GRID, Q, with_grid
+from stallwise.plans.model_queries import PLAIN, linear_rows
 from stallwise.plans.panel_queries import recovered, rounded
 from stallwise.sources import panels
 
@@ -119,13 +122,57 @@ def axis_overlap(spark, sf_dir):
     return rounded(triage.axis_overlap(shapes, ("cv", "zero_rate", "stockout_rate", "peak_ratio"), 50))
 
 
-QUERIES = {f.__name__: f for f in (score_future, score_future_levels, train_bases, train_bases_metrics, attribution_local, attribution_top, shuffle_test, axis_overlap)}
+def catalogue_index(spark, sf_dir, panel):
+    bands = rotation_bands(panel).select("series_id", "rotation_band")
+    return panel_checks.series_index(panel).join(bands, "series_id", "left")
+
+
+def catalog_page(spark, sf_dir):
+    """The second page of three of the slow sellers of shop 3, with the number of all of them."""
+    index = catalogue_index(spark, sf_dir, recovered(spark, sf_dir))
+    return triage.catalogue_page(index, "shop 3", store_id=3, band="low", limit=3, offset=3).select("series_id", "rotation_band", "label", "total")
+
+
+def alert_totals(spark, sf_dir):
+    return rounded(triage.alert_totals(triage.triage(triage.series_signals(recovered(spark, sf_dir)))))
+
+
+def alerts_by_band(spark, sf_dir):
+    """The first alerts of large series among the fast sellers, with the number of all of them."""
+    panel = recovered(spark, sf_dir)
+    marked = triage.triage(triage.series_signals(panel))
+    return rounded(triage.alerts(marked, catalogue_index(spark, sf_dir, panel), "high_volume", band="high", limit=5).select("series_id", "mean_demand", "reasons", "rotation_band", "total"))
+
+
+def quantile_violations(spark, sf_dir):
+    """The judged folds' quantiles, with a planted crossing, a missing level and an inverted interval on some rows."""
+    names = ["pred_q05", "pred_q50", "pred_q62", "pred_q90", "pred_q95"]
+    g = with_grid(spark, sf_dir).select("series_id", "origin", "h", *names)
+    g = g.withColumn("pred_q62", F.when((F.col("h") == 2) & (F.col("origin") == 5), F.col("pred_q50") - 1).otherwise(F.col("pred_q62")))
+    g = g.withColumn("pred_q05", F.when((F.col("h") == 3) & (F.col("origin") == 6), None).otherwise(F.col("pred_q05")))
+    g = g.withColumns({"pred_lo": F.when(F.col("h") == 7, F.col("pred_q95") + 1).otherwise(F.col("pred_q05")), "pred_hi": F.col("pred_q95")})
+    return forecast.quantile_violations(g, names, least_origins=6)
+
+
+def encoder_fitted_on_train(spark, sf_dir):
+    """Means that the linear models' encoding learns, and two that come from all rows."""
+    train, test = linear_rows(spark, sf_dir)
+    full = train.unionByName(test)
+    learned = linear.encoder(train, PLAIN, ("store_id",)).centre
+    whole = full.agg(F.avg("discount").alias("discount"), F.avg("h").alias("h")).first()
+    honest = leakage.fitted_elsewhere({c: learned[c] for c in PLAIN}, train, full).withColumn("encoding", F.lit("train"))
+    planted = leakage.fitted_elsewhere({"discount": whole["discount"]}, train, full).withColumn("encoding", F.lit("all"))
+    return rounded(honest.unionByName(planted).select("encoding", "feature", "learned", "leaks"))
+
+
+QUERIES = {f.__name__: f for f in (score_future, score_future_levels, train_bases, train_bases_metrics, attribution_local, attribution_top, shuffle_test, axis_overlap, catalog_page, alert_totals, alerts_by_band, quantile_violations, encoder_fitted_on_train)}
 
 LAST = "date '1998-04-07'"
 
 
 def _oracles() -> dict[str, str]:
     from stallwise.plans.model_queries import ORACLE_SQL as shapes
+    from stallwise.plans.triage_queries import B_SIGNALS
 
     axes = ("cv", "zero_rate", "stockout_rate", "peak_ratio")
     each = " union all ".join(f"select series_id, '{a}' as axis, {a} as v from shapes" for a in axes)
@@ -136,6 +183,29 @@ def _oracles() -> dict[str, str]:
         select s.series_id, cast(t.h as int) as h, {LAST} + cast(t.h as int) as dt, cast(isodow({LAST} + cast(t.h as int)) - 1 as int) as dow, i.third_category_id, round(p.discount, 4) as discount, p.activity_flag,
                round(cast(s.sale as double), 4) as latent_lag_0, round(s.m7, 4) as latent_roll_mean_7, true as levels_rise, true as not_negative
         from st s join (select distinct series_id, third_category_id from pa) i using (series_id) cross join plan p cross join (select unnest(range(1, 8)) as h) t where s.dt = {LAST}""",
+        "catalog_page": sql.B_RECOVERED
+        + """, bm as (select series_id, any_value(store_id) as store_id, any_value(third_category_id) as c, any_value(product_id) as p, avg(latent) as m from rc group by 1),
+        ix as (select series_id, store_id, 'store ' || store_id || ' · category ' || c || ' · product ' || p as label, case when m <= (select quantile_cont(m, 0.5) from bm) then 'low' when m > (select quantile_cont(m, 0.85) from bm) then 'high' else 'mid' end as rotation_band from bm),
+        hit as (select * from ix where store_id = 3 and rotation_band = 'low' and (contains(series_id || ' ' || label, 'shop') or contains(series_id || ' ' || label, 'store')) and contains(series_id || ' ' || label, '3'))
+        select series_id, rotation_band, label, (select count(*) from hit) as total from hit order by series_id limit 3 offset 3""",
+        "alert_totals": B_SIGNALS
+        + """, f as (select mean_demand, (mean_demand >= (select quantile_cont(mean_demand, 0.9) from sg))::int + (estimated_share > 0.3)::int + (current_run >= 5)::int as n from sg)
+        select count(*) as n_series, count(*) filter (where n > 0) as n_flagged, count(*) filter (where n > 1) as n_several, round(avg((n > 0)::int), 4) as share_flagged, round(coalesce(sum(mean_demand) filter (where n > 0) / nullif(sum(mean_demand), 0), 0), 4) as share_volume from f""",
+        "alerts_by_band": B_SIGNALS
+        + """, bm as (select series_id, any_value(store_id) as store_id, avg(latent) as m from rc group by 1),
+        f as (select series_id, mean_demand, mean_demand >= (select quantile_cont(mean_demand, 0.9) from sg) as high_volume, estimated_share > 0.3 as scarce_signal, current_run >= 5 as out_now from sg),
+        every as (select f.*, case when m <= (select quantile_cont(m, 0.5) from bm) then 'low' when m > (select quantile_cont(m, 0.85) from bm) then 'high' else 'mid' end as rotation_band from f join bm using (series_id) where high_volume),
+        hit as (select * from every where rotation_band = 'high')
+        select series_id, round(mean_demand, 4) as mean_demand, array_to_string(list_filter([case when high_volume then 'high_volume' end, case when scarce_signal then 'scarce_signal' end, case when out_now then 'out_now' end], lambda x: x is not null), ', ') as reasons, rotation_band, (select count(*) from hit) as total
+        from hit order by high_volume::int + scarce_signal::int + out_now::int desc, hit.mean_demand desc, series_id limit 5""",
+        "quantile_violations": BASE
+        + GRID
+        + f""", pl as (select origin, h, case when h = 3 and origin = 6 then null else {Q[0]} end as a, {Q[1]} as b, case when h = 2 and origin = 5 then {Q[1]} - 1 else {Q[2]} end as c, {Q[3]} as d, {Q[4]} as e from g)
+        select unnest(['quantiles_cross', 'quantile_missing', 'too_few_origins', 'interval_inverted']) as rule, unnest([count(*) filter (where b < a - 1e-9) + count(*) filter (where c < b - 1e-9) + count(*) filter (where d < c - 1e-9) + count(*) filter (where e < d - 1e-9),
+          count(*) filter (where a is null), greatest(6 - count(distinct origin), 0), count(*) filter (where h = 7 and e < e + 1 - 1e-9)]) as violations from pl""",
+        "encoder_fitted_on_train": shapes["linear_ridge"][: shapes["linear_ridge"].index("mo as (")]
+        + """ names as (select unnest(['h', 'latent_lag_0', 'latent_roll_mean_7', 'discount', 'dow']) as feature, unnest([1, 2, 3, 4, 5]) as j)
+        select 'train' as encoding, feature, round(avg(x[j]), 4) as learned, false as leaks from tr, names group by 2 union all select 'all', 'discount', round(avg(x[4]), 4), true from ro""",
         "train_bases": sql.B_RECOVERED
         + """, days as (select max(dt) as last from rc), tested as (select rc.* from rc, days where dt > last - 7), bases as (select 'observed' as basis, series_id, sale as y from tested union all select 'recovered', series_id, latent from tested)
         select basis, count(*) as n, count(distinct series_id) as n_series, round(avg(y), 4) as mean_true, true as levels_rise, true as not_negative, true as in_order from bases group by 1""",

@@ -154,3 +154,33 @@ def test_overlap_of_axes(spark):
         tops = [set(frame.dropna(subset=[k]).sort_values([k, "series_id"], ascending=[False, True])["series_id"][:50]) for k in (x, y)]
         assert got[x, y]["spearman"] == pytest.approx(both[x].rank().corr(both[y].rank())) and got[x, y]["n_both"] == len(both)
         assert got[x, y]["overlap"] == pytest.approx(len(tops[0] & tops[1]) / 50)
+
+
+def test_pages_have_totals_and_filters(spark):
+    rows = [(f"{s}_{p}", s, p, p % 3, ("low", "high")[p % 2]) for s in range(3) for p in range(7)]
+    index = spark.createDataFrame(rows, "series_id string, store_id int, product_id int, third_category_id int, rotation_band string")
+    got = triage.catalogue_page(index, "shop 1", store_id=1, band="low", limit=2, offset=1).collect()
+    assert [(r["series_id"], r["total"]) for r in got] == [("1_2", 4), ("1_4", 4)]
+    assert triage.catalogue_page(index, "item group").count() == 21 and triage.catalogue_page(index, "nothing").count() == 0
+    assert triage.catalogue_page(index, offset=50).count() == 0
+    with pytest.raises(ValueError, match="page"):
+        triage.catalogue_page(index, limit=0)
+    marked = spark.createDataFrame([(r[0], float(r[2]), r[2] > 4, r[1] == 2) for r in rows], "series_id string, mean_demand double, high_volume boolean, out_now boolean").selectExpr("*", "int(high_volume) + int(out_now) as n_reasons")
+    page = triage.alerts(marked, index, "out_now", store_id=2, band="high", limit=2).collect()
+    assert [(r["series_id"], r["total"]) for r in page] == [("2_5", 3), ("2_3", 3)]
+    assert [r["series_id"] for r in triage.alerts(marked, index, series=["0_6", "2_0", "0_1"]).collect()] == ["0_6", "2_0"]
+    assert triage.missing_reasons(marked) == ["unreliable", "scarce_signal", "waste_risk"]
+    with pytest.raises(ValueError, match="can't tell"):
+        triage.alerts(marked, index, "waste_risk")
+    totals = triage.alert_totals(marked).first()
+    assert (totals["n_series"], totals["n_flagged"], totals["n_several"]) == (21, 11, 2) and totals["share_flagged"] == pytest.approx(11 / 21)
+
+
+def test_crossed_and_missing_quantiles_are_counted(spark):
+    from stallwise.operators import forecast
+
+    rows = [(0, 1.0, 2.0, 3.0, 1.0, 3.0), (0, 2.0, 1.0, 3.0, 1.0, 3.0), (1, None, 1.0, 0.5, 4.0, 3.0)]
+    df = spark.createDataFrame(rows, "origin int, a double, b double, c double, pred_lo double, pred_hi double")
+    got = {r["rule"]: r["violations"] for r in forecast.quantile_violations(df, ("a", "b", "c"), 3).collect()}
+    assert got == {"quantiles_cross": 2, "quantile_missing": 1, "too_few_origins": 1, "interval_inverted": 1}
+    assert forecast.quantile_violations(df.select("origin", "a", "b"), ("a", "b")).count() == 3
