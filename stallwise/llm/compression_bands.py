@@ -8,11 +8,13 @@ chunk is a chunk of its own; a document goes if too many of its chunks are bad,
 The limits come from the table itself: lengths fall into bands of a quarter octave, and of the ratios of all
 different texts of a band and its two neighbours, what lies outside of the quartiles by more than `fence` times their
 distance, and off the median by more than `least_spread` of it, is out. Chunks have wider fences, as one bad chunk
-of two is enough to reject. Counts of ratios by thousandths, which are few at any size, give the quartiles. Bands
-with fewer texts than `least_rows` keep fixed, wide limits.
+of two is enough to reject. Counts of ratios by thousandths, which are few at any size, give the quartiles. The
+fixed, wide limits of a length weigh as much as `prior_rows` texts beside those of its band, so there is no number of
+texts at which the rule changes. A verdict depends on the other texts of its lengths: less the more there are, and
+not at all where `Bands` that were fitted before are given.
 
 Rows: null or empty text has no words, fails the base rules and is not kept; very long texts are compressed
-in a stream and chunk by chunk; repeated rows are judged one by one; an empty table gives an empty result.
+whole and chunk by chunk; repeated rows are judged one by one; an empty table gives an empty result.
 Only the two named columns are read, so other columns can have any name.
 """
 
@@ -51,7 +53,8 @@ class Fences:
     #: Share of the median that a ratio may be off at least.
     least_document: float = 0.07
     least_chunk: float = 0.15
-    least_rows: int = 30
+    #: Texts that a band's fixed limits weigh as much as.
+    prior_rows: int = 8
 
 
 @dataclass(frozen=True)
@@ -69,12 +72,22 @@ class Bands:
     fitted_chunk: dict[int, tuple[float, float]] = field(default_factory=dict)
 
     def of(self, n_bytes: int) -> tuple[float, float]:
-        known = self.fitted.get(band_of(n_bytes))
-        return known or next((low, high) for start, low, high in reversed(self.document) if n_bytes >= start)
+        return self.fitted.get(band_of(n_bytes)) or self.fixed(n_bytes)
 
     def of_chunk(self, n_bytes: int) -> tuple[float, float]:
-        known = self.fitted_chunk.get(band_of(n_bytes))
-        return known or (self.chunk if n_bytes == self.chunk_bytes else next((low, high) for start, low, high in reversed(self.document) if n_bytes >= start))
+        return self.fitted_chunk.get(band_of(n_bytes)) or self.fixed_chunk(n_bytes)
+
+    def fixed(self, n_bytes: int) -> tuple[float, float]:
+        return next((low, high) for start, low, high in reversed(self.document) if n_bytes >= start)
+
+    def fixed_chunk(self, n_bytes: int) -> tuple[float, float]:
+        return self.chunk if band_of(n_bytes) == band_of(self.chunk_bytes) else self.fixed(n_bytes)
+
+
+def blended(found: tuple[float, float], n: int, fixed: tuple[float, float], prior_rows: int) -> tuple[float, float]:
+    """Limits of n texts and the fixed ones, by their weights."""
+    low, high = ((n * x + prior_rows * y) / (n + prior_rows) for x, y in zip(found, fixed))
+    return low, high
 
 
 def limits(counts: dict[int, int], fence: float, least: float) -> tuple[float, float]:
@@ -102,8 +115,12 @@ def fit(docs: DataFrame, bands: Bands = Bands(), fences: Fences = Fences(), text
         for band in range(r["band"] - 1, r["band"] + 2):
             at = counts.setdefault(band, {})
             at[r["bin"]] = at.get(r["bin"], 0) + r["count"]
-    enough = {band: c for band, c in counts.items() if sum(c.values()) >= fences.least_rows}
-    return replace(bands, fitted={b: limits(c, fences.document, fences.least_document) for b, c in enough.items()}, fitted_chunk={b: limits(c, fences.chunk, fences.least_chunk) for b, c in enough.items()})
+    fitted, fitted_chunk = {}, {}
+    for band, c in counts.items():
+        n, length = sum(c.values()), round(2 ** ((band + 0.5) / OCTAVE))
+        fitted[band] = blended(limits(c, fences.document, fences.least_document), n, bands.fixed(length), fences.prior_rows)
+        fitted_chunk[band] = blended(limits(c, fences.chunk, fences.least_chunk), n, bands.fixed_chunk(length), fences.prior_rows)
+    return replace(bands, fitted=fitted, fitted_chunk=fitted_chunk)
 
 
 @dataclass

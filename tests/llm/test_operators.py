@@ -431,6 +431,22 @@ def test_compression_bands_judge_the_rest_after_whole_chunks():
     assert mixed.n_bad_chunks == 1 and not mixed.kept, "a good rest doesn't save a text of bad chunks"
 
 
+def test_compression_limits_move_without_a_jump(spark):
+    """One text more or less moves a limit by little, however few there are, and given bands judge a part as the whole."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, "en", 120)) for i in range(60)] + [(60, "spam " * 130)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    band = compression_bands.band_of(len(rows[0][1]))
+    spans = [compression_bands.fit(table.filter(f"doc_id < {n}")).fitted.get(band, compression_bands.Bands().fixed(len(rows[0][1]))) for n in (0, 4, 8, 27, 28, 29, 30, 31, 59, 60)]
+    assert spans[0] == compression_bands.Bands().fixed(len(rows[0][1]))
+    assert all(abs(a - b) < 0.03 for x, y in zip(spans[3:8], spans[4:8]) for a, b in zip(x, y))
+    assert spans[0][0] < spans[1][0] < spans[-1][0] and spans[0][1] > spans[1][1] > spans[-1][1]
+    bands = compression_bands.fit(table)
+    whole = {r["doc_id"]: tuple(r) for r in compression_bands.compression_bands(table, bands).collect()}
+    part = compression_bands.compression_bands(table.filter("doc_id % 7 = 4"), bands).collect()
+    assert part and all(tuple(r) == whole[r["doc_id"]] for r in part)
+
+
 def test_compression_bands_are_those_of_the_table(spark):
     """Limits and verdicts against a plain count over all texts; repetitive and noisy texts go, prose stays."""
     import zstandard
