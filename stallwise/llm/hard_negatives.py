@@ -11,8 +11,8 @@ all that it holds, nothing of a page is scored.
 
 Two passes: the positives of an anchor, among the rows of its label, and then its negatives, one window for each positive.
 Rows are dealt to groups by a hash of their label, a group's to pages by a hash of the row, so a label
-that many rows have is many pages, and rare labels share one; anchors are dealt to blocks in the same way. Anchors meet
-all rows in blocks: the work grows with anchors x rows where nothing can be left out, as it must.
+that many rows have is many pages, and rare labels share one. Positives are sought in the anchor's group, negatives in all
+of them, by blocks of anchors of any label. Anchors meet all rows in blocks: the work grows with anchors x rows where nothing can be left out, as it must.
 
 Rows: those with a null id, label or vector or a null or non-finite component take no part; vectors are compared with
 those of equal length, empty ones score 0; rows that are equal in id, label and vector are one row; where rows share an
@@ -193,7 +193,8 @@ def pages(rows: DataFrame, params: Params) -> DataFrame:
     def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         grp, dim, page = (int(x) for x in key)
         vecs = unpacked(list(own["vec"]), dim)
-        order = np.argsort(vecs, axis=0, kind="stable").astype(np.int32)
+        # Places within a page, in two bytes where they fit.
+        order = np.argsort(vecs, axis=0, kind="stable").astype(np.uint16 if len(vecs) <= 1 << 16 else np.int32)
         wide = bool(np.abs(vecs).max(initial=0) >= 1 << 31)
         packed = own["id"].to_numpy(np.int64).tobytes(), own["label"].to_numpy(np.int64).tobytes(), wide, vecs.astype("<i8" if wide else "<i4").tobytes(), order.tobytes()
         return pd.DataFrame([[grp, dim, page // params.run_pages, page, *packed]], columns=[c.split()[0] for c in PAGE.split(", ")])
@@ -204,7 +205,7 @@ def pages(rows: DataFrame, params: Params) -> DataFrame:
 def page_of(row) -> Page:
     ids = np.frombuffer(row.ids, np.int64)
     shape = (len(ids), row.dim)
-    return Page(ids, np.frombuffer(row.labels, np.int64), np.frombuffer(row.vecs, "<i8" if row.wide else "<i4").reshape(shape).astype(np.int64), np.frombuffer(row.order, np.int32).reshape(shape))
+    return Page(ids, np.frombuffer(row.labels, np.int64), np.frombuffer(row.vecs, "<i8" if row.wide else "<i4").reshape(shape).astype(np.int64), np.frombuffer(row.order, np.uint16 if len(ids) <= 1 << 16 else np.int32).reshape(shape))
 
 
 MET = "anchor binary, anchor_id long, label long, window int, score long, id long, scored long"
@@ -248,18 +249,21 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, params: Params =
     paged = cut_lineage(pages(rows, params))
     anchors = cut_lineage(dealt(rows.filter(is_anchor), "block", params.block_anchors))
     blocks, runs = anchors.select("grp", "dim", "block").distinct(), paged.select(F.col("grp").alias("to_grp"), "dim", "run").distinct()
-    # Which blocks meet which runs: numbers only, of blocks of rows on either side.
-    pairs = cut_lineage(blocks.join(runs, "dim"))
+    # Which blocks meet which runs: numbers only, of blocks of rows on either side. Positives are in the anchor's group.
+    own = cut_lineage(blocks.join(runs, "dim").filter("grp = to_grp"))
     everything = F.array(F.array(F.lit(None).cast("long"), F.lit(None).cast("long")))
-    alike = meet(anchors.withColumn("windows", everything), paged, pairs.filter("grp = to_grp"), True, params.positives, params)
+    alike = meet(anchors.withColumn("windows", everything), paged, own, True, params.positives, params)
     positives = cut_lineage(first(alike, params.positives))
 
     # lo = ceil(least * score / 100), hi = floor(most * score / 100), in decimals, which hold any long times a hundred.
     score = F.col("score").cast("decimal(20,0)")
     lo, hi = F.ceil(score * params.least_percent / 100).cast("long"), F.floor(score * params.most_percent / 100).cast("long")
     windows = positives.groupBy(F.col("anchor").alias("vec"), F.col("anchor_id").alias("id"), "label").agg(F.sort_array(F.collect_list(F.struct("rank", F.array(lo, hi).alias("w")))).alias("ws"))
-    seekers = anchors.join(windows, ["vec", "id", "label"]).select("grp", "dim", "block", "id", "label", "vec", F.col("ws.w").alias("windows"))
-    other = meet(seekers, paged, pairs, False, params.negatives, params)
+    # Negatives are in all groups, so that the anchors of all groups share blocks, and a page is sent to as few as can be.
+    seekers = anchors.join(windows, ["vec", "id", "label"]).select(F.lit(0).alias("grp"), "dim", "id", "label", "vec", F.col("ws.w").alias("windows"))
+    seekers = cut_lineage(dealt(seekers, "block", params.block_anchors))
+    met = cut_lineage(seekers.select("grp", "dim", "block").distinct().join(runs, "dim"))
+    other = meet(seekers, paged, met, False, params.negatives, params)
     negatives = first(other, params.negatives)
     known = positives.select("anchor", "anchor_id", "label", (F.col("rank") - 1).alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     joined = negatives.join(known, ["anchor", "anchor_id", "label", "window"])
