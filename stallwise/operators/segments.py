@@ -1,12 +1,10 @@
-"""Shapes of series, groups of them, anomalous windows, and products on a map."""
+"""Shapes of series, groups of them, and products on a map."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -97,82 +95,6 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
     return row.select(F.when((F.col("x") + F.col("y")) / 2 == chance, 1.0).otherwise((F.col("same") - chance) / ((F.col("x") + F.col("y")) / 2 - chance)).alias("adjusted_rand"))
 
 
-def demand_windows(panel: DataFrame, length: int = 14, target: str = "demand_latent") -> DataFrame:
-    """(series_id, dt, window): the last days of each day as shares of the series' mean; whole windows only."""
-    w = Window.partitionBy("series_id").orderBy("dt").rowsBetween(-(length - 1), 0)
-    mean = F.avg(target).over(Window.partitionBy("series_id"))
-    rows = panel.select("series_id", "dt", "is_censored", F.collect_list(target).over(w).alias("v"), mean.alias("m")).filter((F.size("v") == length) & (F.col("m") > 0))
-    return rows.select("series_id", "dt", "is_censored", F.transform("v", lambda x: x / F.col("m")).alias("window"))
-
-
-def _isolation_tree(points: np.ndarray, rng: np.random.Generator, depth: int) -> list:
-    """Nested [feature, cut, left, right], or the number of points in a leaf."""
-    if depth == 0 or len(points) <= 1 or (points == points[0]).all():
-        return len(points)
-    spread = np.flatnonzero(points.min(axis=0) < points.max(axis=0))
-    f = int(rng.choice(spread))
-    cut = float(rng.uniform(points[:, f].min(), points[:, f].max()))
-    low = points[:, f] < cut
-    return [f, cut, _isolation_tree(points[low], rng, depth - 1), _isolation_tree(points[~low], rng, depth - 1)]
-
-
-def _expected_path(n: int) -> float:
-    return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-
-def _path_lengths(tree, points: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray) -> None:
-    if not isinstance(tree, list):
-        out[at] += depth + _expected_path(tree)
-        return
-    low = points[at, tree[0]] < tree[1]
-    for part, sub in ((at[low], tree[2]), (at[~low], tree[3])):
-        if len(part):
-            _path_lengths(sub, points, part, depth + 1, out)
-
-
-def window_anomalies(windows: DataFrame, trees: int = 50, sample: int = 256, share: float = 0.01, seed: int = 42) -> DataFrame:
-    """(series_id, dt, score, anomalous): isolation-forest scores of windows; the threshold is the upper share's quantile.
-
-    Each tree sees a hashed sample of at most `sample` windows, drawn by its number; the trees are built in parallel and
-    broadcast (trees x 2 x sample nodes at most), and every window is scored."""
-    total = windows.count()
-    draws = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    odds = min(1.0, 2.0 * sample / max(1, total))
-    drawn = windows.select("series_id", "dt", "window", draws).withColumn("u", F.xxhash64("series_id", "dt", "tree", F.lit(seed))).filter(F.pmod("u", F.lit(1 << 20)) < int(odds * (1 << 20)))
-
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        rows = rows.sort_values(["u", "series_id"]).head(sample)
-        points = np.array(rows["window"].tolist())
-        tree = _isolation_tree(points, np.random.default_rng(seed * 1000 + int(key[0])), int(np.ceil(np.log2(max(2, len(points))))))
-        return pd.DataFrame({"tree": [int(key[0])], "n": [len(points)], "body": [json.dumps(tree)]})
-
-    import json
-
-    built = drawn.groupBy("tree").applyInPandas(build, "tree int, n int, body string").orderBy("tree").collect()
-    forest = windows.sparkSession.sparkContext.broadcast([(json.loads(r["body"]), r["n"]) for r in built])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = np.array(batch.column(3).to_pylist()).reshape(batch.num_rows, -1)
-            depth = np.zeros(len(points))
-            for tree, _ in forest.value:
-                _path_lengths(tree, points, np.arange(len(points)), 0, depth)
-            usual = np.mean([_expected_path(n) for _, n in forest.value])
-            got = 2.0 ** (-(depth / len(forest.value)) / max(usual, 1e-9)) if len(points) else depth
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(got)], names=["series_id", "dt", "is_censored", "score"])
-
-    scored = windows.select("series_id", "dt", "is_censored", "window").mapInArrow(score, "series_id string, dt date, is_censored boolean, score double")
-    cut = scored.agg(F.percentile("score", F.lit(1 - share)).alias("_cut"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("anomalous", F.col("score") > F.col("_cut")).drop("_cut")
-
-
-def contrast_with_censoring(scored: DataFrame) -> DataFrame:
-    """One row: windows, marked ones, how many of those end in a known stock-out, and how many are new findings."""
-    return scored.agg(F.count(F.lit(1)).alias("windows"), F.count_if("anomalous").alias("marked"), F.avg(F.when(F.col("anomalous"), F.col("is_censored").cast("int"))).alias("marked_stockout_rate"), F.count_if(F.col("anomalous") & ~F.col("is_censored")).alias("new_findings"), F.avg(F.col("is_censored").cast("int")).alias("panel_rate"))
-
-
 def product_features(panel: DataFrame, target: str = "demand_latent") -> DataFrame:
     """Behaviour of each product over all its stores."""
     y = F.col(target)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import quantile_name
-from stallwise.operators import boosting, density, features, linear, models, segments
+from stallwise.operators import boosting, density, features, linear, models, segments, window_forest
 from stallwise.operators.lineage import written
 from stallwise.operators.metrics import rotation_bands
 from stallwise.operators.models import CATEGORICAL, NUMERIC
@@ -54,9 +54,28 @@ def dbscan_profiles(spark, sf_dir):
     return density.density_clusters(written(segments.shape_features(recovered(spark, sf_dir))), eps=1.2, min_samples=5)
 
 
+def demand_windows(spark, sf_dir):
+    """What the detector sees of each window: its first and last day, its sum and its highest day, in levels of the series."""
+    v = F.col("window")
+    sums = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return rounded(window_forest.demand_windows(recovered(spark, sf_dir)).select("series_id", "dt", v[0].alias("first"), v[13].alias("last"), sums.alias("total"), F.array_max(v).alias("most")))
+
+
+def judged_windows(spark, sf_dir):
+    """A detector of the days up to the 23rd, and what it says of all windows, in levels of those days."""
+    p = recovered(spark, sf_dir)
+    early = p.filter(F.dayofmonth("dt") <= 23)
+    detector = window_forest.fit(window_forest.demand_windows(early))
+    return window_forest.judge(detector, window_forest.demand_windows(p, known=window_forest.series_levels(early)))
+
+
 def window_anomalies(spark, sf_dir):
-    scored = segments.window_anomalies(segments.demand_windows(recovered(spark, sf_dir)).persist())
-    return scored.select("series_id", "dt", "anomalous", "score")
+    return judged_windows(spark, sf_dir).select("series_id", "dt", "anomalous", "score")
+
+
+def window_contrast(spark, sf_dir):
+    """How many windows and stock-outs there are; what the forest marks is left to the tests."""
+    return rounded(window_forest.contrast_with_censoring(judged_windows(spark, sf_dir)).select("windows", "panel_rate", (F.col("marked") > 0).alias("marks_some"), (F.col("new_findings") <= F.col("marked")).alias("findings_are_marked")))
 
 
 def product_map(spark, sf_dir):
@@ -129,7 +148,7 @@ def attribution(spark, sf_dir):
     return models.global_attribution(boosting.contributions(trees, test, ("series_id", "h"), head))
 
 
-QUERIES = {f.__name__: f for f in (shape_features, product_features, product_bands, kmeans_profiles, cluster_profile, cluster_stability, dbscan_profiles, window_anomalies, product_map, gbt_point, gbt_quantile, linear_ridge, linear_lasso, linear_elasticnet, linear_quantile, attribution)}
+QUERIES = {f.__name__: f for f in (shape_features, product_features, product_bands, kmeans_profiles, cluster_profile, cluster_stability, dbscan_profiles, demand_windows, window_anomalies, window_contrast, product_map, gbt_point, gbt_quantile, linear_ridge, linear_lasso, linear_elasticnet, linear_quantile, attribution)}
 
 ORACLE_SQL = {
     "shape_features": sql.B_RECOVERED
@@ -190,3 +209,14 @@ ORACLE_SQL["linear_ridge"] = (
     w as (select unnest(range(1, p + 1)) as j, unnest(list_transform(m, lambda r: r[p + 1])) as w from el, sz where k = p)
     select series_id, h, round(any_value(y), 4) as y, round(greatest((select avg(y) from tr) + sum(w.w * (v - c)), 0), 4) as y_pred from co join ce using (j) join w using (j) where o = date '1998-03-31' group by 1, 2"""
 )
+ORACLE_SQL["demand_windows"] = (
+    sql.B_RECOVERED
+    + """, lv as (select series_id, dt, case when avg(latent) over (partition by series_id) > 0 then latent / avg(latent) over (partition by series_id) else latent end as v from rc),
+    ww as (select series_id, dt, first_value(v) over w as first, v as last, sum(v) over w as total, max(v) over w as most, count(*) over w as n from lv window w as (partition by series_id order by dt rows between 13 preceding and current row))
+    select series_id, dt, round(first, 4) as first, round(last, 4) as last, round(total, 4) as total, round(most, 4) as most from ww where n = 14"""
+)
+ORACLE_SQL["window_contrast"] = (
+    sql.B_RECOVERED
+    + """, ww as (select cens, row_number() over (partition by series_id order by dt) as n from rc)
+    select count(*) as windows, round(avg(cens::int), 4) as panel_rate, true as marks_some, true as findings_are_marked from ww where n >= 14"""
+)

@@ -119,6 +119,10 @@ lv as (
   from lv_all)"""
 
 ORACLE_SQL = {
+    "whole_stores": sql.A
+    + """, sz as (select store_id, count(*) as n from (select distinct store_id, product_id from pa_raw) group by 1),
+    od as (select *, coalesce(sum(n) over (order by md5('42:' || store_id) rows between unbounded preceding and 1 preceding), 0) as before from sz)
+    select store_id, n as n_series, n as n_chosen from od where before < 20""",
     "series_inventory": sql.A + "select distinct store_id, product_id from pa_raw",
     "panel_from_hourly": sql.B + "select series_id, dt, sale as sale_amount, cast(hours_out as bigint) as hours_out, cast(oos_day as bigint) as oos_day, cast(weight as double) as available_weight, cens as is_censored from pb",
     "daily_panel": sql.A + "select series_id, store_id, product_id, dt, cast(sale as double) as sale_amount, cast(discount as double) as discount, activity as activity_flag from pa",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stallwise.operators.panel_checks import panel_violations
+
 #: Fixed values of the domain: commercial slots of the day, and the longest run of days that Panel A covers.
 OPEN_FROM, OPEN_TO = 6, 21
 OPEN_SLOTS = OPEN_TO - OPEN_FROM + 1
@@ -136,13 +140,18 @@ def series_inventory(panel: DataFrame) -> DataFrame:
     return panel.select("store_id", "product_id").distinct()
 
 
-def choose_whole_stores(inventory: DataFrame, n_series: int, seed: int = 42) -> DataFrame:
-    """Stores in hash order, as long as the stores before hold fewer than n_series; all their series."""
-    sizes = inventory.groupBy("store_id").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.xxhash64("store_id", F.lit(seed)))
-    earlier = sizes.select(F.col("at").alias("at2"), F.col("n").alias("n2"))
-    # A running sum over the stores alone: their number is that of shops, not of rows.
-    before = sizes.join(F.broadcast(earlier), F.col("at2") < F.col("at"), "left").groupBy("store_id").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("before"))
-    return inventory.join(F.broadcast(before.filter(F.col("before") < n_series)), "store_id", "left_semi")
+def choose_whole_stores(inventory: DataFrame, n_series: int, seed: int = 42, cities: Sequence[int] | None = None) -> DataFrame:
+    """Stores in hash order, as long as the stores before hold fewer than n_series; all their series. With cities, only
+    stores there (the inventory then holds city_id)."""
+    if cities is not None:
+        inventory = inventory.filter(F.col("city_id").isin(list(cities)))
+    at = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("store_id").cast("string")))
+    sizes = inventory.filter("store_id is not null").groupBy("store_id").agg(F.count(F.lit(1)).alias("n")).withColumn("_at", at)
+    # A store holds a series at least, so the first n_series stores are enough: the window sees no more rows than that.
+    first = sizes.orderBy("_at", "store_id").limit(n_series)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_at", "store_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = first.withColumn("_before", before).filter(F.col("_before") < n_series).select("store_id")
+    return inventory.join(F.broadcast(chosen), "store_id", "left_semi")
 
 
 def read_subset(raw: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -173,11 +182,21 @@ def save_layer(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def load_layer(spark: SparkSession, path: str, hourly: bool = True) -> DataFrame:
+def load_layer(spark: SparkSession, path: str, hourly: bool = True, validate: bool = False) -> DataFrame:
+    """A layer at rest; with validate, one that breaks a rule of panels (days may be missing) is refused."""
     df = spark.read.parquet(path)
+    if validate:
+        refuse_invalid(df)
     return df if hourly else df.drop("hours_sale", "hours_stock_status")
 
 
+def refuse_invalid(panel: DataFrame, allowed: Sequence[str] = ("series_with_gaps",)) -> None:
+    """Raises ValueError with the broken rules and how often each is."""
+    broken = [r for r in panel_violations(panel).filter("violations > 0").collect() if r["rule"] not in allowed]
+    if broken:
+        raise ValueError("the panel is invalid: " + ", ".join(f"{r['rule']} {r['violations']}" for r in broken))
+
+
 def save_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
