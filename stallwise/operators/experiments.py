@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import mean, quantile_name
@@ -33,18 +35,80 @@ def censoring_ablation(panel: DataFrame, folds: DataFrame, model: str = "moving_
     )
 
 
+def adopted(mean: Column, current_mean: Column, current_std: Column) -> Column:
+    """A setting is adopted only if its mean gains more than the current one's spread between origins."""
+    return F.coalesce(current_mean - mean > current_std, F.lit(False))
+
+
 def window_sweep(panel: DataFrame, folds: DataFrame, windows: Sequence[int] = (7, 14, 21, 28), current: int = 21, horizon: int = 7) -> DataFrame:
     """(window, mean, std, objective, adopted): moving averages of several lengths over the same folds, in one job. The
-    best is adopted only if its objective (mean MASE plus half its spread) gains more than the current one's spread."""
-    state = forecast.states(panel, folds).select("origin", "origin_date", "series_id", "naive_scale", F.explode(F.array(*(F.struct(F.lit(w).alias("window"), mean(F.slice("tail", F.greatest(F.size("tail") - w + 1, F.lit(1)), w)).alias("said")) for w in windows))).alias("x"))
-    steps = state.select("origin", "series_id", "naive_scale", "x.window", "x.said", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "origin_date").withColumn("dt", F.date_add("origin_date", F.col("h")))
-    met = steps.join(panel.select("series_id", "dt", F.col("demand_latent").alias("y")), ["series_id", "dt"])
-    each = met.groupBy("window", "origin").agg(F.avg(F.abs(F.col("y") - F.col("said")) / F.col("naive_scale")).alias("mase"))
-    sums = each.groupBy("window").agg(F.avg("mase").alias("mean"), F.coalesce(F.stddev_samp("mase"), F.lit(0.0)).alias("std")).withColumn("objective", F.col("mean") + 0.5 * F.col("std"))
-    now = sums.filter(F.col("window") == current).select(F.col("objective").alias("_now"), F.col("std").alias("_spread"))
-    best = sums.agg(F.min("objective").alias("_best"))
-    gains = (F.col("objective") == F.col("_best")) & (F.col("_now") - F.col("objective") > F.col("_spread"))
-    return sums.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(best)).select("window", "mean", "std", "objective", gains.alias("adopted"))
+    best by its objective (mean MASE plus half its spread) may be adopted."""
+    trials = [Trial("moving_average", float(w), w == current) for w in windows]
+    return tune(panel, folds, trials, horizon).select(F.col("value").cast("int").alias("window"), "mean", "std", "objective", "adopted")
+
+
+@dataclass(frozen=True)
+class Trial:
+    """One setting of one model: the days of a moving average, the weeks of a seasonal one, or Croston's smoothing."""
+
+    model: str
+    value: float
+    current: bool = False
+
+
+#: What the library uses, and the bounds that a search draws from (whole numbers but for Croston's).
+CURRENT = {"moving_average": 21.0, "seasonal_moving_average": 4.0, "croston": 0.1}
+SPACE = {"moving_average": (2, 28), "seasonal_moving_average": (1, 4), "croston": (0.02, 0.5)}
+
+
+def random_trials(n: int, models: Sequence[str] = tuple(CURRENT), seed: int = 42) -> list[Trial]:
+    """The current settings first, then up to n others for each model, drawn without repeats; the same for a seed."""
+    out = [Trial(m, CURRENT[m], True) for m in models]
+    for m in models:
+        rng, (low, high), seen = random.Random(f"{seed}:{m}"), SPACE[m], {CURRENT[m]}
+        for _ in range(20 * n):
+            value = round(rng.uniform(low, high), 2) if m == "croston" else float(rng.randint(int(low), int(high)))
+            if len(seen) <= n and value not in seen:
+                seen.add(value)
+                out.append(Trial(m, value))
+    return out
+
+
+def tune(panel: DataFrame, folds: DataFrame, trials: Sequence[Trial], horizon: int = 7, target: str = "demand_latent", weight: float = 0.5) -> DataFrame:
+    """(model, value, is_current, mean, std, objective, best, adopted): every trial over the same folds. The state of a
+    series and the truth are made once; trials are repeated within a row, and only sums by trial and origin move. The
+    loss is MASE for all; std is its spread between origins, objective mean + weight * std. A model's best trial has the
+    least objective (ties: the current one, then the least value) and is adopted if its mean gains more than the
+    current one's spread. Models without a current trial adopt nothing."""
+    state = forecast.states(panel, folds, target).select("origin", "origin_date", "series_id", "naive_scale", "tail")
+    smooth = sorted({t.value for t in trials if t.model == "croston"})
+    for k, alpha in enumerate(smooth):
+        state = state.join(forecast.croston_levels(panel, folds, target, alpha).withColumnRenamed("y_pred", f"_c{k}"), ["origin", "series_id"], "left")
+    steps = state.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("dt", F.date_add("origin_date", F.col("h")))
+    met = steps.join(panel.select("series_id", "dt", F.col(target).alias("y")), ["series_id", "dt"])
+    n, at = F.size("tail"), F.pmod(F.col("h") - 1, F.lit(forecast.SEASON))
+
+    def said(t: Trial) -> Column:
+        if t.model == "moving_average":
+            w = int(t.value)
+            return mean(F.slice("tail", F.greatest(n - w + 1, F.lit(1)), w))
+        if t.model == "seasonal_moving_average":
+            lagged = F.array(*(F.when(n >= forecast.SEASON * c - at, F.get("tail", n - forecast.SEASON * c + at)) for c in range(1, int(t.value) + 1)))
+            return F.coalesce(mean(lagged), mean(F.col("tail")))
+        if t.model == "croston":
+            return F.coalesce(F.col(f"_c{smooth.index(t.value)}"), F.lit(0.0))
+        raise ValueError(f"no settings to search for {t.model}")
+
+    each = [F.struct(F.lit(t.model).alias("model"), F.lit(float(t.value)).alias("value"), F.lit(t.current).alias("is_current"), F.greatest(said(t), F.lit(0.0)).alias("p")) for t in trials]
+    errors = met.select("origin", "naive_scale", "y", F.explode(F.array(*each)).alias("t")).groupBy("t.model", "t.value", "t.is_current", "origin").agg(F.avg(F.abs(F.col("y") - F.col("t.p")) / F.col("naive_scale")).alias("mase"))
+    sums = errors.groupBy("model", "value", "is_current").agg(F.avg("mase").alias("mean"), F.coalesce(F.stddev_samp("mase"), F.lit(0.0)).alias("std")).withColumn("objective", F.col("mean") + weight * F.col("std"))
+    # A row per trial: their number is that of the arguments.
+    own = Window.partitionBy("model")
+    now = lambda c: F.max(F.when(F.col("is_current"), F.col(c))).over(own)
+    first = F.row_number().over(own.orderBy("objective", F.desc("is_current"), "value")) == 1
+    judged = sums.withColumns({"best": first, "_mean": now("mean"), "_std": now("std")})
+    gains = F.col("best") & ~F.col("is_current") & adopted(F.col("mean"), F.col("_mean"), F.col("_std"))
+    return judged.select("model", "value", "is_current", "mean", "std", "objective", "best", gains.alias("adopted"))
 
 
 #: Demand bases and the labels of the supervised matrix that stand for them.

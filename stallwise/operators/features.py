@@ -100,3 +100,11 @@ def supervised_matrix(state: DataFrame, panel: DataFrame, origin_dates: DataFram
     at = at.withColumn("dt", F.date_add("origin_date", F.col("h")))
     truth = panel.select("series_id", "dt", *HIERARCHY, *KNOWN_AHEAD, F.col(target).alias("y"), F.col("sale_amount").alias("y_observed"))
     return at.join(truth, ["series_id", "dt"], how).withColumns(calendar_columns())
+
+
+#: Parts of the names that lagged features carry.
+LAG_MARKS = ("_lag_", "_roll_", "_momentum_", "_dow_mean_", "_dow_std_", "zero_share_", "days_since_sale", "censored_share_", "oos_hours_roll_")
+
+
+def lag_feature_names(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if any(m in c for m in LAG_MARKS)]

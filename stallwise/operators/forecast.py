@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import mean
@@ -152,6 +152,22 @@ def backtest(panel: DataFrame, fold_table: DataFrame, models: tuple[str, ...] =
     return wide.join(truth, ["series_id", "dt"]).select("p.model", "series_id", "origin", "h", "origin_date", "dt", "y_true", "p.y_pred", "y_observed", "available_weight", "naive_scale", "is_censored")
 
 
+#: Columns of a backtest result and their types; limits are there only where intervals were made.
+RESULT_TYPES = {"model": "string", "origin": "int", "origin_date": "date", "series_id": "string", "dt": "date", "h": "int", "y_true": "double", "y_pred": "double", "y_observed": "double", "is_censored": "boolean", "available_weight": "double", "naive_scale": "double"}
+LIMIT_TYPES = {"pred_lo": "double", "pred_hi": "double"}
+
+
+def empty_result(spark: SparkSession) -> DataFrame:
+    """A result without rows, to start a union from."""
+    return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in RESULT_TYPES.items()))
+
+
+def cast_result(result: DataFrame) -> DataFrame:
+    """The result's columns in their types, its own order and others as they are."""
+    types = RESULT_TYPES | LIMIT_TYPES
+    return result.select(*(F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in result.columns))
+
+
 def result_violations(result: DataFrame, horizon: int = 7) -> DataFrame:
     """(rule, violations) of the backtest contract."""
     rows = result.agg(

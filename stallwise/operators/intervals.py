@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.functions.arrays import quantile_name
+from stallwise.functions.arrays import at_level, quantile_name
 from stallwise.operators.lineage import written
 from stallwise.operators.quantiles import conformal_level, exact_quantiles
 from stallwise.operators.quantiles import levels as places
@@ -71,3 +71,13 @@ def residual_grid(calibration: DataFrame, test: DataFrame, levels: Sequence[floa
     got = exact_quantiles(residuals, ["model", "h"], "residual", places(*levels)).select("model", "h", F.col("q").alias("_r"))
     met = test.join(F.broadcast(got), ["model", "h"])
     return met.withColumns({quantile_name(q): F.greatest(F.col("y_pred") + F.col("_r")[k], F.lit(0.0)) for k, q in enumerate(levels)}).drop("_r")
+
+
+def wrapped_quantiles(rows: DataFrame, levels: Sequence[float], alpha: float = 0.1) -> DataFrame:
+    """Adds pred_qNN of a calibrated model. A model that predicted these levels itself keeps its own; otherwise they lie
+    on the line through the lower limit at alpha / 2, the prediction at one half and the upper limit, flat beyond the
+    limits and not below zero."""
+    missing = [q for q in levels if quantile_name(q) not in rows.columns]
+    line = F.array("pred_lo", "y_pred", "pred_hi")
+    anchors = (alpha / 2, 0.5, 1 - alpha / 2)
+    return rows.withColumns({quantile_name(q): F.greatest(at_level(line, anchors, q), F.lit(0.0)) for q in missing}) if missing else rows

@@ -63,8 +63,3 @@ def fit_linear_quantile(train: DataFrame, level: float = 0.9, rounds: int = 6, n
 
 def global_attribution(parts: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"))
-
-
-def adopts(current_mean: float, current_std: float, best_mean: float, best_std: float) -> bool:
-    """A tuned setting is adopted only if its gain exceeds the spread of the current one."""
-    return (current_mean + 0.5 * current_std) - (best_mean + 0.5 * best_std) > current_std

@@ -30,6 +30,14 @@ def check_future_index(df: DataFrame) -> DataFrame:
     return df
 
 
+def normalize_future_index(df: DataFrame) -> DataFrame:
+    """The key columns that are there, in the panel's types, however the index was made; what does not parse is null."""
+    types = {"series_id": "string", "dt": "date", "h": "int"}
+    own = dict(df.dtypes)
+    day = lambda c: F.to_date(F.substring(c, 1, 10)) if own[c] == "string" else F.col(c).cast("date")
+    return df.select(*((day(c) if t == "date" else F.col(c).try_cast(t)).alias(c) if (t := types.get(c)) else F.col(c) for c in df.columns))
+
+
 def panel_violations(df: DataFrame) -> DataFrame:
     """(rule, violations): how many rows, keys or series break each rule. One pass for rows, one for keys."""
     rows = df.agg(

@@ -133,7 +133,16 @@ def residual_anomalies(spark, sf_dir, z: float = 3.0):
     return rounded(r.withColumn("z", score).filter(F.abs("z") > z).select("series_id", "origin", "h", "residual", "z"))
 
 
-QUERIES = {f.__name__: f for f in (folds, fold_disjoint, naive_scale, rotation_bands, backtest_baselines, forecast_seasonal_ar, forecast_weekly_profile, forecast_croston, forecast_future, backtest_croston, result_violations, metrics_by_origin, metrics_by_horizon, metrics_by_band, metric_summary, improvement, breakdown_long, model_groups, band_verdicts, residual_anomalies)}
+def typed_result(spark, sf_dir):
+    """Results of two runs, added to an empty one."""
+    built = parts(spark, sf_dir)
+    out = forecast.empty_result(spark)
+    for model in ("naive", "moving_average"):
+        out = out.unionByName(forecast.cast_result(result_of(spark, sf_dir, (model,), built)))
+    return rounded(out)
+
+
+QUERIES = {f.__name__: f for f in (folds, fold_disjoint, naive_scale, rotation_bands, backtest_baselines, forecast_seasonal_ar, forecast_weekly_profile, forecast_croston, forecast_future, backtest_croston, result_violations, typed_result, metrics_by_origin, metrics_by_horizon, metrics_by_band, metric_summary, improvement, breakdown_long, model_groups, band_verdicts, residual_anomalies)}
 
 FOLDS = """
 fd as (select cast(k as int) as origin, date '1998-04-07' - 7 - 3 * (7 - cast(k as int)) as origin_date from (select unnest(range(8)) as k))"""
@@ -257,3 +266,8 @@ ORACLE_SQL = {
     select series_id, origin, h, round(cast(residual as double), 4) as residual, round(z, 4) as z from z where abs(z) > 3""",
 }
 ORACLE_SQL["metric_summary"] = BT + SUMMARY + "select model, metric, round(mean, 4) as mean, round(std, 4) as std, round(worst, 4) as worst, round(best, 4) as best, n_origins from sm"
+ORACLE_SQL["typed_result"] = (
+    BT
+    + """select model, origin, origin_date, series_id, dt, h, round(cast(y_true as double), 4) as y_true, round(cast(y_pred as double), 4) as y_pred, round(cast(y_true as double), 4) as y_observed,
+    false as is_censored, cast(1 as double) as available_weight, round(cast(naive_scale as double), 4) as naive_scale from bt where model in ('naive', 'moving_average')"""
+)

@@ -49,6 +49,12 @@ def conformal_residual(spark, sf_dir):
     return rounded(intervals.residual_conformal(*halves(spark, sf_dir), ALPHA).select("series_id", "origin", "h", "y_pred", "pred_lo", "pred_hi"))
 
 
+def wrapped_quantiles(spark, sf_dir):
+    """Quantiles of a point model from its calibrated interval."""
+    done = intervals.residual_conformal(*halves(spark, sf_dir), ALPHA)
+    return rounded(intervals.wrapped_quantiles(done, LEVELS, ALPHA).select("series_id", "origin", "h", *map(quantile_name, LEVELS)))
+
+
 def series_dispersion(spark, sf_dir):
     return rounded(intervals.dispersion(panels.panel_a(spark, sf_dir)))
 
@@ -153,7 +159,7 @@ def reorder_totals(spark, sf_dir):
     return rounded(decision.catalogue_totals(last_lines(spark, sf_dir)), 3)
 
 
-QUERIES = {f.__name__: f for f in (quantile_grid, conformal_residual, series_dispersion, conformal_adaptive, conformal_cqr, coverage_report, coverage_by_horizon, quantile_metrics, order_from_quantiles, newsvendor_expected, policy_outcomes, policy_by_band, roi_relative, roi_grid, economics_sweep, economics_levels, current_policy, plan_default, reorder_lines, reorder_catalog, reorder_totals)}
+QUERIES = {f.__name__: f for f in (quantile_grid, conformal_residual, wrapped_quantiles, series_dispersion, conformal_adaptive, conformal_cqr, coverage_report, coverage_by_horizon, quantile_metrics, order_from_quantiles, newsvendor_expected, policy_outcomes, policy_by_band, roi_relative, roi_grid, economics_sweep, economics_levels, current_policy, plan_default, reorder_lines, reorder_catalog, reorder_totals)}
 
 BASE = sql.of(sql.PANEL_A, FOLDS, BACKTEST, "ma as (select * from bt where model = 'moving_average')")
 Q = ("q05", "q50", "q62", "q90", "q95")
@@ -235,6 +241,12 @@ ORACLE_SQL = {
     + ", "
     + _conformal("abs(y_true - y_pred)", "ma where origin < 4")
     + f"select series_id, origin, h, {_round('y_pred')}, round(greatest(y_pred - greatest(q, 1e-6), 0), 4) as pred_lo, round(y_pred + greatest(q, 1e-6), 4) as pred_hi from ma join cq using (h) where origin >= 4",
+    "wrapped_quantiles": BASE
+    + ", "
+    + _conformal("abs(y_true - y_pred)", "ma where origin < 4")
+    + ", iv as (select series_id, origin, h, y_pred as m, greatest(y_pred - greatest(q, 1e-6), 0) as lo, y_pred + greatest(q, 1e-6) as hi from ma join cq using (h) where origin >= 4) select series_id, origin, h, "
+    + ", ".join(f"round(greatest(case when {q} <= 0.5 then lo + (m - lo) * (greatest({q}, 0.05) - 0.05) / 0.45 else m + (hi - m) * (least({q}, 0.95) - 0.5) / 0.45 end, 0), 4) as {quantile_name(q)}" for q in LEVELS)
+    + " from iv",
     "series_dispersion": sql.of(sql.PANEL_A, DISPERSION.format("date '1998-04-07'")) + f"select series_id, {_round('dispersion')} from ds",
     "conformal_adaptive": BASE
     + ", "
