@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import quantile_name
+from stallwise.operators.lineage import written
+from stallwise.operators.quantiles import exact_quantiles, levels
 from stallwise.operators.recovery import clean_day_bias, recensored_bias
 
 TOLERANCE = 1e-9
@@ -42,10 +44,10 @@ def by(result: DataFrame, *keys: str) -> DataFrame:
 
 def rotation_bands(history: DataFrame, target: str = "demand_latent", low: float = 0.5, high: float = 0.85) -> DataFrame:
     """(series_id, rotation_band): low up to the median of the series' means, high beyond the upper quantile."""
-    means = history.groupBy("series_id").agg(F.avg(target).alias("m"))
-    cuts = means.agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("q"))
+    means = written(history.groupBy("series_id").agg(F.avg(target).alias("m")))
+    cuts = exact_quantiles(means, [], "m", levels(low, high)).select("q")
     band = F.when(F.col("m") <= F.col("q")[0], "low").when(F.col("m") > F.col("q")[1], "high").otherwise("mid")
-    return means.crossJoin(F.broadcast(cuts)).select("series_id", F.col("m").alias("mean_demand"), band.alias("rotation_band"))
+    return means.join(F.broadcast(cuts), F.lit(True), "left").select("series_id", F.col("m").alias("mean_demand"), band.alias("rotation_band"))
 
 
 def by_band(result: DataFrame, bands: DataFrame) -> DataFrame:

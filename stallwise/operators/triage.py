@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stallwise.operators.lineage import written
 from stallwise.operators.numbering import ranks
-from stallwise.operators.quantiles import exact_quantiles
+from stallwise.operators.quantiles import exact_quantiles, levels
 from stallwise.operators.recovery import stockout_runs
 
 
@@ -59,11 +59,11 @@ def series_signals(panel: DataFrame, result: DataFrame | None = None, cuts: Cuts
 def triage(signals: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """A flag per reason whose signal there is, their names as text, and how many apply."""
     flags: dict[str, Column] = {}
-    out = signals
+    out = written(signals)
     if "series_mase" in signals.columns:
         flags["unreliable"] = F.col("series_mase") > cuts.mase
-    cut = signals.agg(F.percentile("mean_demand", F.lit(cuts.volume_quantile)).alias("_cut"))
-    out = out.crossJoin(F.broadcast(cut))
+    cut = exact_quantiles(out, [], "mean_demand", levels(cuts.volume_quantile)).select(F.col("q")[0].alias("_cut"))
+    out = out.join(F.broadcast(cut), F.lit(True), "left")
     flags["high_volume"] = F.col("mean_demand") >= F.col("_cut")
     flags["scarce_signal"] = F.col("estimated_share") > cuts.estimated_share
     flags["out_now"] = F.col("current_run") >= cuts.run_days
@@ -137,8 +137,10 @@ def stockout_histogram(panel: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def demand_distribution(panel: DataFrame, target: str = "demand_latent") -> DataFrame:
-    q = F.percentile(target, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    one = panel.agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"), F.min(target).alias("least"), F.max(target).alias("most"), q.alias("q"), F.avg((F.col(target) <= 0).cast("int")).alias("zero_share"))
+    """One row: moments, quantiles and the share of days without demand; the quantiles are null where there is no value."""
+    own = written(panel.select(target))
+    q = exact_quantiles(own, [], target, levels(0.5, 0.9, 0.99)).select("q")
+    one = own.agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"), F.min(target).alias("least"), F.max(target).alias("most"), F.avg((F.col(target) <= 0).cast("int")).alias("zero_share")).join(F.broadcast(q), F.lit(True), "left")
     return one.select("mean", "std", "least", "most", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "zero_share", F.when(F.col("q")[0] > 0, F.col("q")[2] / F.col("q")[0]).alias("p99_over_median"))
 
 
