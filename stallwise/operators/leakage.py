@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.functions.statistics import correlation
 from stallwise.operators.numbering import numbered
 from stallwise.operators.quantiles import exact_quantiles, levels
 
@@ -39,11 +40,13 @@ def global_aggregates(train: DataFrame, full: DataFrame, columns: Sequence[str])
     return rows.filter("x.low = x.high and abs(x.low - x.mean) < 1e-9").select("x.column")
 
 
-def target_correlations(supervised: DataFrame, features: Sequence[str], threshold: float = 0.999, least: int = 30) -> DataFrame:
-    """(feature, corr, leaks): absolute correlation with the label, of features with enough pairs that vary."""
-    stats = [F.struct(F.lit(c).alias("feature"), F.abs(F.corr(c, "y")).alias("corr"), F.count_if(F.col(c).isNotNull() & F.col("y").isNotNull()).alias("n"), F.stddev_pop(c).alias("sd")).alias(c) for c in features]
+def target_correlations(supervised: DataFrame, features: Sequence[str], threshold: float = 0.999, least: int = 30, every: bool = False) -> DataFrame:
+    """(feature, corr, leaks): absolute correlation with the label, of features with enough pairs that vary; with every, of
+    all features: NaN, which counts as a leak, where one side doesn't vary, and null without a pair."""
+    stats = [F.struct(F.lit(c).alias("feature"), F.abs(correlation(F.col(c), F.col("y"))).alias("corr"), F.count_if(F.col(c).isNotNull() & F.col("y").isNotNull()).alias("n"), F.stddev_pop(c).alias("sd")).alias(c) for c in features]
     rows = supervised.agg(*stats).select(F.explode(F.array(*features)).alias("x"))
-    return rows.filter((F.col("x.n") >= least) & (F.col("x.sd") > 0)).select("x.feature", "x.corr", (F.col("x.corr") >= threshold).alias("leaks"))
+    kept = rows if every else rows.filter((F.col("x.n") >= least) & (F.col("x.sd") > 0))
+    return kept.select("x.feature", "x.corr", (F.col("x.corr") >= threshold).alias("leaks"))
 
 
 def shuffled(df: DataFrame, column: str, keys: Sequence[str] = ("series_id", "dt"), seed: int = 42) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.functions.statistics import correlation
+
 SHAPE = ("cv", "zero_rate", "weekly_amplitude", "peak_ratio", "autocorr_7", "mean_zero_run", "stockout_rate")
 
 
@@ -32,7 +34,7 @@ def shape_features(panel: DataFrame, target: str = "demand_latent", min_days: in
         F.count_if(zero).alias("zeros"),
         F.count_distinct("island").alias("runs"),
         F.avg("out").alias("stockout_rate"),
-        F.when(F.count(F.lit(1)) > 8, F.corr("y", "y7")).alias("ac"),
+        F.when(F.count(F.lit(1)) > 8, correlation(F.col("y"), F.col("y7"))).alias("ac"),
         F.stddev_pop(F.when(F.col("y7").isNotNull(), F.col("y"))).alias("sa"),
         F.stddev_pop("y7").alias("sb"),
     )

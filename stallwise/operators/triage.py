@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.functions.statistics import correlation
 from stallwise.operators.lineage import written
 from stallwise.operators.numbering import ranks
 from stallwise.operators.quantiles import exact_quantiles, levels
@@ -174,7 +175,7 @@ def axis_overlap(signals: DataFrame, axes: Sequence[str], top: int = 50) -> Data
         both = ranked.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
         if whole[a] or whole[b]:
             both = ranks(ranks(both.select("series_id", a, b), a, f"_r_{a}"), b, f"_r_{b}")
-        one = both.agg(F.lit(a).alias("axis_a"), F.lit(b).alias("axis_b"), F.corr(f"_r_{a}", f"_r_{b}").alias("spearman"), F.count(F.lit(1)).alias("n_both"))
+        one = both.agg(F.lit(a).alias("axis_a"), F.lit(b).alias("axis_b"), correlation(F.col(f"_r_{a}"), F.col(f"_r_{b}")).alias("spearman"), F.count(F.lit(1)).alias("n_both"))
         rows = one if rows is None else rows.unionByName(one)
     sets = first.groupBy("series_id").agg(F.collect_set("axis").alias("axes"))
     counts = sets.agg(*(F.count_if(F.array_contains("axes", a) & F.array_contains("axes", b)).alias(f"{a}|{b}") for a, b in pairs))

@@ -96,7 +96,7 @@ def leak_grouped_lags(spark, sf_dir):
 
 def leak_target_corr(spark, sf_dir):
     names = ("latent_lag_0", "latent_lag_7", "latent_roll_mean_28", "latent_dow_mean_4", "zero_share_28")
-    return rounded(leakage.target_correlations(supervised(spark, sf_dir), names), 6)
+    return rounded(leakage.target_correlations(supervised(spark, sf_dir), names, every=True), 6)
 
 
 def leak_global_aggregates(spark, sf_dir):
