@@ -13,3 +13,9 @@ def correlation(a: Column, b: Column) -> Column:
     x, y = (F.when(both, c.cast("double")) for c in (a, b))
     spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
     return F.when(spread == 0, float("nan")).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
+def half_up(value: Column, places: int) -> Column:
+    """A double that isn't negative, rounded as SQL rounds doubles: by its product with a power of ten, so that a value which
+    the sum of doubles left a hair under a tie goes up; `F.round` goes by the shortest decimal and takes it down."""
+    return F.floor(value * float(10**places) + 0.5) / float(10**places)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwise.functions.arrays import at_level, quantile_name
+from stallwise.functions.statistics import half_up
 from stallwise.operators import decision, forecast, intervals, metrics
 from stallwise.operators.lineage import written
 from stallwise.plans import sql
@@ -135,7 +136,7 @@ def economics_levels(spark, sf_dir):
     """The critical level of each discount that was given, as if it were the loss on what is left over."""
     a = panels.panel_a(spark, sf_dir)
     waste = F.greatest(1 - F.col("discount"), F.lit(0.01))
-    return rounded(a.select(F.round(1 / (1 + waste), 4).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("days")))
+    return a.select(half_up(1 / (1 + waste), 4).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("days"))
 
 
 def current_policy(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stallwise.functions.statistics import half_up
 from stallwise.operators.panel_checks import panel_violations
 
 #: Fixed values of the domain: commercial slots of the day, and the longest run of days that Panel A covers.
@@ -51,7 +52,7 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = line.join(part, "l_partkey").join(place, "l_suppkey")
     return joined.groupBy("store_id", "product_id", "dt").agg(
         F.round(F.sum("l_quantity"), 4).alias("sale_amount"),
-        F.round(F.avg(1.0 - F.col("l_discount")), 4).alias("discount"),
+        half_up(F.avg(1.0 - F.col("l_discount")), 4).alias("discount"),
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("int").alias("activity_flag"),
     )
 

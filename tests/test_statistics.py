@@ -26,3 +26,10 @@ def test_shapes_of_a_series_that_never_moves(spark):
     rows = [("a", DAY + dt.timedelta(k), 2.0, False) for k in range(30)] + [("b", DAY + dt.timedelta(k), float(k % 7), False) for k in range(30)]
     panel = spark.createDataFrame(rows, "series_id string, dt date, demand_latent double, is_censored boolean")
     assert {r["series_id"]: round(r["autocorr_7"], 9) for r in segments.shape_features(panel).collect()} == {"a": 0.0, "b": 1.0}
+
+
+def test_a_mean_a_hair_under_a_tie_goes_up_as_in_sql(spark):
+    # The first is the mean of 0.96125 after sums of doubles.
+    means = [0.9612499999999999, 0.95125, 0.9512, 0.95124, 1.0]
+    rows = spark.createDataFrame([(m,) for m in means], "m double").select(statistics.half_up(F.col("m"), 4).alias("r"))
+    assert [r["r"] for r in rows.collect()] == [0.9613, 0.9513, 0.9512, 0.9512, 1.0]
