@@ -2,9 +2,10 @@
 
 Space is cut into cells with a diagonal of eps, so that points of one cell are neighbours without being compared. A cell
 with `min_samples` points has core points only. Points of thinner cells are compared with those of the cells that are
-near enough. Core cells are linked where two of their core points are neighbours (none are compared where even the
-cells' far corners are), and clusters are the components of this graph of cells, by alternating stars, in a
-logarithmic number of rounds. Near cells are found by a grid over the first dimensions and the distance of the cells
+near enough, by the boxes around their points. Core cells are linked where two of their core points are neighbours (none
+are compared where even the boxes' furthest places are; of the others one point of a cell first, all points only where the
+cells are in different components still), and clusters are the components of this graph of cells, by alternating stars, in a
+logarithmic number of rounds. Equal points are compared once. Near cells are found by a grid over the first dimensions and the distance of the cells
 in all of them.
 """
 
@@ -55,6 +56,35 @@ def near_cells(cells: DataFrame, eps: float, side: float, d: int) -> DataFrame:
     return here.join(around, "coarse").filter(gap <= eps * eps * (1 + 1e-9)).select("cell", "other")
 
 
+def boxes(points: DataFrame, d: int, *more: Column) -> DataFrame:
+    """(cell, lo, hi) and more aggregates: the least box around each cell's points."""
+    each = lambda f: F.array(*(f(F.col("p")[i]) for i in range(d)))
+    return points.groupBy("cell").agg(each(F.min).alias("lo"), each(F.max).alias("hi"), *more)
+
+
+def with_boxes(near: DataFrame, cells: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (cell, other) with both boxes."""
+    cells = cells.withColumnsRenamed({"lo": "cell_lo", "hi": "cell_hi"})
+    return near.join(cells, "cell").join(others.withColumnsRenamed({"cell": "other", "lo": "other_lo", "hi": "other_hi"}), "other")
+
+
+def _between(part) -> Column:
+    """Sum over the dimensions of the square of part(cell's low, high, other's low, high)."""
+    ends = F.arrays_zip(*(F.col(c).alias(c) for c in ("cell_lo", "cell_hi", "other_lo", "other_hi")))
+    squares = F.transform(ends, lambda e: part(e["cell_lo"], e["cell_hi"], e["other_lo"], e["other_hi"]) * part(e["cell_lo"], e["cell_hi"], e["other_lo"], e["other_hi"]))
+    return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+
+
+def gap() -> Column:
+    """Squared distance of the nearest places of two boxes. It is rounded as points' distances are: theirs are never less."""
+    return _between(lambda a, b, c, e: F.greatest(c - b, a - e, F.lit(0.0)))
+
+
+def furthest() -> Column:
+    """Squared distance of the furthest places of two boxes; points' distances are never more."""
+    return _between(lambda a, b, c, e: F.greatest(e - a, b - c))
+
+
 def density_clusters(shapes: DataFrame, eps: float = 0.9, min_samples: int = 10, columns: Sequence[str] = ("cv", "zero_rate", "weekly_amplitude", "peak_ratio", "autocorr_7", "mean_zero_run", "stockout_rate")) -> DataFrame:
     """(series_id, cluster) over standardised columns: -1 for noise, else the least series among the cluster's core points;
     a border point goes to the least of the clusters that it touches. A missing value is the column's mean."""
@@ -65,30 +95,40 @@ def density_clusters(shapes: DataFrame, eps: float = 0.9, min_samples: int = 10,
     pts = shapes.crossJoin(F.broadcast(stats)).select("series_id", place.alias("p")).withColumn("cell", F.transform("p", lambda v: F.floor(v / side)))
     pts = written(pts)
     sizes = written(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-    near = written(near_cells(sizes, eps, side, d))
-    close = sum_of(F.col("p"), F.col("q"), lambda x, y: (x - y) * (x - y)) <= eps * eps
+    near = near_cells(sizes, eps, side, d)
+    limit = eps * eps
+    close = sum_of(F.col("p"), F.col("q"), lambda x, y: (x - y) * (x - y)) <= limit
+    near = written(with_boxes(near, boxes(pts, d), boxes(pts, d)).filter(gap() <= limit).select("cell", "other"))
 
     # Points of thin cells meet those of near cells; of their own cell all are neighbours.
     thin = pts.join(sizes.filter(F.col("n") < min_samples).select("cell"), "cell")
-    others = pts.select(F.col("cell").alias("other"), F.col("p").alias("q"))
-    met = thin.join(near.filter("cell <> other"), "cell").join(others, "other").filter(close).groupBy("series_id").agg(F.count(F.lit(1)).alias("n_met"))
+    others = pts.groupBy(F.col("cell").alias("other"), F.col("p").alias("q")).agg(F.count(F.lit(1)).alias("times"))
+    met = thin.join(near.filter("cell <> other"), "cell").join(others, "other").filter(close).groupBy("series_id").agg(F.sum("times").alias("n_met"))
     counted = thin.join(sizes, "cell").join(met, "series_id", "left").filter(F.col("n") + F.coalesce("n_met", F.lit(0)) >= min_samples).select("series_id", "p", "cell")
     core = written(pts.join(sizes.filter(F.col("n") >= min_samples).select("cell"), "cell").select("series_id", "p", "cell").unionByName(counted))
 
     # A core cell goes by its least core point; so a component's least name is its least core point.
-    named = written(core.groupBy("cell").agg(F.min("series_id").alias("name")))
-    far = sum_of(F.col("cell"), F.col("other"), lambda x, y: F.pow((F.abs(x - y) + 1) * side, F.lit(2.0)))
-    pairs = near.join(named.withColumnRenamed("name", "a"), "cell").join(named.select(F.col("cell").alias("other"), F.col("name").alias("b")), "other").filter("a <= b")
-    sure = (F.col("a") == F.col("b")) | (far <= eps * eps)
-    # Only points within eps of the other cell's box can have a neighbour there.
-    box = lambda p, cell: sum_of(p, cell, lambda x, c: F.pow(F.greatest(c * side - x, x - (c + 1) * side, F.lit(0.0)), F.lit(2.0))) <= eps * eps * (1 + 1e-9)
-    left = pairs.filter(~sure).join(core.select("cell", "p"), "cell").filter(box(F.col("p"), F.col("other")))
-    linked = left.join(core.select(F.col("cell").alias("other"), F.col("p").alias("q")), "other").filter(close).select("a", "b").distinct()
-    roots = written(components(pairs.filter(sure).select("a", "b").unionByName(linked)))
+    named = written(boxes(core, d, F.min("series_id").alias("name")))
+    right = named.withColumnRenamed("name", "b")
+    pairs = written(with_boxes(near, named.withColumnRenamed("name", "a"), right).filter((F.col("a") <= F.col("b")) & (gap() <= limit)).withColumn("sure", (F.col("a") == F.col("b")) | (furthest() <= limit)))
+    spots = written(core.select("cell", "p").distinct())
+    to_box = lambda v, lo, hi: F.aggregate(F.zip_with(v, F.arrays_zip(F.col(lo).alias("l"), F.col(hi).alias("h")), lambda x, y: F.pow(F.greatest(y["l"] - x, x - y["h"], F.lit(0.0)), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x) / (1 + 1e-9)
+    here = spots.select(F.col("cell").alias("other"), F.col("p").alias("q"))
+    # First one point of a cell, the nearest to the other cell's box, meets the points there: cells of one cluster are mostly
+    # linked by that. All points meet only between cells that are in different components still.
+    unsure = pairs.filter("not sure")
+    first = unsure.join(spots, "cell").groupBy("cell", "other", "a", "b").agg(F.min_by("p", F.struct(to_box(F.col("p"), "other_lo", "other_hi"), "p")).alias("p"))
+    links = written(pairs.filter("sure").select("a", "b").unionByName(first.join(here, "other").filter(close).select("a", "b").distinct()))
+    roots = written(components(links))
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = unsure.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b")
+    left = apart.join(spots, "cell").filter(to_box(F.col("p"), "other_lo", "other_hi") <= limit)
+    last = written(left.join(here, "other").filter(to_box(F.col("q"), "cell_lo", "cell_hi") <= limit).filter(close).select("a", "b").distinct())
+    roots = roots if last.isEmpty() else written(components(links.unionByName(last)))
     inside = core.join(named, "cell").join(roots.withColumnRenamed("node", "name"), "name").select("series_id", "p", "cell", F.col("root").alias("cluster"))
     inside = written(inside)
 
     border = pts.join(core.select("series_id"), "series_id", "left_anti").join(near, "cell")
-    touched = border.join(inside.select(F.col("cell").alias("other"), F.col("p").alias("q"), "cluster"), "other").filter((F.col("cell") == F.col("other")) | close)
+    touched = border.join(inside.select(F.col("cell").alias("other"), F.col("p").alias("q"), "cluster").distinct(), "other").filter((F.col("cell") == F.col("other")) | close)
     found = inside.select("series_id", "cluster").unionByName(touched.groupBy("series_id").agg(F.min("cluster").alias("cluster")))
     return shapes.select("series_id").join(found, "series_id", "left").select("series_id", F.coalesce("cluster", F.lit("-1")).alias("cluster"))

@@ -63,3 +63,13 @@ def test_components_of_a_long_chain_and_loops(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100) if i != 50] + [("x", "x")]
     got = {r["node"]: r["root"] for r in density.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {f"n{i:03d}": "n000" if i <= 50 else "n051" for i in range(101)} | {"x": "x"}
+
+
+def test_boxes_of_cells_bound_their_points_distances(spark):
+    """Copies have boxes without extent, which settle a pair of cells whatever the number of copies."""
+    points = spark.createDataFrame([([0], [0.1, 0.2])] * 50 + [([1], [1.1, 0.2])] * 50 + [([2], [2.0, 0.0]), ([2], [2.5, 0.7])], "cell array<long>, p array<double>")
+    cells = density.boxes(points, 2)
+    near = cells.select("cell").crossJoin(cells.selectExpr("cell as other"))
+    got = {(r["cell"][0], r["other"][0]): (r["gap"], r["far"]) for r in density.with_boxes(near, cells, cells).withColumns({"gap": density.gap(), "far": density.furthest()}).collect()}
+    assert got[0, 1] == pytest.approx((1.0, 1.0)) and got[1, 0] == got[0, 1] and got[0, 0] == (0.0, 0.0)
+    assert got[1, 2] == pytest.approx((0.81, 1.96 + 0.25)) and got[2, 2] == pytest.approx((0.0, 0.25 + 0.49))
