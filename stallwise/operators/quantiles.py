@@ -26,6 +26,12 @@ def conformal_level(alpha: float) -> Callable[[Column], Column]:
     return lambda n: F.array(F.least(F.ceil((n + 1) * F.lit(1 - alpha)) / n, F.lit(1.0)) * (n - 1))
 
 
+def below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of at most so many sorted cuts are less than a value, by halving."""
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: at + F.when(F.get(cuts, at + s - 1) < value, s).otherwise(0))
+
+
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, places: Callable[[Column], Column], bins: int = 256, few: int = 1_000_000, n_rows: int | None = None) -> DataFrame:
     """(keys, n, q): q holds the values at the places (from 0, fractions between neighbours) of each group's sorted
     values that are not null. Groups without a value have no row; keys are not null. Up to `few` rows in all are
@@ -36,9 +42,11 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, places: Ca
     if (own.count() if n_rows is None else n_rows) <= few:
         gathered = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("_v")).alias("_all"))
         return gathered.select(*keys, "n", F.transform(places(F.col("n")), lambda p: interpolated(F.col("_all"), p)).alias("q"))
+    # Three jobs read the rows, which may be costly to make.
+    own = own.persist()
     grid = F.array(*(F.lit(k / bins) for k in range(1, bins)))
     cuts = written(own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, F.lit(16 * bins)).alias("_cuts")))
-    placed = own.join(cuts.select(*by, "_cuts"), by).select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"))
+    placed = own.join(cuts.select(*by, "_cuts"), by).select(*by, "_v", below(F.col("_cuts"), F.col("_v"), bins - 1).alias("_bin"))
     upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin"))
     counts = placed.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_from", upto - F.col("_c"))
     ranks = F.array_distinct(F.flatten(F.transform(places(F.col("n")), lambda p: F.array(F.floor(p), F.ceil(p)))))
@@ -54,4 +62,6 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, places: Ca
         a, b = F.element_at("_at", F.floor(p)), F.element_at("_at", F.ceil(p))
         return a + (b - a) * (p - F.floor(p))
 
-    return cuts.join(found, by).select(*keys, "n", F.transform(places(F.col("n")), between).alias("q"))
+    done = written(cuts.join(found, by).select(*keys, "n", F.transform(places(F.col("n")), between).alias("q")))
+    own.unpersist()
+    return done

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stallwise.operators import forecast, intervals, triage
-from stallwise.operators.quantiles import exact_quantiles, levels
+from stallwise.operators.quantiles import below, exact_quantiles, levels
 
 
 def test_exact_quantiles_equal_sorting(spark):
@@ -81,3 +81,11 @@ def test_conformal_widths_pool_short_steps(spark):
         own = own if len(own) >= 20 else [s for *_, s in rows]
         level = min(np.ceil((len(own) + 1) * 0.9) / len(own), 1.0)
         assert np.isclose(got[h], np.quantile(own, level))
+
+
+def test_cuts_below_a_value_are_counted_by_halving(spark):
+    """As many as by looking at every cut, for arrays of any length, repeats and ends among them."""
+    cuts = [sorted(float(x * x % 17) for x in range(n)) for n in (0, 1, 2, 3, 4, 7, 8, 100, 254, 255)]
+    rows = spark.createDataFrame([(c, v / 2) for c in cuts for v in range(-2, 36)] + [(cuts[-1], float("nan"))], "c array<double>, v double")
+    got = rows.select(below(F.col("c"), F.col("v"), 255).alias("got"), F.size(F.filter("c", lambda c: c < F.col("v"))).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in got) and max(r["got"] for r in got) == 255
