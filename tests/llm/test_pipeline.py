@@ -115,3 +115,15 @@ def test_packed_rows_hold_their_tokens(spark):
         assert len(sequences.setdefault(r["sequence_id"], [])) == r["offset"]
         sequences[r["sequence_id"]] += r["ids"]
     assert sum(map(len, sequences.values())) == sum(r["length"] for r in rows) and max(map(len, sequences.values())) <= 1024
+
+
+def test_fingerprints_link_what_shingle_sets_do_not(spark, monkeypatch):
+    """The stage named after SimHash takes its links, and chains through both kinds of links are one component."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(50)) for _ in range(5)]
+    texts[3] = texts[2] + " more"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # Fingerprints that hold 1 and 2 for neighbours, and all else for strangers.
+    prints = spark.createDataFrame([(0, 0), (1, 0xF0F0), (2, 0xF0F1), (3, 0xAAAA0000), (4, 0x5555_0000_0000)], "doc_id long, fp long")
+    monkeypatch.setattr(corpus_pipeline.simhash, "fingerprints", lambda *a: prints)
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == {0, 1, 4}
