@@ -35,8 +35,10 @@ from stallwise.llm.shared import cut_lineage
 
 #: Where a space starts a word right after another: no token reaches over such a place.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Words with their ids that a worker keeps; beyond that it starts anew.
+#: Words with their ids that a task keeps; beyond that it starts anew.
 KEPT_WORDS = 400_000
+#: Pieces that a task holds before it hands them on.
+HELD_PIECES = 500
 #: What precedes the words of a text: contractions, letters, numbers, signs, white space.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -96,10 +98,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
     """doc_id, piece, start, length, ids_crc32 (and ids) for each piece of each row."""
     end = np.array([end_id], "<u4").tobytes()
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = own.encode(text.as_py() or "") + end
                 n = len(ids) // 4
@@ -107,7 +112,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     part = ids[4 * a : 4 * b]
                     rows.append((doc_id, k, a, b - a, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+                    if len(rows) >= HELD_PIECES:
+                        yield made(rows)
+                        rows = []
+        if rows:
+            yield made(rows)
+        # The worker lives on and serves other operators.
+        own.kept.clear()
+        pa.default_memory_pool().release_unused()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
@@ -209,16 +221,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     keys = table[:, 0] << 40 | table[:, 1]
     shared = docs.sparkSession.sparkContext.broadcast((table, keys))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<sequence_id: long, offset: long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         places, starts = shared.value
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            row = places[np.searchsorted(starts, length << 40 | rank, side="right") - 1]
-            at = rank - row[:, 1]
-            done = {"sequence_id": row[:, 2] + at // row[:, 3], "offset": row[:, 4] + at % row[:, 3] * length}
-            kept = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *map(pa.array, done.values())], names=[*kept, *done])
-
-    ready = numbered(found, sum(counts.values())).select(*found.columns, "rank")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
-    return ready.mapInArrow(run, schema + ", sequence_id long, offset long")
+        length, rank = length.to_numpy(), rank.to_numpy()
+        row = places[np.searchsorted(starts, length << 40 | rank, side="right") - 1]
+        at = rank - row[:, 1]
+        return pa.StructArray.from_arrays([pa.array(row[:, 2] + at // row[:, 3]), pa.array(row[:, 4] + at % row[:, 3] * length)], names=["sequence_id", "offset"])
+
+    # Only length and rank go to Python; the ids stay with Spark.
+    ready = numbered(found, sum(counts.values())).withColumn("_place", place("length", "rank"))
+    return ready.select(*found.columns, "_place.sequence_id", "_place.offset")

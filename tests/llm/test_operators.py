@@ -69,6 +69,17 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_ids_reach_their_places_without_a_second_way_through_python(docs):
+    """A row of a thousand ids stays with Spark when its place is looked up; only its length and rank go to a worker."""
+    got = packing.pack(docs, tokenizer_path(), with_ids=True)
+    steps = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Python" in line or "InArrow" in line]
+    assert len(steps) == 1 and "length" in steps[0] and "ArrowEvalPython" in steps[0]
+    rows = got.collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    taken = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip([(-1, 0, 0), *taken], taken))
+
+
 def test_packing_plan_keeps_every_piece():
     rng = random.Random(3)
     for _ in range(100):
