@@ -24,9 +24,14 @@ def hourly_profiles(panel: DataFrame, cfg: Censoring = Censoring()) -> DataFrame
 
     All levels come out of one pass with grouping sets. An hour that no clean row has takes the mean of the others;
     a level that sold nothing is flat; a level with too few clean hours is left out, but never the global one."""
-    hours = panel.select(*cfg.levels, F.posexplode(F.arrays_zip("hours_sale", "hours_stock_status")).alias("h", "x")).filter(F.col("h").between(OPEN_FROM, OPEN_TO))
-    clean = F.col("x.hours_stock_status") == 0
-    hours = hours.select(*cfg.levels, "h", F.when(clean, F.col("x.hours_sale")).alias("sale"), clean.cast("int").alias("clean"))
+    open_hours = range(OPEN_FROM, OPEN_TO + 1)
+    clean = lambda h: F.get("hours_stock_status", F.lit(h)) == 0
+    # A row for each finest key and hour, instead of sixteen for each day of a series, is what the grouping sets repeat.
+    slots = [c for h in open_hours for c in (F.sum(F.when(clean(h), F.get("hours_sale", F.lit(h)))).alias(f"s{h}"), F.sum(clean(h).cast("int")).alias(f"c{h}"))]
+    longest = F.max(F.greatest(F.size("hours_sale"), F.size("hours_stock_status"))).alias("longest")
+    keys = panel.filter(F.col("hours_sale").isNotNull() & F.col("hours_stock_status").isNotNull()).groupBy(*cfg.levels).agg(longest, *slots)
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"s{h}").alias("sale"), F.col(f"c{h}").alias("clean")) for h in open_hours))).alias("x")
+    hours = keys.select(*cfg.levels, "longest", each).filter(F.col("x.h") < F.col("longest")).select(*cfg.levels, "x.*")
     sets = [[F.col(c), F.col("h")] for c in cfg.levels] + [[F.col("h")]]
     sums = hours.groupingSets(sets, *cfg.levels, "h").agg(F.coalesce(F.sum("sale"), F.lit(0.0)).alias("sale"), F.sum("clean").alias("clean"), F.grouping_id(*cfg.levels, "h").alias("gid"))
     n = len(cfg.levels)

@@ -96,21 +96,23 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         here = F.col("h") == h
         slots.append(F.coalesce(F.max(F.when(here & F.col("out"), 1).otherwise(0)), F.lit(0)).alias(f"o{h}"))
         slots.append(F.round(F.coalesce(F.sum(F.when(here & ~F.col("out"), F.col("value"))), F.lit(0.0)), 4).alias(f"v{h}"))
-    seen = events.groupBy("store_id", "product_id", "dt").agg(*slots)
+    # The slots become arrays before the join: 48 columns with a default each make code too long to be compiled.
+    sale = [F.when(F.col(f"o{h}") == 1, 0.0).otherwise(F.col(f"v{h}")) for h in range(24)]
+    seen = events.groupBy("store_id", "product_id", "dt").agg(*slots).select("store_id", "product_id", "dt", F.array(*sale).alias("sold"), F.array(*(F.col(f"o{h}") for h in range(24))).alias("out"))
     span = events.agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
-    grid = seen.select("store_id", "product_id").distinct().crossJoin(F.broadcast(span)).select("store_id", "product_id", F.explode(F.sequence("first", "last")).alias("dt"))
+    grid = events.select("store_id", "product_id").distinct().crossJoin(F.broadcast(span)).select("store_id", "product_id", F.explode(F.sequence("first", "last")).alias("dt"))
     dense = grid.join(seen, ["store_id", "product_id", "dt"], "left")
-    out = [F.coalesce(f"o{h}", F.lit(0)) for h in range(24)]
-    sale = [F.when(out[h] == 1, 0.0).otherwise(F.coalesce(f"v{h}", F.lit(0.0))) for h in range(24)]
+    none = lambda zero: F.array_repeat(F.lit(zero), 24)
+    dense = dense.select("store_id", "product_id", "dt", F.coalesce("sold", none(0.0)).alias("hours_sale"), F.coalesce("out", none(0)).alias("hours_stock_status"))
     return dense.select(
         "store_id",
         "product_id",
         (F.col("product_id") % 5).cast("int").alias("third_category_id"),
         "dt",
-        F.array(*sale).alias("hours_sale"),
-        F.array(*out).alias("hours_stock_status"),
-        F.round(sum(sale[1:], sale[0]), 4).alias("sale_amount"),
-        sum(out[OPEN_FROM + 1 : OPEN_TO + 1], out[OPEN_FROM]).cast("int").alias("stock_hour6_22_cnt"),
+        "hours_sale",
+        "hours_stock_status",
+        F.round(F.aggregate("hours_sale", F.lit(0.0), lambda a, x: a + x), 4).alias("sale_amount"),
+        F.aggregate(F.slice("hours_stock_status", OPEN_FROM + 1, OPEN_SLOTS), F.lit(0), lambda a, x: a + x).cast("int").alias("stock_hour6_22_cnt"),
     )
 
 

@@ -174,3 +174,32 @@ def test_triage_reasons(spark):
     signals = triage.series_signals(daily(spark, [10] * 40, censored=range(34, 40)).unionByName(daily(spark, [1] * 40, "2_1")))
     marked = {r["series_id"]: r for r in triage.triage(signals).collect()}
     assert marked["1_1"]["reasons"] == "high_volume, out_now" and marked["1_1"]["current_run"] == 6 and marked["2_1"]["n_reasons"] == 0
+
+
+def test_a_version_is_recovered_once_and_judged_as_written(spark, tmp_path, monkeypatch):
+    """The rules are checked on the files of the new version, not on a second making of it."""
+    layer, compared, judged = str(tmp_path / "layer"), ("sale_amount", "hours_sale"), []
+    raw = lambda days: hourly(spark, days).drop("series_id", "oos_hours_day", "available_weight", "is_censored")
+    ingest.start_layer(hourly(spark, [(1, 1, d, (), 1.0) for d in range(15)]).withColumn("split", F.lit("train")), layer)
+    monkeypatch.setattr(ingest, "panel_violations", lambda df: judged.extend(df.inputFiles()) or panel_checks.panel_violations(df))
+    assert ingest.ingest(spark, raw([(1, 1, 15, (), 1.0)]), layer, compared).first()["status"] == "written"
+    assert judged and all("/v000001/" in f for f in judged)
+
+
+def test_profiles_group_days_before_the_sets_repeat_them(spark):
+    """Grouping sets repeat a row for each level and hour, so they have to follow a first grouping."""
+    panel = hourly(spark, [(1, p, d, (8, 9) if d % 3 == 0 else (), 1.0 + p) for p in (1, 2) for d in range(30)])
+    profiles = recovery.hourly_profiles(panel, recovery.Censoring(min_hours_for_profile=1))
+    steps = profiles._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in steps[steps.index("Expand") :]
+    got = {(r["level"], r["key"], r["h"]): (r["clean_hours"], r["weight"]) for r in profiles.collect()}
+    assert got["global", None, 7] == (2 * (30 * 16 - 10 * 2), 1 / 16) and len(got) == 16 * (2 + len({k for level, k, _ in got if level == "third_category_id"}) + 1)
+
+
+def test_numbers_of_a_batch_are_written_as_the_format_writes_them(spark):
+    numbers = [0.0, -0.0, 0.5e-6, 1.5e-6, -1e-9, -2.5, 1 / 3, 123456.7890125, 99999999999.9999995, 1e11, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    wanted = F.coalesce(F.format_string("%.6f", F.col("x") + F.lit(0.0)), F.lit("-"))
+    text = ingest._text("x", "double")
+    assert "decimal(18,6)" in df.select(text)._jdf.queryExecution().analyzed().toString().lower()
+    assert df.filter(text != wanted).count() == 0
