@@ -127,3 +127,24 @@ def test_fingerprints_link_what_shingle_sets_do_not(spark, monkeypatch):
     prints = spark.createDataFrame([(0, 0), (1, 0xF0F0), (2, 0xF0F1), (3, 0xAAAA0000), (4, 0x5555_0000_0000)], "doc_id long, fp long")
     monkeypatch.setattr(corpus_pipeline.simhash, "fingerprints", lambda *a: prints)
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == {0, 1, 4}
+
+
+def test_crowds_of_common_shingles_grow_with_the_table(spark):
+    """Texts that each share rare shingles with one other text and others with many: whatever the number of rows, what many
+    share is told from what few do, so that few rows wait at crowded shingles."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passages = [" ".join(word() for _ in range(8)) for _ in range(60)]
+
+    def crowd(n: int, params: near_copies.Params) -> int:
+        passage = lambda: rng.choice(passages[: n // 20])  # noqa: E731  each in about 60 texts
+        docs = spark.createDataFrame([(i, " ".join([passage(), passage(), passage(), *(word() for _ in range(9))])) for i in range(n)], "doc_id long, text string").repartition(3)
+        texts = near_copies.of_texts(docs, "doc_id", "text")
+        known = spark.sparkContext.broadcast(near_copies.common(texts, n, params))
+        dealt = near_copies.postings(texts, known, params).repartition("deal").sortWithinPartitions("deal")
+        return dealt.mapInArrow(lambda batches: near_copies.meet(batches, params), near_copies.MET).filter(f"kind = {near_copies.CROWD}").count()
+
+    # The exact numbers of the few most common ones, and of none but one.
+    for params in (near_copies.Params(sample_rows=30), near_copies.Params(sample_rows=30, max_common=1)):
+        small, large = crowd(200, params), crowd(1200, params)
+        assert large <= 12 * max(small, 10), (small, large)
