@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallwise.llm.shared import give_back
+
 #: Runs of letters and of numbers other than decimal digits.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -99,6 +101,7 @@ def tokens(labelled: DataFrame) -> DataFrame:
             for text, lang in zip(*(batch.column(n).to_pylist() for n in ("text", "lang"))):
                 counts.update((word, lang) for word in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([x for _, x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "lang", "n"])
+        give_back()
 
     return labelled.select("text", "lang").mapInArrow(run, "token string, lang string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
 
@@ -171,6 +174,7 @@ def select_identified(docs: DataFrame, model: Model, least_score: float, text_co
                 kept.clear()
             found = [shared.value.predict(x.as_py(), kept) for x in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

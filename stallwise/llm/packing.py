@@ -24,19 +24,19 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.shared import cut_lineage
+from stallwise.llm.shared import cut_lineage, give_back
 
 #: Where a space starts a word right after another: no token reaches over such a place.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words with their ids that a task keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Pieces that a task holds before it hands them on.
 HELD_PIECES = 500
 #: What precedes the words of a text: contractions, letters, numbers, signs, white space.
@@ -61,14 +61,22 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        tokenizer = Tokenizer.from_file(path)
+        self.marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         of = byte_of_char()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in self.marks}
         self.words = tiktoken.Encoding("words", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
         self.kept: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """Read anew when a text first needs it: few do, and a worker keeps it for good."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if any(m in text for m in self.marks):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -119,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
             yield made(rows)
         # The worker lives on and serves other operators.
         own.kept.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]

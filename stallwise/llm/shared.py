@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,14 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def bound_batches(spark: SparkSession) -> SparkSession:
-    """The session, with its Arrow batches no larger than BATCH: what a worker holds must not grow with the texts."""
-    for key, most in BATCH.items():
+def bound_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> SparkSession:
+    """The session, with its Arrow batches no larger than BATCH (nor than most_bytes): what a worker holds must not grow with the
+    texts."""
+    for key, most in (BATCH | {"spark.sql.execution.arrow.maxBytesPerBatch": str(most_bytes)}).items():
         if not 0 < int(spark.conf.get(key).rstrip("b")) <= int(most):
             spark.conf.set(key, most)
     return spark
 
 
+def give_back() -> None:
+    """At the end of a task: what its worker has freed goes back to the machine. The worker lives on, beside those of later
+    stages, and what it keeps of its largest batches counts for all of them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; one of our own only where it names none, as in tests."""
     sc = spark.sparkContext

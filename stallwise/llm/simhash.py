@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.llm.components import stars
-from stallwise.llm.shared import cut_lineage
+from stallwise.llm.shared import cut_lineage, give_back
 
 SEED = 42
 BITS = 23
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("data")).mapInArrow(run, "doc_id long, fp long")
 

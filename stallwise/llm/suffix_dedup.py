@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.shared import bound_batches, cut_lineage
+from stallwise.llm.shared import bound_batches, cut_lineage, give_back
 from stallwise.llm.suffix_merge import least_owner
 
 #: Bytes of a k-gram.
@@ -172,6 +172,7 @@ def announce(batches: Iterator[pa.RecordBatch], params: Params, buckets: int) ->
         here = np.flatnonzero(np.repeat(several, sizes))
         out += [(-1 - b, brief[here[at]], ids[here[at]], np.zeros(0, np.int32)) for b, at in by_key(ids[here].view(np.uint64) % np.uint64(buckets))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([packed(r[k]) for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "hash", "id", "rows"])
+    give_back()
 
 
 ANSWER = "id long, hot boolean, hashes array<int>"
@@ -264,6 +265,7 @@ def deal_strings(batches: Iterator[pa.RecordBatch], params: Params, buckets: int
             out.append((-1 - b, b"", ends, whose, key, begins))
         names = [c.split()[0] for c in STRINGS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), *(pa.array([packed(r[k]) for r in out], pa.binary()) for k in range(2, 6))], names=names)
+    give_back()
 
 
 SPANS = "id long, key int, begins array<long>, ends array<long>"
@@ -459,6 +461,7 @@ def remove_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "do
             if carry:
                 columns, names = [*columns, batch.column("carried")], [*names, "carried"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     schema = RESULT + ", text string" * with_text + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else "")
     return rows.join(found, "id", "left").mapInArrow(run, schema)

@@ -1,11 +1,16 @@
 """The pipeline's stages on a small table, each on what the one before kept."""
 
+import gc
 import random
+import re
+from pathlib import Path
 
+import numpy as np
 from tests.llm.test_operators import SCHEMA, awkward_rows
 
 import corpus_pipeline
-from stallwise.llm import near_copies
+from stallwise.llm import near_copies, packing
+from stallwise.llm.shared import give_back, tokenizer_path
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark):
@@ -148,3 +153,36 @@ def test_crowds_of_common_shingles_grow_with_the_table(spark):
     for params in (near_copies.Params(sample_rows=30), near_copies.Params(sample_rows=30, max_common=1)):
         small, large = crowd(200, params), crowd(1200, params)
         assert large <= 12 * max(small, 10), (small, large)
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    held_mb = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    arrays = [np.ones(100_000 // 8) for _ in range(2000)]
+    pinned = arrays[::50]  # what lies among them stays, so that the heap can't just end sooner
+    full = held_mb()
+    del arrays
+    gc.collect()
+    give_back()
+    assert len(pinned) == 40 and held_mb() < full - 150
+
+
+def test_a_worker_keeps_no_second_vocabulary_for_marks_that_few_texts_hold():
+    own = packing.Encoder(tokenizer_path())
+    plain, marked = "no mark is here", f"here {own.marks[0]} is one"
+    got = own.encode(plain)
+    assert "tokenizer" not in vars(own)
+    for text, ids in ((plain, got), (marked, own.encode(marked))):
+        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_stages_send_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a text", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "line_dedup":  # without Python
+            continue
+        spark.conf.set(key, str(64 << 20))
+        stage(spark, docs, "")
+        assert int(spark.conf.get(key).rstrip("b")) <= 2 << 20, name
+    spark.conf.set(key, before)
