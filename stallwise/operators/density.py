@@ -1,19 +1,21 @@
-"""Density clusters in any number of dimensions, by cells.
-
-Space is cut into cells with a diagonal of eps, so that points of one cell are neighbours without being compared. A cell
-with `min_samples` points has core points only. Points of thinner cells are compared with those of the cells that are
-near enough, by the boxes around their points. Core cells are linked where two of their core points are neighbours (none
-are compared where even the boxes' furthest places are; of the others one point of a cell first, all points only where the
-cells are in different components still), and clusters are the components of this graph of cells, by alternating stars, in a
-logarithmic number of rounds. Equal points are compared once. Near cells are found by a grid over the first dimensions and the distance of the cells
-in all of them.
+"""Density clusters in any number of dimensions, by blocks of points that lie together.
+
+Equal points are one. Points are dealt to blocks of bounded size, by their places in a grid, and each block has the least box around
+its points. A point is held against its own block first; only if that leaves open what it is does it ask the blocks whose
+boxes are near enough. So a point with enough neighbours in its block is a core point without more, the core points of a block
+are joined within it, a few points of each of these groups ask other blocks, and what is not in the largest component
+then asks all blocks that hold another one, so that no link is lost. Points in a thin place ask for the least cluster
+that they touch. What is compared grows with the points and the size of a block, and with the asking points and the blocks near them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import sqrt
+from collections.abc import Callable, Iterator, Sequence
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from stallwise.operators.lineage import written
 
 #: Dimensions of the grid that finds near cells; its 3 ** n neighbours are written out for each cell.
 GRID_DIMENSIONS = 3
+#: Points of a block, roughly, points that ask at once in a block, and those of a group that ask other blocks first. They change no result.
+BLOCK, ASKING, LEADS = 4096, 65_536, 32
 
 
 def sum_of(a: Column, b: Column, part) -> Column:
@@ -85,50 +89,143 @@ def furthest() -> Column:
     return _between(lambda a, b, c, e: F.greatest(e - a, b - c))
 
 
+def widened(rows: pa.Table, **columns: pa.Array) -> pa.Table:
+    """The rows of a block with more columns, as Spark's schema strings have them: places may be null there."""
+    rows = rows.set_column(rows.column_names.index("p"), "p", rows["p"].cast(pa.list_(pa.field("element", pa.float64()))))
+    for name, column in columns.items():
+        rows = rows.append_column(name, column)
+    return rows
+
+
+def points(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    return np.array(column.combine_chunks().flatten()).reshape(len(column), d)
+
+
+def close(x: np.ndarray, y: np.ndarray, limit: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Which points y are neighbours of x, for some of x at a time. Squares are added in the order of the dimensions, so that no
+    distance is less than that of a box around y."""
+    step = max(1, (1 << 19) // max(1, len(y)))
+    for at in (slice(k, k + step) for k in range(0, len(x), step)):
+        total = np.zeros((len(x[at]), len(y)))
+        for k in range(x.shape[1]):
+            apart = np.subtract.outer(x[at, k], y[:, k])
+            apart *= apart
+            total += apart
+        yield at, total <= limit
+
+
+def least_linked(p: np.ndarray, limit: float) -> np.ndarray:
+    """For each point the first one that a chain of neighbours leads to; each point is held once against those not found yet."""
+    first, left = np.empty(len(p), np.int64), np.arange(len(p))
+    while len(left):
+        root, edge, left = left[0], left[:1], left[1:]
+        while len(edge):
+            first[edge] = root
+            hit = np.zeros(len(left), bool)
+            for _, near in close(p[edge], p[left], limit):
+                hit |= near.any(axis=0)
+            edge, left = left[hit], left[~hit]
+    return first
+
+
+def blocks(spots: DataFrame, eps: float, size: int) -> DataFrame:
+    """The points (p) with their block (cell): about `size` that follow one another in a grid."""
+    coarse = F.transform("p", lambda v: F.floor(v / eps))
+    return spots.repartitionByRange(max(1, ceil(spots.count() / size)), coarse, "p").withColumn("cell", F.spark_partition_id())
+
+
+def asked(asks: DataFrame, near: DataFrame, d: int, limit: float) -> DataFrame:
+    """The asking points once for each block (cell) whose box is near enough: `near` holds what is near their own."""
+    apart = [F.greatest(F.col("other_lo")[i] - F.col("p")[i], F.col("p")[i] - F.col("other_hi")[i], F.lit(0.0)) for i in range(d)]
+    return asks.join(near.select("cell", "other", "other_lo", "other_hi"), "cell").filter(sum((x * x for x in apart), F.lit(0.0)) <= limit).drop("cell", "other_lo", "other_hi").withColumnRenamed("other", "cell")
+
+
+def answered(asks: DataFrame, there: DataFrame, told: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What `told` makes of the points (name, p, ..) that ask at each block (cell) and of those that lie there. Where many ask they
+    are dealt out in parts, so that what a task holds is bounded."""
+    parts = max(1, ceil(asks.select("name").distinct().count() / ASKING))
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
+    there = there.join(asks.select("cell").distinct(), "cell", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # Both sides can come from the same rows; with names of its own Spark tells the columns of one apart.
+    there = there.toDF(*there.columns)
+    return asks.groupBy("cell", "part").cogroup(there.groupBy("cell", "part")).applyInArrow(told, schema)
+
+
 def density_clusters(shapes: DataFrame, eps: float = 0.9, min_samples: int = 10, columns: Sequence[str] = ("cv", "zero_rate", "weekly_amplitude", "peak_ratio", "autocorr_7", "mean_zero_run", "stockout_rate")) -> DataFrame:
     """(series_id, cluster) over standardised columns: -1 for noise, else the least series among the cluster's core points;
     a border point goes to the least of the clusters that it touches. A missing value is the column's mean."""
-    # A little less than the diagonal allows, so that rounding takes no two points of a cell beyond eps.
-    d, side = len(columns), eps / sqrt(len(columns)) * (1 - 1e-9)
+    d, limit = len(columns), eps * eps
     stats = shapes.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_{c}") for c in columns))
     place = F.array(*(F.coalesce((F.col(c) - F.col(f"_{c}.m")) / F.nullif(F.col(f"_{c}.s"), F.lit(0.0)), F.lit(0.0)) for c in columns))
-    pts = shapes.crossJoin(F.broadcast(stats)).select("series_id", place.alias("p")).withColumn("cell", F.transform("p", lambda v: F.floor(v / side)))
-    pts = written(pts)
-    sizes = written(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-    near = near_cells(sizes, eps, side, d)
-    limit = eps * eps
-    close = sum_of(F.col("p"), F.col("q"), lambda x, y: (x - y) * (x - y)) <= limit
-    near = written(with_boxes(near, boxes(pts, d), boxes(pts, d)).filter(gap() <= limit).select("cell", "other"))
-
-    # Points of thin cells meet those of near cells; of their own cell all are neighbours.
-    thin = pts.join(sizes.filter(F.col("n") < min_samples).select("cell"), "cell")
-    others = pts.groupBy(F.col("cell").alias("other"), F.col("p").alias("q")).agg(F.count(F.lit(1)).alias("times"))
-    met = thin.join(near.filter("cell <> other"), "cell").join(others, "other").filter(close).groupBy("series_id").agg(F.sum("times").alias("n_met"))
-    counted = thin.join(sizes, "cell").join(met, "series_id", "left").filter(F.col("n") + F.coalesce("n_met", F.lit(0)) >= min_samples).select("series_id", "p", "cell")
-    core = written(pts.join(sizes.filter(F.col("n") >= min_samples).select("cell"), "cell").select("series_id", "p", "cell").unionByName(counted))
-
-    # A core cell goes by its least core point; so a component's least name is its least core point.
-    named = written(boxes(core, d, F.min("series_id").alias("name")))
-    right = named.withColumnRenamed("name", "b")
-    pairs = written(with_boxes(near, named.withColumnRenamed("name", "a"), right).filter((F.col("a") <= F.col("b")) & (gap() <= limit)).withColumn("sure", (F.col("a") == F.col("b")) | (furthest() <= limit)))
-    spots = written(core.select("cell", "p").distinct())
-    to_box = lambda v, lo, hi: F.aggregate(F.zip_with(v, F.arrays_zip(F.col(lo).alias("l"), F.col(hi).alias("h")), lambda x, y: F.pow(F.greatest(y["l"] - x, x - y["h"], F.lit(0.0)), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x) / (1 + 1e-9)
-    here = spots.select(F.col("cell").alias("other"), F.col("p").alias("q"))
-    # First one point of a cell, the nearest to the other cell's box, meets the points there: cells of one cluster are mostly
-    # linked by that. All points meet only between cells that are in different components still.
-    unsure = pairs.filter("not sure")
-    first = unsure.join(spots, "cell").groupBy("cell", "other", "a", "b").agg(F.min_by("p", F.struct(to_box(F.col("p"), "other_lo", "other_hi"), "p")).alias("p"))
-    links = written(pairs.filter("sure").select("a", "b").unionByName(first.join(here, "other").filter(close).select("a", "b").distinct()))
-    roots = written(components(links))
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = unsure.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b")
-    left = apart.join(spots, "cell").filter(to_box(F.col("p"), "other_lo", "other_hi") <= limit)
-    last = written(left.join(here, "other").filter(to_box(F.col("q"), "cell_lo", "cell_hi") <= limit).filter(close).select("a", "b").distinct())
-    roots = roots if last.isEmpty() else written(components(links.unionByName(last)))
-    inside = core.join(named, "cell").join(roots.withColumnRenamed("node", "name"), "name").select("series_id", "p", "cell", F.col("root").alias("cluster"))
-    inside = written(inside)
-
-    border = pts.join(core.select("series_id"), "series_id", "left_anti").join(near, "cell")
-    touched = border.join(inside.select(F.col("cell").alias("other"), F.col("p").alias("q"), "cluster").distinct(), "other").filter((F.col("cell") == F.col("other")) | close)
-    found = inside.select("series_id", "cluster").unionByName(touched.groupBy("series_id").agg(F.min("cluster").alias("cluster")))
-    return shapes.select("series_id").join(found, "series_id", "left").select("series_id", F.coalesce("cluster", F.lit("-1")).alias("cluster"))
+    pts = written(shapes.crossJoin(F.broadcast(stats)).select("series_id", place.alias("p")))
+    spots = written(pts.groupBy("p").agg(F.min("series_id").alias("name"), F.count(F.lit(1)).alias("times")))
+    spots = written(blocks(spots, eps, BLOCK))
+    box = written(boxes(spots, d))
+    near = written(with_boxes(box.select("cell").crossJoin(box.select(F.col("cell").alias("other"))), box, box).filter(gap() <= limit))
+    apart = near.filter("cell <> other")
+
+    def around(here: pa.Table) -> pa.Table:
+        p, times = points(here["p"], d), here["times"].to_numpy()
+        n = np.concatenate([found @ times for _, found in close(p, p, limit)])
+        return widened(here, n=pa.array(n, pa.int64()))
+
+    def met(asks: pa.Table, there: pa.Table) -> pa.Table:
+        times, y = there["times"].to_numpy(), points(there["p"], d)
+        n = [found @ times for _, found in close(points(asks["p"], d), y, limit)]
+        return pa.table({"name": asks["name"], "n_met": pa.array(np.concatenate(n) if n else [], pa.int64())})
+
+    counted = written(spots.groupBy("cell").applyInArrow(around, "p array<double>, name string, times long, cell int, n long"))
+    few = counted.filter(F.col("n") < min_samples)
+    more = answered(asked(few.select("cell", "name", "p"), apart, d, limit), spots, met, "name string, n_met long").groupBy("name").agg(F.sum("n_met").alias("n_met"))
+    counted = written(counted.join(more, "name", "left").select("cell", "name", "p", (F.col("n") + F.coalesce("n_met", F.lit(0)) >= min_samples).alias("core")))
+
+    # A group of core points that a block's chains join goes by its least name.
+    def joined(here: pa.Table) -> pa.Table:
+        here = here.take(pc.sort_indices(here["name"]))
+        first = least_linked(points(here["p"], d), limit)
+        order = np.argsort(first, kind="stable")
+        _, start, size = np.unique(first[order], return_index=True, return_counts=True)
+        lead = np.zeros(len(first), bool)
+        for s, n in zip(start.tolist(), size.tolist()):
+            lead[order[s : s + n : ceil(n / LEADS)]] = True
+        return widened(here, node=here["name"].take(pa.array(first)), lead=pa.array(lead))
+
+    def linked(asks: pa.Table, there: pa.Table) -> pa.Table:
+        """The pairs of different groups that neighbours link."""
+        (a, of_a), (b, of_b) = ((t.unique(), t) for t in (asks["node"], there["node"]))
+        i, j = pc.index_in(of_a, a).to_numpy(), pc.index_in(of_b, b).to_numpy()
+        hit = np.zeros((len(a), len(b)), bool)
+        order = np.argsort(j, kind="stable")
+        start = np.flatnonzero(np.diff(j[order], prepend=-1))
+        if len(i) and len(j):
+            for at, found in close(points(asks["p"], d), points(there["p"], d)[order], limit):
+                np.logical_or.at(hit, i[at], np.logical_or.reduceat(found, start, axis=1))
+        x, y = np.nonzero(hit)
+        both = pa.table({"a": a.take(pa.array(x)), "b": b.take(pa.array(y))})
+        return both.filter(pc.not_equal(both["a"], both["b"]))
+
+    core = written(counted.filter("core").drop("core").groupBy("cell").applyInArrow(joined, "cell int, name string, p array<double>, node string, lead boolean").select("cell", "name", "p", "node", "lead"))
+    links = lambda asks, there: answered(asks, there, linked, "a string, b string").distinct()
+    own = core.select("node").distinct().select(F.col("node").alias("a"), F.col("node").alias("b"))
+    roots = written(components(written(own.unionByName(links(asked(core.filter("lead").drop("lead"), apart, d, limit), core)))))
+
+    # Of two points in different components at least one lies outside of the largest: those ask, where other components are.
+    rooted = written(core.join(roots, "node").select("cell", "name", "p", F.col("root").alias("node")))
+    largest = rooted.groupBy("node").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(1).select(F.col("node").alias("_largest"))
+    asks = asked(rooted.join(F.broadcast(largest), F.col("node") == F.col("_largest"), "left_anti"), apart, d, limit)
+    sole = rooted.groupBy("cell").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
+    asks = asks.join(F.broadcast(sole), "cell").filter("node <> _a or node <> _b").drop("_a", "_b")
+    last = written(links(asks, rooted))
+    above = components(last).toDF("node", "root")
+    inside = written(rooted.join(above, "node", "left").select("cell", "name", "p", F.coalesce("root", "node").alias("cluster")))
+
+    def touched(asks: pa.Table, there: pa.Table) -> pa.Table:
+        there = there.take(pc.sort_indices(there["cluster"]))
+        y, least = points(there["p"], d), np.full(len(asks), -1)
+        for at, found in close(points(asks["p"], d), y, limit) if len(there) else ():
+            least[at] = np.where(found.any(axis=1), found.argmax(axis=1), -1)
+        return pa.table({"name": asks["name"], "cluster": there["cluster"].take(pa.array(least, mask=least < 0))})
+
+    border = answered(asked(counted.filter("not core").drop("core"), near, d, limit), inside, touched, "name string, cluster string").groupBy("name").agg(F.min("cluster").alias("cluster"))
+    found = inside.select("name", "cluster").unionByName(border).join(spots.select("name", "p"), "name").select("p", "cluster")
+    return pts.join(found, "p", "left").select("series_id", F.coalesce("cluster", F.lit("-1")).alias("cluster"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stallwise.operators import density
 
@@ -73,3 +74,34 @@ def test_boxes_of_cells_bound_their_points_distances(spark):
     got = {(r["cell"][0], r["other"][0]): (r["gap"], r["far"]) for r in density.with_boxes(near, cells, cells).withColumns({"gap": density.gap(), "far": density.furthest()}).collect()}
     assert got[0, 1] == pytest.approx((1.0, 1.0)) and got[1, 0] == got[0, 1] and got[0, 0] == (0.0, 0.0)
     assert got[1, 2] == pytest.approx((0.81, 1.96 + 0.25)) and got[2, 2] == pytest.approx((0.0, 0.25 + 0.49))
+
+
+@pytest.mark.parametrize("block, asking, leads", [(16, 65_536, 1), (40, 9, 2)])
+def test_clusters_do_not_depend_on_blocks(spark, monkeypatch, block, asking, leads):
+    """Blobs, a chain and noise over many blocks, asked by few points at once and by one of a group first; copies lie among them."""
+    for name, value in (("BLOCK", block), ("ASKING", asking), ("LEADS", leads)):
+        monkeypatch.setattr(density, name, value)
+    rng = np.random.default_rng(block)
+    chain = np.linspace(-6, 6, 150)[:, None] * np.ones((1, 3)) / np.sqrt(3) + rng.normal(0, 0.02, (150, 3))
+    x = np.concatenate([*(rng.normal(c, 0.3, (70, 3)) for c in rng.uniform(-4, 4, (4, 3))), chain, chain[:20], np.tile([[5.0, -5, 5]], (6, 1)), rng.uniform(-7, 7, (30, 3))])
+    ids = [f"s{i:04d}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("xyz")).assign(series_id=ids)).repartition(5)
+    got = {r["series_id"]: r["cluster"] for r in density.density_clusters(df, 0.3, 5, list("xyz")).collect()}
+    order = np.argsort(ids)
+    want = plain([ids[i] for i in order], x[order], 0.3, 5)
+    assert got == want
+    assert len(set(want.values())) > 4 and "-1" in want.values()
+
+
+def test_points_that_all_differ_ask_few_blocks(spark, monkeypatch):
+    """Hardly two of 3,000 points share a cell of diagonal eps; blocks are bounded, and most points are settled in their own."""
+    rows, asked = [], density.asked
+    monkeypatch.setattr(density, "BLOCK", 300)
+    monkeypatch.setattr(density, "asked", lambda *a: rows.append(asked(*a).count()) or asked(*a))
+    x = np.random.default_rng(4).normal(0, 1, (3000, 7))
+    names = [f"f{k}" for k in range(7)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(series_id=[f"s{i:04d}" for i in range(len(x))]))
+    density.density_clusters(df, 1.2, 5, names).count()
+    spots = density.blocks(df.select(F.array(*names).alias("p")), 1.2, 300).groupBy("cell").count()
+    assert spots.agg({"count": "max"}).first()[0] <= 600 and spots.count() == 10
+    assert sum(rows) < 10 * 3000, rows
