@@ -186,3 +186,43 @@ def test_stages_send_small_batches(spark):
         stage(spark, docs, "")
         assert int(spark.conf.get(key).rstrip("b")) <= 2 << 20, name
     spark.conf.set(key, before)
+
+
+def test_each_of_several_texts_with_one_id_links_at_crowded_shingles(spark):
+    """Half of the texts share few ids: a text's links are told by its own shingles, not by those of another text with its id."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, rows = [word() for _ in range(12)], []
+    for family in range(8):
+        base = [word() for _ in range(rng.choice([20, 40, 60]))] + passage
+        for n in range(12):
+            copy = list(base)
+            for k in rng.sample(range(len(base)), n % 3):
+                copy[k] = word()
+            rows.append((rng.randrange(6) if n % 2 else 10 + len(rows), " ".join(copy)))
+    sets, root = [five_word_sets(t) for _, t in rows], {i: i for i, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                both = {root[rows[i][0]], root[rows[j][0]]}
+                root = {x: min(both) if r in both else r for x, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for params in (near_copies.Params(few=1, block_rows=7), near_copies.Params(few=3, sample_rows=10)):
+        found = near_copies.near_copies(docs, params).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == root
+
+
+def test_near_copies_without_an_id_or_with_one_that_repeats_go_too(spark):
+    """Rows without an id and further rows with an id are held against all others; each text that has no copy stays."""
+    rng = random.Random(29)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (4, a), (2, b), (2, b), (2, c), (None, d), (None, d + " end"), (7, c + " end"), (9, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert left.columns == corpus_pipeline.COLUMNS
+    kept = [(r["doc_id"], r["text"]) for r in left.collect()]
+    texts = [t for _, t in kept]
+    assert (4, a) in kept and (9, e) in kept and texts.count(a) == texts.count(b) == 1
+    assert texts.count(c) + texts.count(c + " end") == 1 and texts.count(d) + texts.count(d + " end") == 1 and texts.count(None) + texts.count("") == 1
+    assert len(kept) == 6
