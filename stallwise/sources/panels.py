@@ -41,7 +41,8 @@ def series_id():
 
 def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel A before densification: one row per (store, product, day) with sales, from the star schema."""
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", F.col("l_shipdate").cast("date").alias("dt"))
+    place_in_table = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", F.col("l_shipdate").cast("date").alias("dt"), *place_in_table)
     line = line.filter(F.col("dt").between(F.lit(PANEL_A_FIRST).cast("date"), F.lit(PANEL_A_LAST).cast("date")))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 10).cast("int").alias("product_id"))
     place = (
@@ -49,8 +50,10 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").cast("int").alias("store_id"))
     )
-    joined = line.join(part, "l_partkey").join(place, "l_suppkey")
-    return joined.groupBy("store_id", "product_id", "dt").agg(
+    # Sums of doubles depend on the order of their rows: it is the table's, whatever way the joins are run.
+    keys = ["store_id", "product_id", "dt"]
+    joined = line.join(part, "l_partkey").join(place, "l_suppkey").repartition(*keys).sortWithinPartitions(*keys, "_file", "_row")
+    return joined.groupBy(*keys).agg(
         F.round(F.sum("l_quantity"), 4).alias("sale_amount"),
         half_up(F.avg(1.0 - F.col("l_discount")), 4).alias("discount"),
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("int").alias("activity_flag"),

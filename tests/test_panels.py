@@ -1,6 +1,9 @@
 """Panels, recovery, features and decisions on small literals with values worked out by hand."""
 
 import datetime as dt
+import functools
+import itertools
+import operator
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +206,30 @@ def test_numbers_of_a_batch_are_written_as_the_format_writes_them(spark):
     text = ingest._text("x", "double")
     assert "decimal(18,6)" in df.select(text)._jdf.queryExecution().analyzed().toString().lower()
     assert df.filter(text != wanted).count() == 0
+
+
+def test_mean_discounts_do_not_depend_on_how_the_joins_run(spark, tmp_path):
+    """Eight discounts whose exact mean is a tie: their doubles add up to it in the table's order, and to less in that of the parts."""
+    plain = lambda x: functools.reduce(operator.add, (1.0 - v for v in x), 0.0) / 8  # noqa: E731  (sum makes up for roundings)
+    given = [0.09, 0.1, 0.01, 0.04, 0.1, 0.0, 0.03, 0.08]
+    below = next(p for p in itertools.permutations(range(8)) if plain(given[k] for k in p) < 0.94375)
+    assert plain(given) == 0.94375
+    part_of = {k: n for n, k in enumerate(below)}
+    lines = [(part_of[k], 1, 1.0, d, "N", dt.datetime(1998, 2, 25)) for k, d in enumerate(given)]
+    tables = {
+        "lineitem": (lines, "l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string, l_shipdate timestamp"),
+        "part": ([(k, 8) for k in range(8)], "p_partkey long, p_size int"),
+        "supplier": ([(1, 1)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(1, 3)], "n_nationkey int, n_regionkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("-1", "10MB"):
+            for key in keys:
+                spark.conf.set(key, limit)
+            assert [r["discount"] for r in panels.daily_sales(spark, str(tmp_path)).collect()] == [0.9438]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
